@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Rows of text are long: small Arrow batches keep the Python workers small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -119,3 +122,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: lineage is cut, columns can be pruned."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    root = sc.getCheckpointDir()
+    if root is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        root = sc.getCheckpointDir()
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

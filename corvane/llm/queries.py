@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from corvane.llm.lm_scoring import op5_ctw_scores
+from corvane.llm.ngram_join import op8_ngram_jaccard_join
 from corvane.llm.packing import op7_best_fit_packing
+from corvane.llm.quality_rules import OP9_SQL, op9_quality_rules
 from corvane.llm.tokenizing import op6_bpe_roundtrip
 
-QUERIES = {f.__name__: f for f in (op6_bpe_roundtrip, op7_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_ctw_scores, op6_bpe_roundtrip, op7_best_fit_packing, op8_ngram_jaccard_join, op9_quality_rules)}
+ORACLES: dict[str, str] = {"op9_quality_rules": OP9_SQL}
