@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import LOWER_ASCII, id_bucket, partitions_for, read_table, row_groups, saved, span_hashes, text_buffers, word_spans
 
-DEPTH = 4
-BLOCK_BYTES = 12 << 20
-GROUP_BYTES = 4 << 20
+DEPTH = 6
+BLOCK_BYTES = 24 << 20
+GROUP_BYTES = 2 << 20
 PART_KEYS = 1_500_000
 END = 0x0A
 LN10 = math.log(10)
@@ -70,6 +70,15 @@ def counted(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], np.add.reduceat(weight[order], first) if len(keys) else weight
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit integers by byte planes: of sorted keys and of small counts most planes are runs, which a shuffle compresses."""
+    return np.ascontiguousarray(numbers.astype("<i8" if numbers.dtype.kind == "i" else "<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 # The tree
 
 
@@ -208,7 +217,7 @@ def training_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
 
         def out():
             rows = [x for kind in (0, 1) if held[kind] for x in _dealt(kind, *merged(kind), depth, parts)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([r[3].astype(np.int64).tobytes() for r in rows], pa.binary())], names=["kind", "part", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([planes(r[2]) for r in rows], pa.binary()), pa.array([planes(r[3].astype(np.int64)) for r in rows], pa.binary())], names=["kind", "part", "keys", "counts"])
 
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
@@ -227,8 +236,8 @@ def training_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
         yield out()
 
     def merge(table: pa.Table) -> pa.Table:
-        keys, counts = counted(*(np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64))))
-        return pa.table({"kind": table.column("kind")[:1], "part": table.column("part")[:1], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+        keys, counts = counted(*(np.concatenate([from_planes(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("counts", np.int64))))
+        return pa.table({"kind": table.column("kind")[:1], "part": table.column("part")[:1], "keys": pa.array([planes(keys)], pa.binary()), "counts": pa.array([planes(counts)], pa.binary())})
 
     schema = "kind int, part int, keys binary, counts binary"
     return docs.select("text").mapInArrow(gather, schema).groupBy("kind", "part").applyInArrow(merge, schema)
@@ -254,7 +263,7 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     def shallow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                node, zeros, ones, logs = Forest(np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64), depth).shallow()
+                node, zeros, ones, logs = Forest(from_planes(keys), from_planes(n, np.int64), depth).shallow()
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(zeros), pa.array(ones), pa.array(logs)], names=["node", "zeros", "ones", "logs"])
 
     nodes = counts.where("kind = 0").select("keys", "counts").mapInArrow(shallow_rows, "node long, zeros double, ones double, logs double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("logs")).orderBy("node").collect()
@@ -262,14 +271,14 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
 
     def token_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+            own = [from_planes(x, np.int64) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([len(x) for x in own], pa.int64()), pa.array([int(x.sum()) for x in own], pa.int64())], names=["v", "n"])
 
     v, n_train = (x or 0 for x in counts.where("kind = 1").select("counts").mapInArrow(token_sums, "v long, n long").agg(F.sum("v"), F.sum("n")).first())
     end_row = counts.where((F.col("kind") == 1) & (F.col("part") == 0)).first()
     end_count = 0
-    if end_row is not None and len(end_row["keys"]) and np.frombuffer(end_row["keys"], np.uint64)[0] == 0:
-        end_count = int(np.frombuffer(end_row["counts"], np.int64)[0])
+    if end_row is not None and len(end_row["keys"]) and from_planes(end_row["keys"])[0] == 0:
+        end_count = int(from_planes(end_row["counts"], np.int64)[0])
     log_all = math.log10(n_train + v + 1)
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks)).cast("long"))
 
@@ -285,11 +294,11 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     def ask(table: pa.Table) -> pa.Table:
         both = distinct_keys(table)
         got = [x for kind in (0, 1) for x in _dealt(kind, both[kind], None, depth, parts)]
-        return pa.table({"kind": pa.array([x[0] for x in got], pa.int32()), "part": pa.array([x[1] for x in got], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(got), pa.int64()), "asked": pa.array([x[2].tobytes() for x in got], pa.binary())})
+        return pa.table({"kind": pa.array([x[0] for x in got], pa.int32()), "part": pa.array([x[1] for x in got], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(got), pa.int64()), "asked": pa.array([planes(x[2]) for x in got], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, np.uint64) for x in asked.column("asked").to_pylist()]
-        own = [np.frombuffer(x, t) for c, t in (("keys", np.uint64), ("counts", np.int64)) for x in (known.column(c).to_pylist() if known.num_rows else [b""])]
+        lists = [from_planes(x) for x in asked.column("asked").to_pylist()]
+        own = [from_planes(x, t) for c, t in (("keys", np.uint64), ("counts", np.int64)) for x in (known.column(c).to_pylist() if known.num_rows else [b""])]
         wanted = counted(np.concatenate(lists))[0] if lists else np.zeros(0, np.uint64)
         kind = asked.column("kind")[0].as_py() if lists else 1
         if kind == 0:
