@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+from corvane.plans import base, corpus, entities, evaluation, ledger, retrieval, structure, textual  # noqa: F401  each registers its queries
+
+QUERIES = base.QUERIES
+ORACLES = base.ORACLES
+FLAGSHIP = "hybrid_search"
