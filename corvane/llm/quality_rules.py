@@ -30,19 +30,21 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK_RUN))
 
 
-def lines_of(text: Column) -> Column:
-    """Lines that hold a word: each with its normal form and its number of words."""
-    split = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
+def worded_lines(text: Column) -> Column:
+    """Lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
 
-    def parsed(line: Column) -> Column:
-        normal = F.translate(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK_RUN, " "), UPPER, LOWER)
-        return F.struct(line.alias("line"), normal.alias("normal"), (F.length(normal) - F.length(F.translate(normal, " ", "")) + 1).alias("words"))
 
-    return F.transform(split, parsed)
+def normal_form(line: Column) -> Column:
+    return F.translate(F.regexp_replace(F.btrim(line, F.lit(BLANKS)), BLANK_RUN, " "), UPPER, LOWER)
+
+
+def line_words(normal: Column) -> Column:
+    return F.length(normal) - F.length(F.translate(normal, " ", "")) + 1
 
 
 def text_statistics(df: DataFrame) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``_text`` (with ``_lines``, see ``lines_of``)."""
+    """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of ``_text`` (with ``_lines``, its worded lines)."""
     df = df.withColumn("_words", words_of(F.col("_text")))
     n = F.size("_words")
     df = df.withColumn("_windows", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
@@ -58,13 +60,12 @@ def text_statistics(df: DataFrame) -> DataFrame:
     df = df.withColumn("_places", F.when(F.col("_repeats"), F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), last), has_twin), lambda k: F.get("_sorted", k)["i"]))))
     end = F.size("_places") - 1
     covered = F.aggregate(F.sequence(F.lit(0), end), F.lit(0).cast("long"), lambda total, k: total + F.when(k == end, WINDOW).otherwise(F.least(F.lit(WINDOW), F.get("_places", k + 1) - F.get("_places", k))))
-    lines = F.transform("_lines", lambda x: x["line"])
     return df.withColumns(
         {
             "n_words": n.cast("long"),
             "word_chars": F.length(F.translate("_text", BLANKS, "")).cast("long"),
             "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct(lines))).cast("long"),
+            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.when(F.col("_repeats"), covered).otherwise(F.lit(0)).cast("long"),
         }
     ).drop("_words", "_windows", "_repeats", "_sorted", "_places")
@@ -81,34 +82,42 @@ def frequent_lines(lines: DataFrame, min_documents: int, host_share: float) -> D
     return over.groupBy("_host").agg(F.collect_list("h").alias("_over"))
 
 
-def quality_rules(df: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, min_left: int = MIN_LEFT) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left_words, clean_text and kept.
+def quality_rules(df: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, min_left: int = MIN_LEFT, clean: bool = True) -> DataFrame:
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left_words, kept and (if ``clean``) clean_text.
 
     clean_text is the text without the lines over the limit (lines without a word go too). base_failed: fewer than 20
     words, or more than 30 % of them in windows of eight words found twice. kept: not base_failed, and at least
     ``min_left`` words are left. A null text counts as empty (it fails); rows of null host form one host. Repeated
     rows count as one document and get the same verdict. Columns of the added names are replaced. An empty table gives
     an empty one.
+
+    Texts are read once: their statistics and line hashes (with the text only if ``clean``) go to a table that the
+    second pass reads.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "clean_text", "kept"]
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "kept", *(["clean_text"] if clean else [])]
     base = df.drop(*added).withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_text": F.coalesce(F.col(text), F.lit(""))})
-    parsed = base.withColumn("_lines", lines_of(F.col("_text")))
-    longest = F.array_max(F.transform("_lines", lambda x: F.struct(F.length(x["normal"]), x["normal"])))
-    hashes = F.transform("_lines", lambda x: F.xxhash64(x["normal"]))
-    over = saved(frequent_lines(parsed.select("_host", longest.alias("_longest"), hashes.alias("_hashes")).select("_host", F.xxhash64("_longest").alias("_anchor"), "_hashes"), min_documents, host_share))
+    base = base.withColumn("_lines", worded_lines(F.col("_text")))
+    base = base.withColumn("_normal", F.transform("_lines", normal_form))
+    longest = F.array_max(F.transform("_normal", lambda x: F.struct(F.length(x), x)))
+    parsed = text_statistics(base).withColumns({"_anchor": F.xxhash64(longest), "_hashes": F.transform("_normal", lambda x: F.xxhash64(x)), "_sizes": F.transform("_normal", line_words)})
+    parsed = saved(parsed.drop("_normal", "_lines", *([] if clean else ["_text", text])))
+    over = saved(frequent_lines(parsed.select("_host", "_anchor", "_hashes"), min_documents, host_share))
     if over.count() <= BROADCAST_HOSTS:
         over = F.broadcast(over)
-    joined = text_statistics(parsed).join(over, "_host", "left")
-    left = F.filter("_lines", lambda x: ~F.coalesce(F.array_contains("_over", F.xxhash64(x["normal"])), F.lit(False)))
-    joined = joined.withColumn("_left", left)
+    joined = parsed.join(over, "_host", "left").withColumn("_over", F.coalesce("_over", F.array().cast("array<bigint>")))
+    left = F.zip_with("_hashes", "_sizes", lambda h, n: F.when(F.array_contains("_over", h), 0).otherwise(n))
+    joined = joined.withColumn("n_left_words", F.aggregate(left, F.lit(0).cast("long"), lambda total, n: total + n))
+    if clean:
+        kept_lines = F.filter(F.arrays_zip(worded_lines(F.col("_text")).alias("line"), F.col("_hashes").alias("h")), lambda x: ~F.array_contains("_over", x["h"]))
+        joined = joined.withColumn("clean_text", F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    joined = joined.withColumns({"base_failed": failed, "n_left_words": F.aggregate("_left", F.lit(0).cast("long"), lambda total, x: total + x["words"]), "clean_text": F.array_join(F.transform("_left", lambda x: x["line"]), "\n")})
-    joined = joined.withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= min_left))
-    return joined.select(*[c for c in df.columns if c not in added], *added)
+    joined = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= min_left))
+    return joined.select(*[c for c in df.columns if c not in added and (clean or c != text)], *added)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "kept")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality_rules(docs, clean=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left_words", "kept")
 
 
 OP9_SQL = r"""
