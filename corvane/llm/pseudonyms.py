@@ -212,8 +212,8 @@ def _known(kind: str, value: str, key: bytes) -> str | None:
 def pseudonymise_column(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, kinds: str = "pii_kinds") -> DataFrame:
     """Replace personal data in column ``text`` and add ``kinds``, the array of what was replaced, in order.
 
-    A null text stays null with a null array; an empty one stays empty. All else of the text, its length too, is
-    kept. Repeated rows get equal texts. A column named ``kinds`` is replaced.
+    A null text stays null with a null array; an empty one stays empty. All else of the text is kept, and its
+    length too but for the widths of an IPv4 address's numbers. Repeated rows get equal texts. A column named ``kinds`` is replaced.
     """
     kept = [f for f in df.schema.fields if f.name != kinds]
     names = [f.name for f in kept]
