@@ -54,3 +54,32 @@ def tolerance_join(targets: DataFrame, sources: DataFrame, by: str, target: str,
     hit = t.join(s, [by, "_bucket"]).where(F.abs(F.col(value) - F.col(target)) <= F.greatest(F.col(width), F.lit(0.5)))
     w = Window.partitionBy(*targets.columns).orderBy(source_key)
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*targets.columns, source_key, value)
+
+
+def containment_groups(df: DataFrame, by: str, key: str, text: str) -> DataFrame:
+    """``by, key, group``: within ``by``, rows whose texts are equal or one holds the other are tied; group is the smallest key reached.
+
+    Groups of ``by`` are small (the claims on one passage); each is closed in memory.
+    """
+    import pandas as pd
+
+    def close(k: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(key, kind="stable")
+        keys, texts = own[key].tolist(), own[text].fillna("").tolist()
+        root = list(range(len(keys)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for j in range(len(keys)):
+            for i in range(j):
+                if texts[i] in texts[j] or texts[j] in texts[i]:
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+        return pd.DataFrame({by: own[by], key: keys, "group": [keys[find(i)] for i in range(len(keys))]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.select(by, key, text).groupBy(by).applyInPandas(close, f"{by} {kinds[by]}, {key} {kinds[key]}, group {kinds[key]}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import base, corpus, entities, evaluation, ledger, retrieval, streams, structure, textual  # noqa: F401  each registers its queries
+from corvane.plans import base, corpus, entities, evaluation, ledger, retrieval, streams, structure, supporting, textual  # noqa: F401  each registers its queries
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
