@@ -22,7 +22,7 @@ from corvane.llm.common import span_hashes
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 800_000
 LONG_WORD = 64  # bytes; longer words are merged one by one, with a heap
 NEVER = np.int64(1) << 40
 

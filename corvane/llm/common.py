@@ -79,21 +79,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
+HASH_BYTES = 1 << 20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
         for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(size, base, np.uint64)
+            table = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
             table[0] = 1
             _powers[k] = np.multiply.accumulate(table)
     return _powers[0], _powers[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[start:end]`` for every span: differences of one running sum."""
+    """A 64-bit hash of ``data[start:end]`` for every span (in order): differences of one running sum."""
+    if len(data) > HASH_BYTES and len(starts) > 1:  # in slices, so that the tables stay small
+        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), HASH_BYTES // 2)))
+        out = [_span_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(cuts, [*cuts[1:], len(starts)]) if b > a]
+        return np.concatenate(out)
+    return _span_hashes(data, starts, ends)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[data] * power[: len(data)], out=total[1:])

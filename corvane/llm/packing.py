@@ -45,7 +45,7 @@ def tokenized_pieces(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         for batch in batches:
             keys = batch.column(0)
             data, offsets = text_buffers(batch.column(1))
-            for a, b in row_groups(offsets, 6 << 20):
+            for a, b in row_groups(offsets, 4 << 20):
                 got, at = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 got = got.astype("<u4")
                 rows, piece, start, length, ids = [], [], [], [], []
