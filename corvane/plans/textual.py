@@ -123,3 +123,41 @@ def marker_stripping(spark, sf_dir: str) -> DataFrame:
     """Markers and emphasis removed."""
     clean = F.regexp_replace(F.regexp_replace("text", r"\s*\[\[[^\]]*\]\]", ""), "[*_`]+", "")
     return table(spark, sf_dir, "documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.md5(clean).alias("hash"))
+
+
+@query(r"""WITH r AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '\b\d{3}-\d{4}\b')) AS refs FROM documents) SELECT doc_id, len(refs) AS n, array_to_string(list_sort(refs), ',') AS refs FROM r WHERE len(refs) > 0""")
+def section_references(spark, sf_dir: str) -> DataFrame:
+    """I16: distinct hyphenated references of a text."""
+    refs = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b\d{3}-\d{4}\b"), F.lit(0)))
+    return table(spark, sf_dir, "documents").select("doc_id", refs.alias("r")).where(F.size("r") > 0).select("doc_id", F.size("r").cast("long").alias("n"), F.array_join(F.array_sort("r"), ",").alias("refs"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract_all(lower(text), 'apache license|mit license|gnu general public license|cc by-nc|all rights reserved|license') AS hits FROM documents)
+SELECT doc_id, array_to_string(list_sort(list_distinct(hits)), ',') AS types, len(list_filter(hits, lambda h: h = 'license')) = 0 AS exact FROM m WHERE len(hits) > 0""")
+def type_phrases(spark, sf_dir: str) -> DataFrame:
+    """Phrases longest first; a text is filterable if none of its matches is the weak one."""
+    hits = F.regexp_extract_all(F.lower("text"), F.lit("apache license|mit license|gnu general public license|cc by-nc|all rights reserved|license"), F.lit(0))
+    m = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
+    return m.select("doc_id", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("types"), (~F.array_contains("hits", "license")).alias("exact"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, i, t, regexp_matches(t, '^\S+ \| ') AS listed FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS t FROM documents))
+SELECT doc_id, count(*) AS lines, count(*) FILTER (listed) AS listed, min(i) FILTER (listed) AS first FROM l GROUP BY doc_id""")
+def heading_split(spark, sf_dir: str) -> DataFrame:
+    """Lines of a text by kind."""
+    l = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).withColumn("listed", F.col("t").rlike(r"^\S+ \| "))  # noqa: E741
+    return l.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("listed").alias("listed"), (F.min(F.when(F.col("listed"), F.col("i"))) + 1).cast("long").alias("first"))
+
+
+@query(r"""SELECT o_orderkey, printf('$%.2f %.2f ($%.2f)', o_totalprice, o_totalprice, o_totalprice) AS forms FROM orders""")
+def locate_candidates(spark, sf_dir: str) -> DataFrame:
+    """The ways in which an amount may be written (joined in order of the list)."""
+    forms = F.array(*[F.format_string(p, "o_totalprice") for p in ("$%.2f", "%.2f", "($%.2f)")])
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.array_distinct(forms), " ").alias("forms"))
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_extract(url, '([^/?#.]+)(?:[.?#][^/]*)?$', 1) AS tail FROM pages) SELECT page_id, tail, regexp_matches(tail, '^([a-z]{1,3}\d+|\d+)$') AS is_section FROM t""")
+def id_tails(spark, sf_dir: str) -> DataFrame:
+    """An id's tail, and whether it names a section."""
+    tail = F.regexp_extract("url", r"([^/?#.]+)(?:[.?#][^/]*)?$", 1)
+    return table(spark, sf_dir, "pages").select("page_id", tail.alias("tail")).withColumn("is_section", F.col("tail").rlike(r"^([a-z]{1,3}\d+|\d+)$"))
