@@ -9,7 +9,8 @@ with fewer than two bits need no key: they are what unrelated documents share. C
 verified on the texts.
 
 Equal sets are one node. In a block's bucket with many documents each is paired with one leader; what
-these links leave apart is then paired within the bucket unless a small sketch of each rules the pair out. Of all
+these links leave apart is then paired within the bucket, the nearest first, unless a small sketch of each rules the
+pair out. Of all
 candidates a forest is verified first, and then only pairs between what is still apart: a pair that is
 linked already can't change the components.
 """
@@ -27,7 +28,8 @@ from corvane.llm.common import LOWER_ASCII, mix64, partitions_for, read_table, r
 from corvane.llm.components import connected_components
 
 SMALL_BUCKET = 8
-FLUSH_KEYS = 1_500_000
+FLUSH_KEYS = 600_000
+GROUP_BYTES = 3 << 20
 KEYS_PER_PART = 400_000
 BROADCAST_ROWS = 1_000_000
 SKETCH_WORDS = 8  # of 64 bits, in the small sketch
@@ -107,7 +109,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int):
     """(batch, first row, sets) of row groups; the text is the batch's last column."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(batch.num_columns - 1))
-        for a, b in row_groups(offsets, 8 << 20):
+        for a, b in row_groups(offsets, GROUP_BYTES):
             yield batch, a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
 
 
@@ -124,8 +126,26 @@ def shingle_summary(docs: DataFrame, doc_id: str, text: str, words: int) -> Data
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp long, sketch binary")
 
 
+KEY_BYTES = 6  # of a key's hash that are sent: a chance match is one more candidate
+
+
+def packed_keys(key: np.ndarray, name: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys by byte planes, the distinct sets, and for each key the number of its set, by planes."""
+    names, number = np.unique(name, return_inverse=True)
+    planes = lambda x, n: np.ascontiguousarray(x.astype(f"<u{8 if n > 4 else 4}").view(np.uint8).reshape(len(x), -1).T[:n]).tobytes()
+    return planes(key, KEY_BYTES), names.tobytes(), planes(number, 4)
+
+
+def unpacked_keys(keys: bytes, names: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(numbers) // 4
+    key = np.zeros((n, 8), np.uint8)
+    key[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(KEY_BYTES, n).T
+    number = np.ascontiguousarray(np.frombuffer(numbers, np.uint8).reshape(4, n).T).view("<u4").ravel()
+    return key.view("<u8").ravel(), np.frombuffer(names, np.uint64)[number]
+
+
 def candidate_rows(docs: DataFrame, text: str, words: int, percent: int, largest: int, parts: int) -> DataFrame:
-    """``part, keys, fps``: block keys and the sets that hold them, packed as arrays of 64-bit integers."""
+    """``part, keys, fps, numbers``: block keys and the sets that hold them, packed (see ``packed_keys``)."""
     bands = size_bands(largest, percent)
     limit = [int(most_different(high + partner, percent)) for _, high, partner in bands]
     low_of = np.array([low for low, _, _ in bands])
@@ -136,14 +156,17 @@ def candidate_rows(docs: DataFrame, text: str, words: int, percent: int, largest
         size = 0
 
         def flush():
-            rows = np.unique(np.stack([np.concatenate(keys), np.concatenate(names)], 1).view("u8,u8").ravel()) if keys else np.zeros(0, "u8,u8")
-            key, name = rows["f0"], rows["f1"]
-            part = (key >> np.uint64(33)) % np.uint64(parts)
-            order = np.argsort(part, kind="stable")
+            key, name = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (keys, names))
+            part = ((key >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+            key &= np.uint64((1 << 8 * KEY_BYTES) - 1)
+            order = np.lexsort((name, key, part))
             part, key, name = part[order], key[order], name[order]
+            fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])) if len(key) else np.zeros(0, bool)
+            part, key, name = part[fresh], key[fresh], name[fresh]
             first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
             last = np.append(first[1:], len(part))
-            return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), pa.array([key[x:y].tobytes() for x, y in zip(first, last)], pa.binary()), pa.array([name[x:y].tobytes() for x, y in zip(first, last)], pa.binary())], names=["part", "keys", "fps"])
+            rows = [packed_keys(key[x:y], name[x:y]) for x, y in zip(first, last)]
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["part", "keys", "fps", "numbers"])
 
         for _, _, sets in _sets_of(batches, words):
             for own in sets:
@@ -162,15 +185,14 @@ def candidate_rows(docs: DataFrame, text: str, words: int, percent: int, largest
                     keys, names, size = [], [], 0
         yield flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part int, keys binary, fps binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part int, keys binary, fps binary, numbers binary")
 
 
 def bucket_pairs(rows: DataFrame) -> DataFrame:
     """``bucket, a, b``: candidate pairs (bucket null), and the members (b null) of buckets that were paired with a leader only."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        name = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64)
+        key, name = (np.concatenate(x) for x in zip(*(unpacked_keys(*(c.as_py() for c in r)) for r in zip(*(table.column(c) for c in ("keys", "fps", "numbers"))))))
         order = np.lexsort((name, key))
         key, name = key[order], name[order]
         fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
@@ -195,11 +217,11 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(pairs, "bucket long, a long, b long")
 
 
-def apart_in_buckets(members: DataFrame, percent: int) -> DataFrame:
+def apart_in_buckets(members: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs ``a, b`` between components of one bucket that the small sketches don't rule out.
 
     ``members``: bucket, fp, n_shingles, sketch, component. The largest component's members are paired only with
-    the others.
+    the others; if ``closest``, each of these with the one member of each other component whose sketch is nearest.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -212,6 +234,10 @@ def apart_in_buckets(members: DataFrame, percent: int) -> DataFrame:
             distance = np.bitwise_count(sketch ^ sketch[i]).sum(1)
             small, big = np.minimum(size, size[i]), np.maximum(size, size[i])
             near = (distance <= most_different(size + size[i], percent)) & (100 * small >= percent * big) & (comp != comp[i])
+            near = np.flatnonzero(near)
+            if closest:
+                near = near[np.lexsort((distance[near], which[near]))]
+                near = near[np.append(True, which[near][1:] != which[near][:-1])] if len(near) else near
             found.append(np.stack([np.minimum(fp[near], fp[i]), np.maximum(fp[near], fp[i])], 1))
         ends = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
@@ -227,7 +253,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             sides = []
             for column in ("text_a", "text_b"):
                 data, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
-                sides.append([s for x, y in row_groups(offsets, 8 << 20) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words)])
+                sides.append([s for x, y in row_groups(offsets, GROUP_BYTES) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words)])
             same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
             keep = pa.array([100 * s >= percent * (len(x) + len(y) - s) for s, x, y in zip(same, *sides)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
@@ -263,13 +289,21 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     forest = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, percent)
     links = saved(forest)
-    near = saved(connected_components(links))
-    label = nodes.join(near, F.col("fp") == F.col("node"), "left").select("fp", "n_shingles", "sketch", F.coalesce("component", "fp").alias("component"))
-    side = label.join(involved.select("fp"), "fp", "left_semi")
-    side = saved(side)
-    members = found.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("fp")).join(side, "fp")
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    more = apart_in_buckets(members.join(mixed, "bucket"), percent)
+
+    def sides() -> tuple[DataFrame, DataFrame]:
+        """Involved sets with their components so far, and the members of buckets that hold several."""
+        near = connected_components(links)
+        label = nodes.join(near, F.col("fp") == F.col("node"), "left").select("fp", "n_shingles", "sketch", F.coalesce("component", "fp").alias("component"))
+        side = saved(label.join(involved.select("fp"), "fp", "left_semi"))
+        members = found.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("fp")).join(side, "fp")
+        mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+        return side, members.join(mixed, "bucket")
+
+    # First what is nearest across components, most of which is linked; then all that is still apart.
+    _, members = sides()
+    links = saved(links.unionByName(verified(apart_in_buckets(members, percent, True).distinct(), texts, words, percent)))
+    side, members = sides()
+    more = apart_in_buckets(members, percent, False)
     a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns]) for k in "ab")
     other = pairs.join(a, F.col("a") == F.col("fp_a")).join(b, F.col("b") == F.col("fp_b")).where("component_a != component_b")
     differ = sum((F.bit_count(F.conv(F.hex(F.substring("sketch_a", i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("sketch_b", i, 4)), 16, 10).cast("long"))) for i in range(1, 8 * SKETCH_WORDS, 4)), F.lit(0))

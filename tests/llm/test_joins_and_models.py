@@ -83,7 +83,9 @@ def test_sketch_bound():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [0, components.CLOSE_EDGES])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "CLOSE_EDGES", limit)
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(300)] + [(5000, 5000)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long").repartition(7)).collect()}
