@@ -100,7 +100,8 @@ def quality_rules(df: DataFrame, text: str = "text", host: str = "source", min_d
     base = base.withColumn("_normal", F.transform("_lines", normal_form))
     longest = F.array_max(F.transform("_normal", lambda x: F.struct(F.length(x), x)))
     parsed = text_statistics(base).withColumns({"_anchor": F.xxhash64(longest), "_hashes": F.transform("_normal", lambda x: F.xxhash64(x)), "_sizes": F.transform("_normal", line_words)})
-    parsed = saved(parsed.drop("_normal", "_lines", *([] if clean else ["_text", text])))
+    # Written, not only planned: a filter on the results would be pushed down and copy these expressions into their lambdas.
+    parsed = saved(parsed.drop("_normal", "_lines", "_text", *([] if clean else [text])))
     over = saved(frequent_lines(parsed.select("_host", "_anchor", "_hashes"), min_documents, host_share))
     if over.count() <= BROADCAST_HOSTS:
         over = F.broadcast(over)
@@ -108,7 +109,7 @@ def quality_rules(df: DataFrame, text: str = "text", host: str = "source", min_d
     left = F.zip_with("_hashes", "_sizes", lambda h, n: F.when(F.array_contains("_over", h), 0).otherwise(n))
     joined = joined.withColumn("n_left_words", F.aggregate(left, F.lit(0).cast("long"), lambda total, n: total + n))
     if clean:
-        kept_lines = F.filter(F.arrays_zip(worded_lines(F.col("_text")).alias("line"), F.col("_hashes").alias("h")), lambda x: ~F.array_contains("_over", x["h"]))
+        kept_lines = F.filter(F.arrays_zip(worded_lines(F.coalesce(F.col(text), F.lit(""))).alias("line"), F.col("_hashes").alias("h")), lambda x: ~F.array_contains("_over", x["h"]))
         joined = joined.withColumn("clean_text", F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     joined = joined.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= min_left))
