@@ -262,6 +262,38 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def fitted_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """``fp, n, bits``: a parity sketch of each set as long as its size asks for (a power of two of bits, about twice its shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, a, sets in _sets_of(batches, words):
+            bits = []
+            for own in sets:
+                size = 1 << max(9, int(2 * len(own)).bit_length() - 1)
+                flips = np.bincount(((own >> np.uint64(7)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+                bits.append(np.packbits(flips.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())], names=["fp", "n", "bits"])
+
+    return texts.select("fp", "text").mapInArrow(run, "fp long, n long, bits binary")
+
+
+def not_ruled_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and sketches allow the similarity. Of two lengths the longer sketch is folded onto the shorter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), 0) for v in (x, y))
+                keep.append(100 * min(n, m) >= percent * max(n, m) and int(np.bitwise_count(x ^ y).sum()) <= most_different(n + m, percent))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (sketches.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id``.
 
@@ -287,7 +319,12 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         wanted = F.broadcast(wanted)
     texts = saved(docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text")).join(wanted, "first_id").select("fp", "text").transform(lambda d: _right_rows(d, words)).dropDuplicates(["fp"]))
 
-    forest = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words, percent)
+    sketches = saved(fitted_sketches(texts, words))
+
+    def checked(some: DataFrame) -> DataFrame:
+        return verified(not_ruled_out(some.distinct(), sketches, percent), texts, words, percent)
+
+    forest = checked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = saved(forest)
 
     def sides() -> tuple[DataFrame, DataFrame]:
@@ -301,7 +338,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # First what is nearest across components, most of which is linked; then all that is still apart.
     _, members = sides()
-    links = saved(links.unionByName(verified(apart_in_buckets(members, percent, True).distinct(), texts, words, percent)))
+    links = saved(links.unionByName(checked(apart_in_buckets(members, percent, True))))
     side, members = sides()
     more = apart_in_buckets(members, percent, False)
     a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns]) for k in "ab")
@@ -309,7 +346,7 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     differ = sum((F.bit_count(F.conv(F.hex(F.substring("sketch_a", i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("sketch_b", i, 4)), 16, 10).cast("long"))) for i in range(1, 8 * SKETCH_WORDS, 4)), F.lit(0))
     s = F.col("n_shingles_a") + F.col("n_shingles_b")
     other = other.where((differ * (100 + percent) <= s * (100 - percent)) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")))
-    late = verified(other.select("a", "b").unionByName(more).distinct(), texts, words, percent)
+    late = checked(other.select("a", "b").unionByName(more))
     component = connected_components(links.unionByName(late))
 
     # A component's smallest id, over all rows that hold its sets.
