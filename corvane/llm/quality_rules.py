@@ -2,7 +2,8 @@
 
 Lines are normalised and hashed; a line is over its limit on a host when more distinct documents of that host hold it
 than ``max(min_documents, host_share * the host's distinct documents)``. Copies and near copies of one
-document are one document here: documents count as distinct by their longest line. Lines over the limit are
+document are one document here: for a line, the documents that hold it count as distinct by their longest other line,
+or by their id if they have no other; the host's documents count as distinct by their longest line. Lines over the limit are
 removed, and a document that keeps fewer than ``min_left`` words is rejected.
 """
 
@@ -72,8 +73,13 @@ def text_statistics(df: DataFrame) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, min_documents: int, host_share: float) -> DataFrame:
-    """``_host, _over``: the hashes of each host's lines over the limit; ``lines``: _host, _anchor, _hashes."""
-    held = lines.select("_host", "_anchor", F.explode(F.array_distinct("_hashes")).alias("h"))
+    """``_host, _over``: the hashes of each host's lines over the limit; ``lines``: _host, _anchor, _second, _own, _hashes.
+
+    _anchor and _second: hashes of the longest line and of the longest other one (null if none); _own: hash of the id.
+    """
+    held = lines.select("_host", "_anchor", "_second", "_own", F.explode(F.array_distinct("_hashes")).alias("h"))
+    # A line isn't counted by itself: documents of which it is the longest line are told apart by the next.
+    held = held.select("_host", "h", F.when(F.col("h") == F.col("_anchor"), F.coalesce("_second", "_own")).otherwise(F.col("_anchor")).alias("_anchor"))
     # Count documents in two steps: (host, line, document) spreads a hot line over all tasks.
     by_line = held.groupBy("_host", "h").agg(F.countDistinct("_anchor").alias("n")).where(F.col("n") > min_documents)
     by_host = lines.groupBy("_host").agg(F.countDistinct("_anchor").alias("total"))
@@ -82,13 +88,13 @@ def frequent_lines(lines: DataFrame, min_documents: int, host_share: float) -> D
     return over.groupBy("_host").agg(F.collect_list("h").alias("_over"))
 
 
-def quality_rules(df: DataFrame, text: str = "text", host: str = "source", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, min_left: int = MIN_LEFT, clean: bool = True) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, min_left: int = MIN_LEFT, clean: bool = True) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left_words, kept and (if ``clean``) clean_text.
 
     clean_text is the text without the lines over the limit (lines without a word go too). base_failed: fewer than 20
     words, or more than 30 % of them in windows of eight words found twice. kept: not base_failed, and at least
     ``min_left`` words are left. A null text counts as empty (it fails); rows of null host form one host. Repeated
-    rows count as one document and get the same verdict. Columns of the added names are replaced. An empty table gives
+    rows count as one document and get the same verdict; documents of one and the same line count by ``key``. Columns of the added names are replaced. An empty table gives
     an empty one.
 
     Texts are read once: their statistics and line hashes (with the text only if ``clean``) go to a table that the
@@ -98,11 +104,13 @@ def quality_rules(df: DataFrame, text: str = "text", host: str = "source", min_d
     base = df.drop(*added).withColumns({"_host": F.coalesce(F.col(host), F.lit("")), "_text": F.coalesce(F.col(text), F.lit(""))})
     base = base.withColumn("_lines", worded_lines(F.col("_text")))
     base = base.withColumn("_normal", F.transform("_lines", normal_form))
-    longest = F.array_max(F.transform("_normal", lambda x: F.struct(F.length(x), x)))
-    parsed = text_statistics(base).withColumns({"_anchor": F.xxhash64(longest), "_hashes": F.transform("_normal", lambda x: F.xxhash64(x)), "_sizes": F.transform("_normal", line_words)})
+    base = base.withColumn("_ranked", F.transform("_normal", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    base = base.withColumn("_longest", F.array_max("_ranked")["x"])
+    other = F.array_max(F.filter("_ranked", lambda r: r["x"] != F.col("_longest")))["x"]
+    parsed = text_statistics(base).withColumns({"_anchor": F.xxhash64("_longest"), "_second": F.when(other.isNotNull(), F.xxhash64(other)), "_own": F.xxhash64(F.lit("id"), F.col(key)), "_hashes": F.transform("_normal", lambda x: F.xxhash64(x)), "_sizes": F.transform("_normal", line_words)})
     # Written, not only planned: a filter on the results would be pushed down and copy these expressions into their lambdas.
-    parsed = saved(parsed.drop("_normal", "_lines", "_text", *([] if clean else [text])))
-    over = saved(frequent_lines(parsed.select("_host", "_anchor", "_hashes"), min_documents, host_share))
+    parsed = saved(parsed.drop("_normal", "_ranked", "_longest", "_lines", "_text", *([] if clean else [text])))
+    over = saved(frequent_lines(parsed.select("_host", "_anchor", "_second", "_own", "_hashes"), min_documents, host_share))
     if over.count() <= BROADCAST_HOSTS:
         over = F.broadcast(over)
     joined = parsed.join(over, "_host", "left").withColumn("_over", F.coalesce("_over", F.array().cast("array<bigint>")))
