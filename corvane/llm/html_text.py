@@ -3,7 +3,8 @@
 The standard library's streaming parser gives events; block elements end lines. Each line has a ratio of text outside
 links to tags. Smoothed with a Gaussian along the page, the ratios are parted by a threshold into two clusters, and the
 runs of the upper one are the content regions. The article is the smallest container that holds nearly all
-of their text; its lines are returned without those of boilerplate elements.
+of their text; its lines are returned without those of boilerplate elements. An element is not boilerplate by a word of
+its class, id or role if it wraps the page's article or main element, or far more of the text than what is left without it.
 """
 
 from __future__ import annotations
@@ -34,29 +35,33 @@ BOILERPLATE = set(
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.5
 SHARE = 0.9
+# Times the text left without it that an element marked by a word must hold to count as a wrapper: on pages without article text, and with it.
+WRAPS, WRAPS_ARTICLE = 2, 10
 
 
 class Lines(HTMLParser):
-    """Collects the page's lines: text, tags, characters in links, container, and whether all of it is boilerplate."""
+    """Collects the page's lines: text, tags, characters in links, container, whether all of it is boilerplate, and the innermost element marked by a word."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # name, in boilerplate, container
+        self.stack: list[tuple[str, bool, int, int]] = []  # name, in boilerplate, container, marked element
         self.parents: list[tuple[int, str]] = [(-1, "root")]  # containers: parent and name
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.marked: list[int] = [-1]  # elements marked by a word: parent; the first stands for none
+        self.articles: list[tuple[int, int]] = []  # unmarked main and outermost article elements: container and marked element around it
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            skip, container = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
-            self.lines.append((text, max(self.tags, 1), self.linked, container, skip))
+            skip, container, mark = self.stack[-1][1:] if self.stack else (False, 0, 0)
+            self.lines.append((text, max(self.tags, 1), self.linked, container, skip, mark))
             self.tags = 0
         self.parts, self.linked = [], 0
 
     def drop(self, depth: int) -> None:
-        for name, _, _ in self.stack[depth:]:
+        for name, *_ in self.stack[depth:]:
             self.links -= name == "a"
         del self.stack[depth:]
 
@@ -76,25 +81,74 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        skip, container = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+        skip, container, mark = self.stack[-1][1:] if self.stack else (False, 0, 0)
+        starts = False
+        word = self.has_word(attrs)
         if not skip:
-            skip = tag in NOT_CONTENT or tag == "header" and not any(n in ("article", "main") for n, _, _ in self.stack) or tag not in ("html", "body", "article", "main") and self.boilerplate(attrs)
+            skip = starts = tag in NOT_CONTENT or tag == "header" and not any(x[0] in ("article", "main") for x in self.stack) or tag not in ("html", "body", "article", "main") and self.hidden(attrs)
         if tag in CONTAINERS:
             self.parents.append((container, tag))
             container = len(self.parents) - 1
+        if tag in ("article", "main"):
+            if not word and not skip and not any(x[0] == "article" for x in self.stack):
+                self.articles.append((container, mark))
+        elif word and not skip and tag not in ("html", "body"):
+            self.marked.append(mark)
+            mark, starts = len(self.marked) - 1, True
         self.links += tag == "a"
-        if skip and not (self.stack and self.stack[-1][1]):
+        if starts:
             self.flush()
-        self.stack.append((tag, skip, container))
+        self.stack.append((tag, skip, container, mark))
 
     @staticmethod
-    def boilerplate(attrs: list[tuple[str, str | None]]) -> bool:
-        for key, value in attrs:
-            if key in ("hidden",) or key == "aria-hidden" and value == "true" or key == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-            if key in ("class", "id", "role") and value and any(w.lower() in BOILERPLATE for w in _WORD.findall(value)):
-                return True
-        return False
+    def hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and re.search(r"display\s*:\s*none", value) for key, value in attrs)
+
+    @staticmethod
+    def has_word(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(key in ("class", "id", "role") and value and any(w.lower() in BOILERPLATE for w in _WORD.findall(value)) for key, value in attrs)
+
+    def boilerplate(self) -> list[bool]:
+        """Of each line, whether it is boilerplate: in such an element, or in one marked by a word that isn't a wrapper."""
+        if len(self.marked) == 1:
+            return [x[4] for x in self.lines]
+        free = [0 if x[4] else max(len(x[0]) - x[2], 0) for x in self.lines]
+        held, text = [0] * len(self.parents), [0] * len(self.marked)
+        for x, n in zip(self.lines, free):
+            held[x[3]] += n
+            text[x[5]] += n
+        for sums, up in ((held, [p for p, _ in self.parents]), (text, self.marked)):  # parents come before what they hold
+            for c in range(len(sums) - 1, 0, -1):
+                sums[up[c]] += sums[c]
+        wrapper = [False] * len(self.marked)
+        largest = max((held[c] for c, _ in self.articles if self.parents[c][1] == "article"), default=0)
+        for c, mark in self.articles:  # articles much smaller than the largest are teasers or comments
+            if held[c] and (self.parents[c][1] == "main" or 2 * held[c] >= largest):
+                while mark > 0:
+                    wrapper[mark] = True
+                    mark = self.marked[mark]
+        inside = [False] * len(self.parents)
+        for c, _ in self.articles:
+            inside[c] = True
+        for c in range(1, len(self.parents)):
+            inside[c] |= inside[self.parents[c][0]]
+
+        def condemned() -> list[bool]:
+            out = [False]
+            for m in range(1, len(self.marked)):
+                out.append(not wrapper[m] or out[self.marked[m]])
+            return out
+
+        out = condemned()
+        for m in sorted(range(1, len(self.marked)), key=lambda m: (-text[m], m)):
+            left = sum(n for x, n in zip(self.lines, free) if not out[x[5]])
+            article = any(n and inside[x[3]] and not out[x[5]] for x, n in zip(self.lines, free))
+            if text[m] <= (WRAPS_ARTICLE if article else WRAPS) * left:
+                break
+            if out[m] and not out[self.marked[m]]:
+                wrapper[m] = True
+                out = condemned()
+        return [x[4] or out[x[5]] for x in self.lines]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -105,8 +159,8 @@ class Lines(HTMLParser):
         self.tags += 1
         for depth in range(len(self.stack) - 1, -1, -1):
             if self.stack[depth][0] == tag:
-                outside = depth and self.stack[depth - 1][1]
-                if tag in BLOCKS or (self.stack[depth][1] and not outside):
+                outer = self.stack[depth - 1][1::2] if depth else (False, 0)
+                if tag in BLOCKS or self.stack[depth][1::2] != outer:
                     self.flush()
                 self.drop(depth)
                 return
@@ -149,8 +203,9 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
+    skip = page.boilerplate()
     size = np.array([len(x[0]) for x in lines], float)
-    free = np.array([0.0 if x[4] else max(len(x[0]) - x[2], 0) for x in lines])
+    free = np.array([0.0 if out else max(len(x[0]) - x[2], 0) for x, out in zip(lines, skip)])
     if not free.any():
         return ""
     ratio = smoothed(free / np.array([x[1] for x in lines]))
@@ -176,7 +231,7 @@ def main_text(html: str | None) -> str:
     for c in range(len(page.parents)):
         if page.parents[c][0] in inside:
             inside.add(c)
-    kept = np.array([x[3] in inside and not x[4] for x in lines])
+    kept = np.array([x[3] in inside and not out for x, out in zip(lines, skip)])
     if whole < 0:  # no article element: from the first to the last region, without lines that are mostly links
         span = np.flatnonzero(content & kept)
         if len(span):

@@ -140,6 +140,24 @@ def test_html():
     assert html_text.main_text("<div>" * 2000 + "deep text" + "</div>") == "deep text"
 
 
+LONG = "A long sentence of the article, which goes on for many words so that it stands out from the rest"
+
+
+@pytest.mark.parametrize("attrs", ["class='content-sidebar-wrap'", "class='page has-sidebar'", "class='post comments-open'", "id='page-header-fixed'"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_html_wrappers_stay(attrs, inner):
+    article = f"<{inner}><h1>Title</h1>" + "".join(f"<p>{LONG} {i}.</p>" for i in range(6)) + f"</{inner}>"
+    comments = "<section id='comments'>" + "<article class='comment-body'><p>A reader's comment, long enough to be text.</p></article>" * 3 + "</section>"
+    page = f"<body><nav><a href=x>Home</a></nav><div {attrs}>{article}{comments}<div class='widget'>Widget text</div></div><footer>foot</footer></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *(f"{LONG} {i}." for i in range(6))])
+
+
+def test_html_long_comments_go():
+    comments = "<div class='comments'>" + "".join(f"<p>{LONG}, says reader {i}.</p>" for i in range(9)) + "</div>"
+    page = f"<body><article><h1>Title</h1><p>{LONG} 1.</p><p>{LONG} 2.</p></article>{comments}</body>"
+    assert html_text.main_text(page) == f"Title\n{LONG} 1.\n{LONG} 2."
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "<body><p>Text &lt; here</p></body>", "old"), (2, "<body><p>Text &lt; here</p></body>", "old")], "page_id int, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, ""), (2, "Text < here"), (2, "Text < here")]
