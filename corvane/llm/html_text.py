@@ -2,8 +2,9 @@
 
 The standard library's streaming parser gives events; block elements end lines. Each line has a ratio of text outside
 links to tags. Smoothed with a Gaussian along the page, the ratios are parted by a threshold into two clusters, and the
-runs of the upper one are the content regions. The article is the smallest container that holds nearly all
-of their text; its lines are returned without those of boilerplate elements. An element is not boilerplate by a word of
+runs of the upper one are the content regions. The article is the article or main element that holds nearly all of
+their text, or else the smallest container that holds all regions; its lines are returned without those of boilerplate
+elements, and without its blocks of links if it isn't an article element. An element is not boilerplate by a word of
 its class, id or role if it wraps the page's article or main element, or far more of the text than what is left without it.
 """
 
@@ -212,7 +213,7 @@ def main_text(html: str | None) -> str:
     content = (ratio >= threshold(ratio)) & (free > 0)
     if not content.any():
         content = free > 0
-    # The smallest container that holds nearly all of the regions' text; an article or main element is taken whole.
+    # An article or main element that holds nearly all of the regions' text is taken whole; else the smallest container of all regions.
     weight = np.zeros(len(page.parents))
     for k in np.flatnonzero(content):
         c = lines[k][3]
@@ -227,17 +228,23 @@ def main_text(html: str | None) -> str:
             if page.parents[up][1] == "article":
                 break
         up = page.parents[up][0]
+    blocks = set()
+    if whole < 0:
+        best = max(c for c in range(len(weight)) if weight[c] >= weight[0])
+        # Containers of mostly links that hold no region, as menus without a name.
+        text, linked = np.zeros(len(weight)), np.zeros(len(weight))
+        for x in lines:
+            text[x[3]] += len(x[0])
+            linked[x[3]] += x[2]
+        for c in range(len(weight) - 1, 0, -1):
+            text[page.parents[c][0]] += text[c]
+            linked[page.parents[c][0]] += linked[c]
+        blocks = {int(c) for c in np.flatnonzero((weight == 0) & (linked > text / 2))}
     inside = {whole if whole >= 0 else best}
     for c in range(len(page.parents)):
-        if page.parents[c][0] in inside:
+        if page.parents[c][0] in inside and c not in blocks:
             inside.add(c)
     kept = np.array([x[3] in inside and not out for x, out in zip(lines, skip)])
-    if whole < 0:  # no article element: from the first to the last region, without lines that are mostly links
-        span = np.flatnonzero(content & kept)
-        if len(span):
-            kept[: span[0]] &= np.arange(span[0]) == span[0] - 1 if span[0] else False
-            kept[span[-1] + 1 :] = False
-        kept &= (free >= size / 2) | content
     return "\n".join(x[0] for x, k in zip(lines, kept) if k)
 
 

@@ -158,6 +158,18 @@ def test_html_long_comments_go():
     assert html_text.main_text(page) == f"Title\n{LONG} 1.\n{LONG} 2."
 
 
+def test_html_without_article_elements():
+    long = [f"{LONG} {i}." for i in range(8)]
+    first = "<div><h1>Title</h1><p>By A. Writer</p>" + "".join(f"<p>{t}</p>" for t in long) + "<p><a href=x>A source of it</a></p><p>The end.</p></div>"
+    second = "<div><h2>More</h2><p>A second block, which is short.</p><p>Bye.</p></div>"
+    menu = "<div>" + "".join(f"<p><a href=x>Menu {i}</a></p>" for i in range(5)) + "</div>"
+    want = ["Title", "By A. Writer", *long, "A source of it", "The end."]
+    assert html_text.main_text(f"<body>{menu}{first}<footer>foot</footer></body>").split("\n") == want
+    wide = second.replace("short.", f"in the same cluster as the first. {LONG}.")
+    got = html_text.main_text(f"<body>{menu}<div>{first}{wide}{menu}</div></body>").split("\n")
+    assert got == [*want, "More", f"A second block, which is in the same cluster as the first. {LONG}.", "Bye."]
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "<body><p>Text &lt; here</p></body>", "old"), (2, "<body><p>Text &lt; here</p></body>", "old")], "page_id int, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, ""), (2, "Text < here"), (2, "Text < here")]
