@@ -59,7 +59,7 @@ def dense_search_filtered(spark, sf_dir: str) -> DataFrame:
     return R.vector_search(v, q, 10, same="label")
 
 
-# A second lexical leg over whole documents' first words stands for the vector leg of text queries.
+# A second lexical leg, the count of distinct word pairs that a chunk shares with the query, stands for K1's dense leg (no model is here).
 HYBRID_SQL = f"""WITH {CHUNKS_SQL}, {BM25_SQL},
 tri AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM tok WHERE len(t) > 1),
 qtri AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g
@@ -91,7 +91,7 @@ def fused_pool(spark, sf_dir: str, keep: int = 20) -> DataFrame:
 
 @query(HYBRID_SQL + " SELECT query_id, chunk_id, score, legs, rank::INT AS rank FROM pool")
 def hybrid_search(spark, sf_dir: str) -> DataFrame:
-    """K1, K5, F1, H1: two legs, fused by reciprocal ranks."""
+    """K1 (its dense leg is a word-pair leg), K5, F1, H1: two legs, fused by reciprocal ranks."""
     return fused_pool(spark, sf_dir)
 
 
@@ -102,7 +102,7 @@ rec AS (SELECT *, round(s0 + 0.85::DOUBLE * (fiscal_year - max(fiscal_year) OVER
 pen AS (SELECT *, CASE WHEN doc_type = 'en' THEN s1 ELSE round(s1 - 2.0::DOUBLE, 6) END AS score FROM rec)
 SELECT query_id, chunk_id, fiscal_year, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pen) WHERE rank <= 5""")
 def hybrid_search_reranked(spark, sf_dir: str) -> DataFrame:
-    """K1 whole: pool, rerank (K6), recency (K7, F3), match penalty (K8), trim after all of them."""
+    """K1 (its dense leg is a word-pair leg): pool, rerank (K6), recency (K7, F3), match penalty (K8), trim after all of them."""
     pool = fused_pool(spark, sf_dir).select("query_id", "chunk_id")
     hits = chunks(spark, sf_dir).join(broadcast_if_small(pool), "chunk_id").join(F.broadcast(_queries(spark, sf_dir).withColumnRenamed("text", "query")), "query_id")
     hits = R.lexical_rerank(hits, "query", "text")
