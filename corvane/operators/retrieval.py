@@ -12,6 +12,9 @@ MATCH_PENALTY = 2.0
 REFUSAL_THRESHOLD = 1.46
 EMPTY_SCORE = -1e9
 TOKEN = "[a-z][a-z0-9]+"
+# Query vectors sent to all tasks at once, at most; beyond, blocks of about as many meet parts of the vectors.
+QUERY_BLOCK = 50_000
+VECTOR_PART = 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -67,14 +70,24 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 100, same: str | None = None) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 100, same: str | None = None, block: int = QUERY_BLOCK, part: int = VECTOR_PART) -> DataFrame:
     """``query_id, chunk_id, score, rank``: exact cosine of every stated query against all vectors (a query set in blocks, not a self join).
 
-    ``same``: a column in which the two must agree (a pre-filter).
+    Up to ``block`` queries are broadcast. More are dealt to blocks of about ``block`` rows, the vectors to parts of about
+    ``part`` rows, and each block is joined to each part by their numbers. ``same``: a column in which the two must agree
+    (a pre-filter).
     """
     q = queries.select("query_id", F.col("embedding").alias("_q"), *([F.col(same).alias("_same")] if same else []))
     condition = F.col(same) == F.col("_same") if same else F.lit(True)
-    scored = vectors.join(F.broadcast(q), condition).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("score"))
+    n = queries.count()
+    if n <= block:
+        met = vectors.join(F.broadcast(q), condition)
+    else:
+        blocks, parts = -(-n // block), max(-(-vectors.count() // part), 1)
+        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        v = vectors.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        met = v.join(q.hint("merge"), ["_block", "_part"]).where(condition)
+    scored = met.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("score"))
     return top_k(scored, "query_id", "score", "chunk_id", k)
 
 

@@ -1,5 +1,7 @@
 """Operators on hand-made rows: ties, nulls, empty tables and boundaries."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -77,3 +79,15 @@ def test_text_functions(spark):
 def test_containment_groups(spark):
     df = spark.createDataFrame([(1, 1, "abc"), (1, 2, "b"), (1, 3, "x"), (1, 4, "xb"), (2, 5, "b"), (2, 6, None)], "c int, k int, t string")
     assert rows(entities.containment_groups(df, "c", "k", "t"), "k", "group") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)]
+
+
+def test_vector_search_in_blocks(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)], i % 3) for i in range(90)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<float>, label int")
+    q = v.where("chunk_id % 4 = 0").select(F.col("chunk_id").alias("query_id"), "embedding", "label")
+    for same in (None, "label"):
+        whole = retrieval.vector_search(v, q, 5, same)
+        blocks = retrieval.vector_search(v, q, 5, same, block=5, part=20)
+        assert "Broadcast" not in blocks._jdf.queryExecution().executedPlan().toString()
+        assert blocks.count() == 23 * 5 and sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
