@@ -21,7 +21,7 @@ def read_json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """``file, line, kind, body`` of JSONL transcripts. A file ends at its first malformed line, where an ``_error`` line stands."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "body")).where(F.btrim("body") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "body")).where(F.btrim("body") != "")
     kind = F.get_json_object("body", "$.kind")
     marked = lines.select("file", "line", "body", kind.alias("kind"))
     first_bad = marked.where("kind IS NULL").groupBy("file").agg(F.min("line").alias("stop"))

@@ -1,6 +1,7 @@
 """Row-by-row comparison of a Spark result with DuckDB's."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -13,17 +14,24 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def cell(v) -> tuple[int, str]:
+    """Nulls, numbers and other values apart: null isn't the empty text, and integers keep all their digits."""
+    if isinstance(v, (list, tuple, dict, np.ndarray)):
+        return 2, str(list(v) if isinstance(v, np.ndarray) else v)
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, (float, np.floating)) and v != v):
+        return 0, ""
+    if isinstance(v, (bool, np.bool_)):
+        return 2, str(bool(v))
+    if isinstance(v, (int, np.integer)):
+        return 1, f"{int(v)}.000000"
+    if isinstance(v, (float, np.floating)):
+        return 1, f"{round(float(v), 6) + 0.0:.6f}"
+    return 2, str(v)
+
+
 def normal(df: pd.DataFrame) -> list[tuple]:
-    def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
-            return ""
-        return f"{round(v, 6):.6f}" if isinstance(v, float) else str(v)
-
-    columns = sorted(df.columns)
-    out = []
-    for row in df[columns].itertuples(index=False):
-        out.append(tuple(cell(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else cell(v) for v in row))
-    return sorted(out)
+    columns = [df[c].astype(object) for c in sorted(df.columns)]
+    return sorted(tuple(map(cell, row)) for row in zip(*columns))
 
 
 def assert_same(got: pd.DataFrame, want: pd.DataFrame) -> None:
