@@ -7,7 +7,8 @@ merged exactly.
 
 Texts are cut into chunks first, at every single space or newline between visible characters: the
 pre-tokenizer always cuts there, so a chunk's tokens don't depend on its neighbours. Chunks repeat, and
-each worker keeps the ids of those that it has seen (bounded by ``CACHE_CHUNKS``).
+each worker keeps the ids of those that it has seen (bounded by ``CACHE_CHUNKS`` and ``CACHE_BYTES``). They are found by
+hash, and the bytes of all chunks found are compared with the text: if any differ, that text is encoded without the cache.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from corvane.llm.common import span_hashes
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 400_000
+CACHE_BYTES = 16 << 20
 LONG_WORD = 64  # bytes; longer words are merged one by one, with a heap
 NEVER = np.int64(1) << 40
 
@@ -341,17 +343,22 @@ class ChunkEncoder:
 
     def __init__(self, path: str) -> None:
         self.model = PairModel(path)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
+        # Levels of (hash, place and number of the ids, place and number of the bytes), sorted by hash.
+        self.levels: list[tuple[np.ndarray, ...]] = []
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.raw, self.raw_used = np.zeros(1 << 18, np.uint8), 0
 
     def _add(self, keys: np.ndarray, chunks: list[bytes], inner: np.ndarray) -> None:
         ids, size = self.model.encode_chunks(chunks, inner)
-        total = len(ids)
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(total, self.used), np.uint32)])
-        self.pool[self.used : self.used + total] = ids
-        level = (keys, np.cumsum(size) - size + self.used, size)
-        self.used += total
+        raw, raw_size = np.frombuffer(b"".join(chunks), np.uint8), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        self.pool = self._put(self.pool, self.used, ids)
+        self.raw = self._put(self.raw, self.raw_used, raw)
+        level = (keys, np.cumsum(size) - size + self.used, size, np.cumsum(raw_size) - raw_size + self.raw_used, raw_size)
+        self.used, self.raw_used = self.used + len(ids), self.raw_used + len(raw)
         # Levels at least double in size from the newest to the oldest, so lookups stay few.
         while self.levels and len(self.levels[-1][0]) < 2 * len(level[0]):
             joined = [np.concatenate(x) for x in zip(self.levels.pop(), level)]
@@ -359,13 +366,22 @@ class ChunkEncoder:
             level = tuple(x[order] for x in joined)
         self.levels.append(level)
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for known, at, n in self.levels:
+    @staticmethod
+    def _put(pool: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+        if used + len(new) > len(pool):
+            pool = np.concatenate([pool[:used], np.zeros(max(len(new), used), pool.dtype)])
+        pool[used : used + len(new)] = new
+        return pool
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place and number of the ids and of the bytes of every key; -1 for the place of unknown ones."""
+        out = np.full(len(keys), -1), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for known, *values in self.levels:
             spot = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             hit = known[spot] == keys
-            start[hit], size[hit] = at[spot[hit]], n[spot[hit]]
-        return start, size
+            for x, v in zip(out, values):
+                x[hit] = v[spot[hit]]
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after the other, and the n + 1 offsets of each row's ids."""
@@ -379,21 +395,25 @@ class ChunkEncoder:
         keys, first = hashes[order][change], order[change]
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(change) - 1
-        start, size = self._find(keys)
-        if (start < 0).any() and sum(len(k) for k, _, _ in self.levels) > CACHE_CHUNKS:
-            self.levels, self.used = [], 0
-            start, size = self._find(keys)
-        new = np.flatnonzero(start < 0)
+        found = self._find(keys)
+        if (found[0] < 0).any() and (sum(len(x[0]) for x in self.levels) > CACHE_CHUNKS or self.raw_used > CACHE_BYTES):
+            self.forget()
+            found = self._find(keys)
+        new = np.flatnonzero(found[0] < 0)
+        cut = lambda which: [data[s:e].tobytes() for s, e in zip(starts[which].tolist(), ends[which].tolist())]
         for part in np.array_split(new, max(1, -(-len(new) // 100_000))):
             if len(part):
-                raw = [data[s:e].tobytes() for s, e in zip(starts[first[part]].tolist(), ends[first[part]].tolist())]
-                self._add(keys[part], raw, inner[first[part]])
+                self._add(keys[part], cut(first[part]), inner[first[part]])
         if len(new):
-            start, size = self._find(keys)
-        n = size[back]
-        stop = np.cumsum(n)
-        ids = self.pool[spread(start[back], n)]
-        return ids, np.concatenate([[0], stop])[np.searchsorted(starts, offsets)]
+            found = self._find(keys)
+        start, n, raw_start, raw_size = (x[back] for x in found)
+        # Chunks lie one after the other: those found, joined, must be the text.
+        if np.array_equal(raw_size, ends - starts) and np.array_equal(self.raw[spread(raw_start, raw_size)], data):
+            ids = self.pool[spread(start, n)]
+        else:
+            ids, n = self.model.encode_chunks(cut(slice(None)), inner)
+            ids = ids.astype(np.uint32)
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, offsets)]
 
 
 _encoders: dict[str, ChunkEncoder] = {}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +23,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables: that of ``spark.checkpoint.dir``.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it names none (tests, a
-    laptop) is a folder set here.
+    Where the session names none, a local master (tests, a laptop) gets a temporary folder; on a cluster that would be
+    one machine's own, so it is an error there.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -39,6 +49,26 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition), 1)
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over Arrow batches, after whose end the worker gives free memory back: workers live on for the next stage."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no such call in this C library
+        pass
+
+
 def id_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -76,36 +106,45 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-HASH_BYTES = 1 << 20
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
-            table[0] = 1
-            _powers[k] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
-
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[start:end]`` for every span (in order): differences of one running sum."""
-    if len(data) > HASH_BYTES and len(starts) > 1:  # in slices, so that the tables stay small
-        cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), HASH_BYTES // 2)))
-        out = [_span_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in zip(cuts, [*cuts[1:], len(starts)]) if b > a]
-        return np.concatenate(out)
-    return _span_hashes(data, starts, ends)
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of ``data[start:end]`` for every span.
 
-def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * power[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    Spans of up to eight bytes are read as one integer and mixed, which no two such spans of one length share; longer
+    ones, of which there are far fewer, get the first eight bytes of their BLAKE2b digest. None of it is linear.
+    """
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    tail = min(len(data), 8)
+    padded = np.concatenate([data[-tail:], np.zeros(8, np.uint8)])
+    near_end = starts > len(data) - 8
+    word = np.empty(len(starts), np.uint64)
+    if len(data) >= 8:
+        lanes = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data).view(np.uint8), (len(data) - 7, 8), (1, 1))
+        word[~near_end] = np.ascontiguousarray(lanes[starts[~near_end]]).view("<u8").ravel()
+    if near_end.any():
+        at = starts[near_end] - (len(data) - tail)
+        word[near_end] = np.ascontiguousarray(padded[at[:, None] + np.arange(8)]).view("<u8").ravel()
+    word &= _FIRST_BYTES[np.minimum(size, 8)]
+    out = mix64(mix64(word + np.uint64(seed) * _SALT) + size.astype(np.uint64) * _SALT)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        raw, key = data.tobytes(), seed.to_bytes(8, "little")
+        known: dict[bytes, int] = {}
+        found = []
+        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+            own = raw[a:b]
+            value = known.get(own)
+            if value is None:
+                value = known[own] = int.from_bytes(blake2b(own, digest_size=8, key=key).digest(), "little")
+            found.append(value)
+        out[long] = np.array(found, np.uint64)
+    return out
 
 
 _IS_SPACE = np.zeros(256, bool)
@@ -130,16 +169,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-
-
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: lineage is cut, columns can be pruned."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    root = sc.getCheckpointDir()
-    if root is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-        root = sc.getCheckpointDir()
-    path = f"{root}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

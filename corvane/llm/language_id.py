@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_bucket, read_table, row_groups, text_buffers
+from corvane.llm.common import id_bucket, read_table, released, row_groups, text_buffers
 
 BUCKETS = 2048
 GROUP_BYTES = 1 << 20
@@ -166,7 +166,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text")
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(lang, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(far | ~known)], names=[*names, "lang_pred", "score", "rejected"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def held_out_of(doc_id: str = "doc_id") -> Column:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_ASCII, id_bucket, partitions_for, read_table, row_groups, saved, span_hashes, text_buffers, word_spans
+from corvane.llm.common import LOWER_ASCII, id_bucket, partitions_for, read_table, released, row_groups, saved, span_hashes, text_buffers, word_spans
 
 DEPTH = 6
 BLOCK_BYTES = 12 << 20
@@ -248,7 +248,7 @@ def training_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
         return pa.table({"kind": table.column("kind")[:1], "part": table.column("part")[:1], "keys": pa.array([planes(keys)], pa.binary()), "counts": pa.array([planes(counts)], pa.binary())})
 
     schema = "kind int, part int, keys binary, counts binary"
-    return docs.select("text").mapInArrow(gather, schema).groupBy("kind", "part").applyInArrow(merge, schema)
+    return docs.select("text").mapInArrow(released(gather), schema).groupBy("kind", "part").applyInArrow(merge, schema)
 
 
 def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -274,7 +274,7 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
                 node, zeros, ones, logs = Forest(from_planes(keys), from_planes(n, np.int64), depth).shallow()
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(zeros), pa.array(ones), pa.array(logs)], names=["node", "zeros", "ones", "logs"])
 
-    nodes = counts.where("kind = 0").select("keys", "counts").mapInArrow(shallow_rows, "node long, zeros double, ones double, logs double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("logs")).orderBy("node").collect()
+    nodes = counts.where("kind = 0").select("keys", "counts").mapInArrow(released(shallow_rows), "node long, zeros double, ones double, logs double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("logs")).orderBy("node").collect()
     top = Shallow(*(np.array([r[k] for r in nodes], np.int64 if k == 0 else np.float64) for k in range(4)))
 
     def token_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

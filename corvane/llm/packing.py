@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import encoder
-from corvane.llm.common import checkpointed, partitions_for, read_table, row_groups, text_buffers
+from corvane.llm.common import checkpointed, partitions_for, read_table, released, row_groups, text_buffers
 
 SHARD_ITEMS = 16384
 ISLANDS = 3
@@ -63,7 +63,7 @@ def tokenized_pieces(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.arange(number, number + len(rows)))], names=["doc_id", "piece", "start", "length", "ids", "row_no"])
                 number += len(rows)
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {key_type}, piece int, start long, length long, ids binary, row_no long")
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run), f"doc_id {key_type}, piece int, start long, length long, ids binary, row_no long")
 
 
 class Room:

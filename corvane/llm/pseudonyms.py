@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import read_table
+from corvane.llm.common import read_table, released
 
 ROUNDS = 8
 DEFAULT_KEY = b"replace this key outside tests"
@@ -225,7 +225,7 @@ def pseudonymise_column(df: DataFrame, text: str = "text", key: bytes = DEFAULT_
             new = pa.array([t for t, _ in got], pa.string())
             yield pa.RecordBatch.from_arrays([*(new if n == text else batch.column(batch.schema.get_field_index(n)) for n in names), pa.array([k for _, k in got], pa.list_(pa.string()))], names=[*names, kinds])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def op10_pseudonyms(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_bucket, read_table, row_groups, span_hashes, text_buffers, word_spans
+from corvane.llm.common import id_bucket, read_table, released, row_groups, span_hashes, text_buffers, word_spans
 
 PASSAGE_WORDS = 40
 GROUP_BYTES = 1 << 20
@@ -195,7 +195,7 @@ def score_quality(df: DataFrame, model: AttentionModel, text: str = "text") -> D
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(score), pa.array((score >= LIMIT).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

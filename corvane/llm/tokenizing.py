@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.bpe import encoder
-from corvane.llm.common import read_table, row_groups, text_buffers
+from corvane.llm.common import read_table, released, row_groups, text_buffers
 
 GROUP_BYTES = 4 << 20
 
@@ -20,8 +20,8 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text: str = "text", ids: st
     """Add each row's token ids (little-endian unsigned 32-bit, as binary) and the text decoded from them.
 
     A null text counts as empty and gives no ids and an empty decoded text. Rows keep their other columns;
-    ``ids`` and ``decoded`` replace columns of the same names. Texts are encoded whole, however long; an
-    empty table gives an empty table.
+    ``ids`` and ``decoded`` replace columns of the same names. Repeated rows are encoded each. Texts are encoded whole,
+    however long; an empty table gives an empty table.
     """
     kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
     schema = T.StructType([*kept, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
@@ -40,7 +40,7 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text: str = "text", ids: st
                     names=[*names, ids, decoded],
                 )
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def op6_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:

@@ -40,6 +40,27 @@ def test_encoder_equals_the_library():
         assert enc.model.decode(ids[at[k] : at[k + 1]].astype(np.int64)).decode() == tok.decode(want, skip_special_tokens=False)
 
 
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    tok = Tokenizer.from_file(PATH)
+    odd = [bin(i).count("1") & 1 for i in range(1024)]
+    texts = ["".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd), "the cat", "the dog"]
+
+    def check(enc):
+        data = [t.encode() for t in texts]
+        ids, at = enc.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids
+
+    check(bpe.ChunkEncoder(PATH))
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))  # all alike
+    check(bpe.ChunkEncoder(PATH))
+    monkeypatch.undo()
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3)
+    enc = bpe.ChunkEncoder(PATH)
+    check(enc)
+    check(enc)
+
+
 def test_incompatible_pairs_are_found():
     model = bpe.PairModel(PATH)
     tok = Tokenizer.from_file(PATH)
