@@ -5,42 +5,47 @@ Hamming distance of two sketches is never more than the size of the sets' symmet
 similar enough differ in at most d shingles, d following from their sizes. Documents are joined within size
 bands: with more than d blocks one block at least holds none of the differing shingles, so both documents agree in
 that block's bits and in a checksum of its shingles. With spare blocks (a quarter more than needed), blocks
-with fewer than two bits need no key: they are what unrelated documents share. Candidates are
-verified on the texts.
-
-Equal sets are one node. In a block's bucket with many documents each is paired with one leader; what
-these links leave apart is then paired within the bucket, the nearest first, unless a small sketch of each rules the
-pair out. Of all
-candidates a forest is verified first, and then only pairs between what is still apart: a pair that is
-linked already can't change the components.
+with fewer than two bits need no key: they are what unrelated documents share.
+
+Equal sets are one node. The documents of a bucket (an agreeing block) are paired with one leader each, never with one
+another: as many pairs as documents. Each pair is verified on the texts, which also gives the exact difference of the
+document's set from its leader's. Of two documents of one leader these differences alone say how far they are
+apart, so what is not linked to the leader is compared with the leader's other documents on
+differences: exactly, and with hardly any work where they have nothing in common.
+
+A shingle is a 64-bit hash of its words' hashes (see ``span_hashes``); sets are told apart by 128 bits: half names the
+set, and if the other half ever differs under one name, all hashes are drawn anew with another seed.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_ASCII, mix64, partitions_for, read_table, row_groups, saved, span_hashes, text_buffers, word_spans
-from corvane.llm.components import connected_components
+from corvane.llm.common import LOWER_ASCII, mix64, partitions_for, read_table, released, row_groups, saved, span_hashes, text_buffers, word_spans
+from corvane.llm.components import connected_components, local_roots
 
-SMALL_BUCKET = 8
 FLUSH_KEYS = 600_000
 GROUP_BYTES = 3 << 20
 KEYS_PER_PART = 400_000
 BROADCAST_ROWS = 1_000_000
-SKETCH_WORDS = 8  # of 64 bits, in the small sketch
+LEADER_SETS = 64  # of leaders, kept while their documents pass
+BLOCK_ROWS = 2048  # of a leader's documents compared in one task, and the bytes of their differences
+BLOCK_BYTES = 24 << 20
 _STEP = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int, seed: int = 0) -> list[np.ndarray]:
     """Sorted distinct hashes of every row's shingles of ``words`` words; a shorter row is one shingle."""
     data = LOWER_ASCII[data]
     starts, ends, at = word_spans(data, offsets)
-    hashes = span_hashes(data, starts, ends)
+    hashes = span_hashes(data, starts, ends, seed)
     n = np.diff(at)
     row_end = np.repeat(at[1:], n)
     place = np.arange(len(hashes))
@@ -58,17 +63,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
     return out
 
 
-def fingerprint(own: np.ndarray) -> int:
-    """A set's 64-bit name, as a signed integer."""
+def set_names(own: np.ndarray, seed: int = 0) -> tuple[int, int] | tuple[None, None]:
+    """A set's name and a second one that tells sets of one name apart, 64 bits each, as signed integers; none for an empty set."""
     if not len(own):
-        return 0
-    seed = np.array([own.sum()]) * np.uint64(0x9E3779B97F4A7C15) ^ np.bitwise_xor.reduce(own) ^ np.uint64(len(own))
-    return int(mix64(seed).view(np.int64)[0])
-
-
-def small_sketch(own: np.ndarray) -> bytes:
-    flips = np.bincount((own >> np.uint64(7)) % np.uint64(64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(flips.astype(np.uint8)).tobytes()
+        return None, None
+    name = np.frombuffer(blake2b(own.tobytes(), digest_size=16, key=seed.to_bytes(8, "little")).digest(), np.int64)
+    return int(name[0]), int(name[1])
 
 
 def most_different(sizes: np.ndarray | int, percent: int):
@@ -105,25 +105,26 @@ def block_keys(own: np.ndarray, band: int, limit: int) -> np.ndarray:
     return keys[~low] if low.sum() <= spare else keys
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch], words: int):
+def _sets_of(batches: Iterator[pa.RecordBatch], words: int, seed: int = 0):
     """(batch, first row, sets) of row groups; the text is the batch's last column."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(batch.num_columns - 1))
         for a, b in row_groups(offsets, GROUP_BYTES):
-            yield batch, a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+            yield batch, a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, seed)
 
 
-def shingle_summary(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """``doc_id, n_shingles, fp, sketch`` of every row; fp names the set (null for an empty one)."""
+def shingle_summary(docs: DataFrame, doc_id: str, text: str, words: int, seed: int) -> DataFrame:
+    """``doc_id, n_shingles, fp, other`` of every row; fp names the set (null for an empty one), other tells equal names apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, sets in _sets_of(batches, words):
+        for batch, a, sets in _sets_of(batches, words, seed):
+            names = [set_names(s, seed) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()), pa.array([small_sketch(s) for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "fp", "sketch"],
+                [batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1))],
+                names=["doc_id", "n_shingles", "fp", "other"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp long, sketch binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, fp long, other long")
 
 
 KEY_BYTES = 6  # of a key's hash that are sent: a chance match is one more candidate
@@ -144,7 +145,7 @@ def unpacked_keys(keys: bytes, names: bytes, numbers: bytes) -> tuple[np.ndarray
     return key.view("<u8").ravel(), np.frombuffer(names, np.uint64)[number]
 
 
-def candidate_rows(docs: DataFrame, text: str, words: int, percent: int, largest: int, parts: int) -> DataFrame:
+def candidate_rows(docs: DataFrame, text: str, words: int, percent: int, largest: int, parts: int, seed: int) -> DataFrame:
     """``part, keys, fps, numbers``: block keys and the sets that hold them, packed (see ``packed_keys``)."""
     bands = size_bands(largest, percent)
     limit = [int(most_different(high + partner, percent)) for _, high, partner in bands]
@@ -168,11 +169,11 @@ def candidate_rows(docs: DataFrame, text: str, words: int, percent: int, largest
             rows = [packed_keys(key[x:y], name[x:y]) for x, y in zip(first, last)]
             return pa.RecordBatch.from_arrays([pa.array(part[first]), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], names=["part", "keys", "fps", "numbers"])
 
-        for _, _, sets in _sets_of(batches, words):
+        for _, _, sets in _sets_of(batches, words, seed):
             for own in sets:
                 if not len(own):
                     continue
-                name = np.uint64(fingerprint(own) & 0xFFFFFFFFFFFFFFFF)
+                name = np.uint64(set_names(own, seed)[0] & 0xFFFFFFFFFFFFFFFF)
                 band = int(np.searchsorted(low_of, len(own), "right")) - 1
                 for k in (band, band - 1):  # its own band, and as a larger partner the one below
                     if k >= 0 and len(own) <= bands[k][2]:
@@ -185,113 +186,133 @@ def candidate_rows(docs: DataFrame, text: str, words: int, percent: int, largest
                     keys, names, size = [], [], 0
         yield flush()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "part int, keys binary, fps binary, numbers binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(released(run), "part int, keys binary, fps binary, numbers binary")
 
 
-def bucket_pairs(rows: DataFrame) -> DataFrame:
-    """``bucket, a, b``: candidate pairs (bucket null), and the members (b null) of buckets that were paired with a leader only."""
+def leader_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``: the members b of each bucket with its leader a, the bucket's smallest name. A part holds 14 bytes a key."""
 
     def pairs(table: pa.Table) -> pa.Table:
         key, name = (np.concatenate(x) for x in zip(*(unpacked_keys(*(c.as_py() for c in r)) for r in zip(*(table.column(c) for c in ("keys", "fps", "numbers"))))))
+        name = name.view(np.int64)
         order = np.lexsort((name, key))
         key, name = key[order], name[order]
-        fresh = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))
-        key, name = key[fresh], name[fresh].view(np.int64)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(first, len(key)))
-        got: list[np.ndarray] = []
-        for m in np.unique(size[(size > 1) & (size <= SMALL_BUCKET)]):
-            own = name[first[size == m][:, None] + np.arange(m)]
-            x, y = np.triu_indices(m, 1)
-            got.append(np.stack([own[:, x].ravel(), own[:, y].ravel()], 1))
-        large = np.repeat(size > SMALL_BUCKET, size)
-        lead = np.repeat(name[first], size)
-        star = large & (name != lead)
-        got.append(np.stack([lead[star], name[star]], 1))
-        ends = np.concatenate(got)
-        ends = np.unique(np.sort(ends, 1), axis=0) if len(ends) else ends
-        none = pa.nulls(len(ends), pa.int64())
-        members = pa.array(name[large])
-        return pa.table({"bucket": pa.chunked_array([none, pa.array(key[large].view(np.int64))]), "a": pa.chunked_array([pa.array(ends[:, 0]), members]), "b": pa.chunked_array([pa.array(ends[:, 1]), pa.nulls(len(members), pa.int64())])})
-
-    return rows.groupBy("part").applyInArrow(pairs, "bucket long, a long, b long")
-
-
-def apart_in_buckets(members: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs ``a, b`` between components of one bucket that the small sketches don't rule out.
-
-    ``members``: bucket, fp, n_shingles, sketch, component. The largest component's members are paired only with
-    the others; if ``closest``, each of these with the one member of each other component whose sketch is nearest.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        fp, size, comp = (table.column(c).to_numpy() for c in ("fp", "n_shingles", "component"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)
-        kinds, which, count = np.unique(comp, return_inverse=True, return_counts=True)
-        strays = np.flatnonzero(which != count.argmax())
-        found = []
-        for i in strays:
-            distance = np.bitwise_count(sketch ^ sketch[i]).sum(1)
-            small, big = np.minimum(size, size[i]), np.maximum(size, size[i])
-            near = (distance <= most_different(size + size[i], percent)) & (100 * small >= percent * big) & (comp != comp[i])
-            near = np.flatnonzero(near)
-            if closest:
-                near = near[np.lexsort((distance[near], which[near]))]
-                near = near[np.append(True, which[near][1:] != which[near][:-1])] if len(near) else near
-            found.append(np.stack([np.minimum(fp[near], fp[i]), np.maximum(fp[near], fp[i])], 1))
-        ends = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        lead = np.repeat(name[first], np.diff(np.append(first, len(key))))
+        member = name != lead
+        ends = np.stack([lead[member], name[member]], 1)
+        ends = np.unique(ends, axis=0) if len(ends) else ends
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    return members.groupBy("bucket").applyInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough, by intersecting them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for column in ("text_a", "text_b"):
-                data, offsets = text_buffers(batch.column(batch.schema.get_field_index(column)))
-                sides.append([s for x, y in row_groups(offsets, GROUP_BYTES) for s in shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words)])
-            same = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sides)]
-            keep = pa.array([100 * s >= percent * (len(x) + len(y) - s) for s, x, y in zip(same, *sides)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(keep)
-
-    left, right = (texts.select(F.col("fp").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
+    return rows.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
 
-def fitted_sketches(texts: DataFrame, words: int) -> DataFrame:
-    """``fp, n, bits``: a parity sketch of each set as long as its size asks for (a power of two of bits, about twice its shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, sets in _sets_of(batches, words):
-            bits = []
-            for own in sets:
-                size = 1 << max(9, int(2 * len(own)).bit_length() - 1)
-                flips = np.bincount(((own >> np.uint64(7)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
-                bits.append(np.packbits(flips.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(bits, pa.binary())], names=["fp", "n", "bits"])
 
-    return texts.select("fp", "text").mapInArrow(run, "fp long, n long, bits binary")
+def difference(lead: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a sorted set holds beyond its leader's, and of each of the leader's members whether it is missing."""
+    at = np.searchsorted(lead, own)
+    shared = lead[np.minimum(at, len(lead) - 1)] == own
+    missing = np.ones(len(lead), bool)
+    missing[at[shared]] = False
+    return own[~shared], missing
 
 
-def not_ruled_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sizes and sketches allow the similarity. Of two lengths the longer sketch is folded onto the shorter."""
+def star_rows(pairs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """``a, b, n_a, n_b, linked, extra, missing`` of pairs ``a, b, members, text_a, text_b``: whether the two sets are similar
+    enough and, if the leader has other members, b's set as its difference from a's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, np.ndarray] = OrderedDict()
         for batch in batches:
-            keep = []
-            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                size = min(len(x), len(y))
-                x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), 0) for v in (x, y))
-                keep.append(100 * min(n, m) >= percent * max(n, m) and int(np.bitwise_count(x ^ y).sum()) <= most_different(n + m, percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            lead = batch.column(0).to_pylist()
+            text_a, members = batch.column(batch.schema.get_field_index("text_a")), batch.column(batch.schema.get_field_index("members")).to_pylist()
+            data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text_b")))
+            for x, y in row_groups(offsets, GROUP_BYTES):
+                sets = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words, seed)
+                out: list[list] = [[], [], [], [], []]
+                for i, own in enumerate(sets, x):
+                    if lead[i] not in held:
+                        held[lead[i]] = shingle_sets(*text_buffers(text_a.slice(i, 1)), words, seed)[0]
+                        if len(held) > LEADER_SETS:
+                            held.popitem(last=False)
+                    held.move_to_end(lead[i])
+                    extra, missing = difference(held[lead[i]], own)
+                    n_a, n_b = len(missing), len(own)
+                    for column, v in zip(out, (n_a, n_b, len(extra) + int(missing.sum()) <= most_different(n_a + n_b, percent), extra.tobytes() if members[i] > 1 else None, np.packbits(missing).tobytes() if members[i] > 1 else None)):
+                        column.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["a", "b", "n_a", "n_b", "linked", "extra", "missing"])
+
+    return pairs.select("a", "b", "members", "text_a", "text_b").mapInArrow(released(run), "a long, b long, n_a long, n_b long, linked boolean, extra binary, missing binary")
+
+
+def links_by_difference(table: pa.Table, percent: int) -> np.ndarray:
+    """Rows (i, j) of one leader's documents that are similar enough, i not linked to the leader; of two blocks only pairs across.
+
+    All sets are given by their differences from one set. That may be any set: shingles in which most documents
+    differ from the leader are turned over, so that hardly any is in many differences. The symmetric
+    difference of two documents is the sum of their differences less twice what both hold.
+    """
+    size, linked, block = (table.column(c).to_numpy() for c in ("n_b", "linked", "block"))
+    n_a, m = table.column("n_a")[0].as_py(), table.num_rows
+    extra = [np.frombuffer(x, np.uint64) for x in table.column("extra").to_pylist()]
+    bits = np.frombuffer(b"".join(table.column("missing").to_pylist()), np.uint8).reshape(m, -1)
+    row_of, place = np.nonzero(np.unpackbits(bits, axis=1, count=n_a))
+    kinds, number = np.unique(np.concatenate(extra), return_inverse=True)
+    item = np.concatenate([number, place + len(kinds)])
+    row = np.concatenate([np.repeat(np.arange(m), [len(x) for x in extra]), row_of])
+    often = np.bincount(item, minlength=len(kinds) + n_a)
+    turned = np.flatnonzero(2 * often > m)
+    if len(turned):
+        lacks = np.ones((len(turned), m), bool)
+        spot = np.full(len(often), -1)
+        spot[turned] = np.arange(len(turned))
+        over = spot[item] >= 0
+        lacks[spot[item[over]], row[over]] = False
+        t, r = np.nonzero(lacks)
+        item, row = np.concatenate([item[~over], turned[t]]), np.concatenate([row[~over], r])
+        often = np.bincount(item, minlength=len(often))
+    apart = np.bincount(row, minlength=m)
+    shared = often[item] > 1
+    item, row = item[shared], row[shared]
+    by_item = np.argsort(item, kind="stable")
+    holders, begin = row[by_item], np.cumsum(often * (often > 1)) - often * (often > 1)
+    by_row = np.argsort(row, kind="stable")
+    own, edge = item[by_row], np.searchsorted(row[by_row], np.arange(m + 1))
+    two = block.min() != block.max()
+    found = []
+    for i in np.flatnonzero(~linked):
+        items = own[edge[i] : edge[i + 1]]
+        n = often[items]
+        stop = np.cumsum(n)
+        both = np.bincount(holders[np.repeat(begin[items] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)], minlength=m)
+        near = apart[i] + apart - 2 * both <= most_different(size[i] + size, percent)
+        near[i] = False
+        if two:
+            near &= block != block[i]
+        j = np.flatnonzero(near)
+        found.append(np.stack([np.full(len(j), i), j], 1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def links_within_stars(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` (a forest of them by task) between documents of one leader of which one at least isn't linked to it.
+
+    A leader's documents are compared in one task, or, if they are many or long, in blocks: each pair of blocks a task.
+    """
+    load = rows.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("strays"), F.sum(F.octet_length("extra") + F.octet_length("missing")).alias("bytes")).where("m > 1 AND strays > 0")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int")
+    spread = rows.join(load.select("a", blocks.alias("blocks")), "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumns({"low": F.least("block", "against"), "high": F.greatest("block", "against")}).drop("blocks", "against")
+
+    def run(table: pa.Table) -> pa.Table:
+        _, once = np.unique(table.column("b").to_numpy(), return_index=True)
+        table = table.take(pa.array(once))
+        names = table.column("b").to_numpy()
+        ends = links_by_difference(table, percent)
+        nodes, roots = local_roots(names[ends[:, 0]], names[ends[:, 1]]) if len(ends) else (names[:0], names[:0])
+        return pa.table({"a": nodes[nodes != roots], "b": roots[nodes != roots]})
 
-    left, right = (sketches.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return spread.groupBy("a", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -301,53 +322,33 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     shingles of ``words`` words (a shorter text's whole sequence is its one). Two rows are linked
     when 100 * |A and B| >= percent * |A or B|; component_id is the smallest doc_id reached. Null, empty and blank texts
     have empty sets and are linked with nothing; a row of null doc_id has a null component and isn't joined.
-    Repeated rows give rows each. An empty table gives an empty one; other columns are ignored.
+    Repeated rows, and several texts under one id, give rows each. A very long text is read whole: its set is in one
+    task (about 50 bytes a byte of text). An empty table gives an empty one; other columns are ignored.
     """
     spark = docs.sparkSession
-    summary = saved(shingle_summary(docs, doc_id, text, words))
-    live = summary.where(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
-    total, largest = live.agg(F.sum("n_shingles"), F.max("n_shingles")).first()
+    seed = 0
+    while True:  # once, but for a chance of about (number of sets)^2 / 2^65
+        summary = saved(shingle_summary(docs, doc_id, text, words, seed))
+        live = summary.where(F.col("doc_id").isNotNull() & F.col("fp").isNotNull())
+        nodes = saved(live.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.min("other").alias("low"), F.max("other").alias("high")))
+        total, largest, clashes = nodes.agg(F.sum("n"), F.max("n"), F.count_if(F.col("low") != F.col("high"))).first()
+        if not clashes:
+            break
+        seed += 1
     parts = partitions_for(spark, (total or 0) // 2, KEYS_PER_PART)
-    nodes = live.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    found = saved(bucket_pairs(candidate_rows(docs.where(F.col(doc_id).isNotNull()), text, words, percent, largest or 0, parts)).distinct())
-    pairs = found.where("bucket IS NULL").select("a", "b")
+    pairs = saved(leader_pairs(candidate_rows(docs.where(F.col(doc_id).isNotNull()), text, words, percent, largest or 0, parts, seed)))
 
     # Texts of the sets that have a candidate.
-    involved = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp"))
-    wanted = involved.select("fp", "first_id")
-    if involved.count() <= BROADCAST_ROWS:
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp"))
+    if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = saved(docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text")).join(wanted, "first_id").select("fp", "text").transform(lambda d: _right_rows(d, words)).dropDuplicates(["fp"]))
-
-    sketches = saved(fitted_sketches(texts, words))
-
-    def checked(some: DataFrame) -> DataFrame:
-        return verified(not_ruled_out(some.distinct(), sketches, percent), texts, words, percent)
-
-    forest = checked(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = saved(forest)
-
-    def sides() -> tuple[DataFrame, DataFrame]:
-        """Involved sets with their components so far, and the members of buckets that hold several."""
-        near = connected_components(links)
-        label = nodes.join(near, F.col("fp") == F.col("node"), "left").select("fp", "n_shingles", "sketch", F.coalesce("component", "fp").alias("component"))
-        side = saved(label.join(involved.select("fp"), "fp", "left_semi"))
-        members = found.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("fp")).join(side, "fp")
-        mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        return side, members.join(mixed, "bucket")
-
-    # First what is nearest across components, most of which is linked; then all that is still apart.
-    _, members = sides()
-    links = saved(links.unionByName(checked(apart_in_buckets(members, percent, True))))
-    side, members = sides()
-    more = apart_in_buckets(members, percent, False)
-    a, b = (side.select(*[F.col(c).alias(f"{c}_{k}") for c in side.columns]) for k in "ab")
-    other = pairs.join(a, F.col("a") == F.col("fp_a")).join(b, F.col("b") == F.col("fp_b")).where("component_a != component_b")
-    differ = sum((F.bit_count(F.conv(F.hex(F.substring("sketch_a", i, 4)), 16, 10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("sketch_b", i, 4)), 16, 10).cast("long"))) for i in range(1, 8 * SKETCH_WORDS, 4)), F.lit(0))
-    s = F.col("n_shingles_a") + F.col("n_shingles_b")
-    other = other.where((differ * (100 + percent) <= s * (100 - percent)) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")))
-    late = checked(other.select("a", "b").unionByName(more))
-    component = connected_components(links.unionByName(late))
+    texts = saved(_right_rows(docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text")).join(wanted, "first_id").select("fp", "text"), words, seed))
+
+    stars = pairs.groupBy("a").agg(F.count("*").alias("members"))
+    left, right = (texts.select(F.col("fp").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b"))
+    rows = saved(star_rows(pairs.join(stars, "a").join(right, "b").join(left, "a"), words, percent, seed))
+    links = rows.where("linked").select("a", "b").unionByName(links_within_stars(rows, percent))
+    component = connected_components(links)
 
     # A component's smallest id, over all rows that hold its sets.
     whole = nodes.select("fp", "first_id").join(component, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
@@ -358,15 +359,15 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return joined.unionByName(alone)
 
 
-def _right_rows(df: DataFrame, words: int) -> DataFrame:
+def _right_rows(df: DataFrame, words: int, seed: int) -> DataFrame:
     """Rows whose text has the set ``fp``: an id may be held by several texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, a, sets in _sets_of(batches, words):
+        for batch, a, sets in _sets_of(batches, words, seed):
             part = batch.slice(a, len(sets))
-            yield part.filter(pa.array([len(s) > 0 and fingerprint(s) == f for s, f in zip(sets, part.column(0).to_pylist())], pa.bool_()))
+            yield part.filter(pa.array([set_names(s, seed)[0] == f for s, f in zip(sets, part.column(0).to_pylist())], pa.bool_()))
 
-    return df.mapInArrow(run, "fp long, text string")
+    return df.mapInArrow(released(run), "fp long, text string")
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

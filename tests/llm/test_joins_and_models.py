@@ -74,13 +74,83 @@ def test_ngram_join_equals_brute_force(spark, words, percent):
     assert ngram_join.ngram_jaccard_join(df.limit(0)).count() == 0
 
 
+def linked_sets(texts, words, percent):
+    sets = [shingles(t, words) for t in texts]
+    return [(i, j) for i, j in combinations(range(len(sets)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+
+
+def components_of(spark, texts, words=4, percent=85):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(df, words=words, percent=percent).collect()}
+
+
+def thue_morse(n):
+    """A word of n letters and its complement: any polynomial hash modulo 2^64 is the same for both at 1,024 letters."""
+    odd = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+
+
+def many_components(rng):
+    """One passage in many different documents, copies near the threshold on both sides, and links among copies alone."""
+    words = [f"w{i}" for i in range(5000)]
+    passage = " ".join(rng.choices(words, k=60))
+    texts = [f"{passage} {' '.join(rng.choices(words, k=rng.randint(6, 30)))}" for _ in range(120)]
+    base = rng.choices(words, k=300)
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(1, 14)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    for _ in range(6):  # far from the base, near to one another
+        other = list(base)
+        for _ in range(20):
+            other[rng.randrange(len(other))] = rng.choice(words)
+        for _ in range(4):
+            copy = list(other)
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("block", [ngram_join.BLOCK_ROWS, 16])
+def test_many_components_in_one_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    texts = many_components(random.Random(5))
+    edges = linked_sets(texts, 4, 85)
+    want = groups(range(len(texts)), edges)
+    assert len(set(want.values())) > 120 and len(edges) > 500
+    assert components_of(spark, texts) == want
+
+
+def test_pairs_do_not_grow_with_the_square(spark):
+    """As many candidate pairs as members of a bucket, and no more links out of a star than it has documents."""
+    texts = many_components(random.Random(6))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    largest = max(len(shingles(t, 4)) for t in texts)
+    rows = ngram_join.candidate_rows(df, "text", 4, 85, largest, 2, 0)
+    keys = sum(len(r.numbers) // 4 for r in rows.collect())
+    assert ngram_join.leader_pairs(rows).count() < keys / 2
+
+
+def test_words_of_one_polynomial_hash_differ(spark):
+    assert components_of(spark, [f"x {w} y z" for w in thue_morse(1024)]) == {0: 0, 1: 1}
+
+
+def test_names_that_clash_are_drawn_anew(spark, monkeypatch):
+    real = ngram_join.set_names
+    monkeypatch.setattr(ngram_join, "set_names", lambda own, seed=0: (7, real(own, seed)[1]) if seed == 0 and len(own) else real(own, seed))
+    assert components_of(spark, ["a b c d e", "f g h i j", "a b c d e"]) == {0: 0, 1: 1, 2: 0}
+
+
 def test_sketch_bound():
+    """Each differing shingle changes one block: of the limit and one more keys (spare ones aside) all others agree."""
     rng = np.random.default_rng(2)
     for _ in range(50):
-        a = np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, 15).astype(np.uint64)]))
-        x, y = (np.frombuffer(ngram_join.small_sketch(s), np.uint64) for s in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        a = np.unique(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.98], rng.integers(0, 1 << 63, 15).astype(np.uint64)]))
+        x, y = (ngram_join.block_keys(s, 3, 200) for s in (a, b))
+        assert len(np.intersect1d(x, y)) >= 201 - len(np.setxor1d(a, b))
 
 
 @pytest.mark.parametrize("limit", [0, components.CLOSE_EDGES])
