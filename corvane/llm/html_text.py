@@ -3,7 +3,7 @@
 The standard library's streaming parser gives events; block elements end lines. Each line has a ratio of text outside
 links to tags. Smoothed with a Gaussian along the page, the ratios are parted by a threshold into two clusters, and the
 runs of the upper one are the content regions. The article is the article or main element that holds nearly all of
-their text, or else the smallest container that holds all regions; its lines are returned without those of boilerplate
+their text (with other articles of the page at least half as long as the longest), or else the smallest container that holds all regions; its lines are returned without those of boilerplate
 elements, and without its blocks of links if it isn't an article element. An element is not boilerplate by a word of
 its class, id or role if it wraps the page's article or main element, or far more of the text than what is left without it.
 """
@@ -34,6 +34,7 @@ BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentary commentlist consent contentinfo complementary cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications outbrain overlay pager pagination paywall popup popups promo promoted promotion recommendations recommended related replies respond search share sharing sidebar sidenav signin signup skip skyscraper social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar widget widgets".split()
 )
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_TAG_START = re.compile(r"<[A-Za-z/!?]")
 SIGMA = 1.5
 SHARE = 0.9
 # Times the text left without it that an element marked by a word must hold to count as a wrapper: on pages without article text, and with it.
@@ -46,6 +47,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int, int]] = []  # name, in boilerplate, container, marked element
+        self.open: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
         self.parents: list[tuple[int, str]] = [(-1, "root")]  # containers: parent and name
         self.marked: list[int] = [-1]  # elements marked by a word: parent; the first stands for none
         self.articles: list[tuple[int, int]] = []  # unmarked main and outermost article elements: container and marked element around it
@@ -61,23 +63,34 @@ class Lines(HTMLParser):
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    # Markup that ends at no ">" doesn't come here (see ``main_text``), and what isn't a comment, tag or doctype is read as a comment.
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = self.rawdata.find("-->", i + 2)
+        return end + 3 if end >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    parse_marked_section = parse_bogus_comment = parse_pi = lambda self, i, report=True: self.parse_html_declaration(i)
+
     def drop(self, depth: int) -> None:
         for name, *_ in self.stack[depth:]:
             self.links -= name == "a"
+            self.open[name].pop()
         del self.stack[depth:]
 
+    def deepest(self, names: set[str]) -> int:
+        """The innermost open element of these names; -1 if there is none."""
+        return max((places[-1] for n in names if (places := self.open.get(n))), default=-1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
             closing = set(CLOSES.get(tag, ())) | ({"p"} if tag in ENDS_PARAGRAPH else set())
-            for depth in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[depth][0]
-                if name in closing:
-                    self.drop(depth)
-                    break
-                if name in LIMITS_CLOSING:
-                    break
+            depth = self.deepest(closing)
+            if depth >= 0 and depth >= self.deepest(LIMITS_CLOSING):
+                self.drop(depth)
         elif tag in ("br", "img"):
             self.parts.append(" ")
         if tag in VOID:
@@ -86,12 +99,12 @@ class Lines(HTMLParser):
         starts = False
         word = self.has_word(attrs)
         if not skip:
-            skip = starts = tag in NOT_CONTENT or tag == "header" and not any(x[0] in ("article", "main") for x in self.stack) or tag not in ("html", "body", "article", "main") and self.hidden(attrs)
+            skip = starts = tag in NOT_CONTENT or tag == "header" and not self.open.get("article") and not self.open.get("main") or tag not in ("html", "body", "article", "main") and self.hidden(attrs)
         if tag in CONTAINERS:
             self.parents.append((container, tag))
             container = len(self.parents) - 1
         if tag in ("article", "main"):
-            if not word and not skip and not any(x[0] == "article" for x in self.stack):
+            if not word and not skip and not self.open.get("article"):
                 self.articles.append((container, mark))
         elif word and not skip and tag not in ("html", "body"):
             self.marked.append(mark)
@@ -99,6 +112,7 @@ class Lines(HTMLParser):
         self.links += tag == "a"
         if starts:
             self.flush()
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, skip, container, mark))
 
     @staticmethod
@@ -121,11 +135,11 @@ class Lines(HTMLParser):
         for sums, up in ((held, [p for p, _ in self.parents]), (text, self.marked)):  # parents come before what they hold
             for c in range(len(sums) - 1, 0, -1):
                 sums[up[c]] += sums[c]
-        wrapper = [False] * len(self.marked)
+        wrapper = [True] + [False] * (len(self.marked) - 1)  # the first stands for what no word marks
         largest = max((held[c] for c, _ in self.articles if self.parents[c][1] == "article"), default=0)
         for c, mark in self.articles:  # articles much smaller than the largest are teasers or comments
             if held[c] and (self.parents[c][1] == "main" or 2 * held[c] >= largest):
-                while mark > 0:
+                while not wrapper[mark]:
                     wrapper[mark] = True
                     mark = self.marked[mark]
         inside = [False] * len(self.parents)
@@ -133,23 +147,21 @@ class Lines(HTMLParser):
             inside[c] = True
         for c in range(1, len(self.parents)):
             inside[c] |= inside[self.parents[c][0]]
-
-        def condemned() -> list[bool]:
-            out = [False]
-            for m in range(1, len(self.marked)):
-                out.append(not wrapper[m] or out[self.marked[m]])
-            return out
-
-        out = condemned()
+        # Text directly in each marked element, and whether some of it is in an article; a wrapper's parents are wrappers too.
+        direct, in_article = [0] * len(self.marked), [False] * len(self.marked)
+        for x, n in zip(self.lines, free):
+            direct[x[5]] += n
+            in_article[x[5]] |= n > 0 and inside[x[3]]
+        left = sum(n for n, w in zip(direct, wrapper) if w)
+        article = any(x and w for x, w in zip(in_article, wrapper))
         for m in sorted(range(1, len(self.marked)), key=lambda m: (-text[m], m)):
-            left = sum(n for x, n in zip(self.lines, free) if not out[x[5]])
-            article = any(n and inside[x[3]] and not out[x[5]] for x, n in zip(self.lines, free))
             if text[m] <= (WRAPS_ARTICLE if article else WRAPS) * left:
                 break
-            if out[m] and not out[self.marked[m]]:
+            if not wrapper[m] and wrapper[self.marked[m]]:
                 wrapper[m] = True
-                out = condemned()
-        return [x[4] or out[x[5]] for x in self.lines]
+                left += direct[m]
+                article |= in_article[m]
+        return [x[4] or not wrapper[x[5]] for x in self.lines]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -158,13 +170,12 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == tag:
-                outer = self.stack[depth - 1][1::2] if depth else (False, 0)
-                if tag in BLOCKS or self.stack[depth][1::2] != outer:
-                    self.flush()
-                self.drop(depth)
-                return
+        depth = self.deepest({tag})
+        if depth >= 0:
+            outer = self.stack[depth - 1][1::2] if depth else (False, 0)
+            if tag in BLOCKS or self.stack[depth][1::2] != outer:
+                self.flush()
+            self.drop(depth)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
@@ -198,7 +209,10 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    # What follows the last ">" has no whole tag: its text ends where another tag would begin.
+    end = html.rfind(">") + 1
+    tail = _TAG_START.search(html, end)
+    page.feed(html[: tail.start()] if tail else html)
     page.close()
     page.flush()
     lines = page.lines
@@ -216,10 +230,9 @@ def main_text(html: str | None) -> str:
     # An article or main element that holds nearly all of the regions' text is taken whole; else the smallest container of all regions.
     weight = np.zeros(len(page.parents))
     for k in np.flatnonzero(content):
-        c = lines[k][3]
-        while c >= 0:
-            weight[c] += size[k]
-            c = page.parents[c][0]
+        weight[lines[k][3]] += size[k]
+    for c in range(len(weight) - 1, 0, -1):  # parents come before what they hold
+        weight[page.parents[c][0]] += weight[c]
     best = max(c for c in range(len(weight)) if weight[c] >= SHARE * weight[0])
     up, whole = best, -1
     while up >= 0:
@@ -241,6 +254,12 @@ def main_text(html: str | None) -> str:
             linked[page.parents[c][0]] += linked[c]
         blocks = {int(c) for c in np.flatnonzero((weight == 0) & (linked > text / 2))}
     inside = {whole if whole >= 0 else best}
+    if whole >= 0 and page.parents[whole][1] == "article":  # with it others of its page that aren't much smaller
+        held = np.bincount([x[3] for x in lines], weights=free, minlength=len(weight))
+        for c in range(len(weight) - 1, 0, -1):
+            held[page.parents[c][0]] += held[c]
+        largest = max([held[whole], *(held[c] for c, _ in page.articles if page.parents[c][1] == "article")])
+        inside |= {c for c, _ in page.articles if page.parents[c][1] == "article" and held[c] and 2 * held[c] >= largest}
     for c in range(len(page.parents)):
         if page.parents[c][0] in inside and c not in blocks:
             inside.add(c)
@@ -251,7 +270,9 @@ def main_text(html: str | None) -> str:
 def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """Add ``out``: the page's main text (see ``main_text``). Rows keep their other columns; a column named ``out`` is replaced.
 
-    Whole pages are parsed, however long, and broken markup is read as far as it goes. Repeated rows give equal texts.
+    Whole pages are parsed, however long, in time linear in their length; broken markup is read as a browser would: an
+    unknown section is a comment, and an unfinished tag or comment at the end goes. Repeated rows give equal texts; an
+    empty table gives an empty one.
     """
     kept = [f for f in df.schema.fields if f.name != out]
     names = [f.name for f in kept]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -191,6 +192,41 @@ def test_html_without_article_elements():
     assert got == [*want, "More", f"A second block, which is in the same cluster as the first. {LONG}.", "Bye."]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<![foo bar]>hello", "hello"), ("<![ x", ""), ("a <![CDATA[b]]> c", "a c"), ("x<!-- y", "x"), ("<p>x <b", "x"), ("a<?php x ?>b", "ab"), ("</>a<!>b", "ab"), ("<!doctype html>q", "q"), ("1 < 2 & 3", "1 < 2 & 3"),
+        (f"<div id='discussion'>{'A sentence of some words here. ' * 20}</div>", " ".join(["A sentence of some words here."] * 20)),
+        (f"<article><h2>A</h2><p>{'one ' * 60}</p></article><article><h2>B</h2><p>{'two ' * 60}</p></article>", "\n".join(["A", " ".join(["one"] * 60), "B", " ".join(["two"] * 60)])),
+    ],
+)
+def test_html_odd_markup(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<div>t" * 100_000, "<b>" * 50_000 + "x</i>" * 50_000, "<b>" * 30_000 + "<p>t" * 30_000, "<![" * 100_000, "<!--" * 100_000, "</a" * 100_000 + ">", '<div class="ad">t' * 30_000, "<article>t" * 30_000])
+def test_html_takes_linear_time(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 6
+
+
+def test_html_open_elements_equal_a_walk_up_the_stack():
+    class Walk(html_text.Lines):
+        def deepest(self, names):
+            return next((d for d in range(len(self.stack) - 1, -1, -1) if self.stack[d][0] in names), -1)
+
+    rng = random.Random(2)
+    tags = "p li ul td tr table div b a article main header section option br dt dd".split()
+    for _ in range(300):
+        page = "".join(rng.choice([f"<{t}>", f"</{t}>", f"<{t} class=ad>", " word", "\n"]) for t in rng.choices(tags, k=60))
+        one, other = html_text.Lines(), Walk()
+        for x in (one, other):
+            x.feed(page)
+            x.flush()
+        assert one.lines == other.lines and one.stack == other.stack and one.links == other.links
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "<body><p>Text &lt; here</p></body>", "old"), (2, "<body><p>Text &lt; here</p></body>", "old")], "page_id int, html string, text string")
     assert sorted((r.page_id, r.text) for r in html_text.extract_text(df).collect()) == [(1, ""), (2, "Text < here"), (2, "Text < here")]
