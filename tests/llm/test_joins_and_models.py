@@ -181,6 +181,47 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[i].n_links == 0 for i, _, _ in odd)
 
 
+@pytest.mark.parametrize("max_sample", [20_000, 800])
+def test_forest_splits_and_finds_near_pairs(spark, monkeypatch, max_sample):
+    """6,000 vectors of a label with pairs near the limit and a dense cluster: links found, leaf sizes, and copies of each vector."""
+    monkeypatch.setattr(embedding_dedup, "MAX_SAMPLE", max_sample)  # with 800 most splits lie below the sampled nodes
+    monkeypatch.setattr(embedding_dedup, "LEAF", 200)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = rng.uniform(0.93, 0.95, 1500)  # the second 1,500 lie at such a cosine from the first
+    side = rng.normal(size=(1500, 64))
+    side -= (side * x[:1500]).sum(1, keepdims=True) * x[:1500]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x[1500:3000] = cos[:, None] * x[:1500] + np.sqrt(1 - cos**2)[:, None] * side
+    x[5500:] = x[0] + rng.normal(size=(500, 64)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    lone = want[(want < 5500).all(1) & (want > 0).all(1)]
+    assert len(lone) > 1000
+    assert np.mean([got[int(b)].component_id == got[int(a)].component_id for a, b in lone]) >= 0.9
+    assert sum(r.n_links for r in got.values()) >= 0.95 * 2 * len(want)
+    exact = groups(range(6000), want.tolist())
+    assert all(got[i].component_id >= exact[i] for i in range(6000))
+
+    rows, number = embedding_dedup.usable_vectors(df, "vec_id", "embedding", "label")
+    nodes = rows.select(F.col("vec_id").alias("node"), "label", F.lit(64).alias("size"), "raw", F.lit(1).cast("long").alias("copies"))
+    forest = embedding_dedup.fit_forest(nodes, number, 0.93)
+    assert forest.cuts and (max_sample > 1000 or forest.deep)
+    sizes = [r["count"] for r in embedding_dedup.in_leaves(nodes, forest, number, False).groupBy("leaf").count().collect()]
+    assert len(sizes) > 60 and sum(sizes) < 6000 * embedding_dedup.TREES * 2.2 and np.median(sizes) < 400
+
+
+def test_embeddings_of_odd_tables(spark):
+    schema = "vec_id long, embedding array<float>, label int, component_id string, node string"
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, [1.0, 0.0], 1, "x", "y"), (3, [1.0, 0.0], 1, "x", "y"), (3, [0.0, 1.0], 1, "x", "y"), (5, [0.0, 1.0], 1, "x", "y"), (6, [1.0, -0.0], 1, "x", "y")]
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(-1, 0, None, True), (3, 1, 3, True), (3, 1, 3, True), (5, 1, 3, False), (6, 1, 3, False)]
+
+
 def test_large_leaves_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "LEAF", 10**9)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 50)
