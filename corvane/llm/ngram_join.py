@@ -8,7 +8,9 @@ that block's bits and in a checksum of its shingles. With spare blocks (a quarte
 with fewer than two bits need no key: they are what unrelated documents share.
 
 Equal sets are one node. The documents of a bucket (an agreeing block) are paired with one leader each, never with one
-another: as many pairs as documents. Each pair is verified on the texts, which also gives the exact difference of the
+another: as many pairs as documents. A whole sketch of each document, about as many bits as it has shingles, then tells which
+documents of a leader are near enough to it or to another of its documents; the others go. Each
+pair left is verified on the texts, which also gives the exact difference of the
 document's set from its leader's. Of two documents of one leader these differences alone say how far they are
 apart, so what is not linked to the leader is compared with the leader's other documents on
 differences: exactly, and with hardly any work where they have nothing in common.
@@ -113,18 +115,25 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int, seed: int = 0):
             yield batch, a, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words, seed)
 
 
+def whole_sketch(own: np.ndarray) -> bytes:
+    """A parity bit for each of a power of two of places, between half as many and as many as the set's members twice over (512 at least)."""
+    size = 1 << max(9, int(2 * len(own)).bit_length() - 1)
+    flips = np.bincount(((own >> np.uint64(7)) % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def shingle_summary(docs: DataFrame, doc_id: str, text: str, words: int, seed: int) -> DataFrame:
-    """``doc_id, n_shingles, fp, other`` of every row; fp names the set (null for an empty one), other tells equal names apart."""
+    """``doc_id, n_shingles, fp, other, sketch`` of every row; fp names the set (null for an empty one), other tells equal names apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, sets in _sets_of(batches, words, seed):
             names = [set_names(s, seed) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1))],
-                names=["doc_id", "n_shingles", "fp", "other"],
+                [batch.column(0).slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)), pa.array([whole_sketch(s) if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "fp", "other", "sketch"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, fp long, other long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run), "doc_id long, n_shingles long, fp long, other long, sketch binary")
 
 
 KEY_BYTES = 6  # of a key's hash that are sent: a chance match is one more candidate
@@ -207,6 +216,64 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def by_leader(rows: DataFrame, load: DataFrame) -> DataFrame:
+    """Deal ``rows`` to tasks that hold whole leaders: ``dealt, low, high`` name a task, ``block`` a row's block.
+
+    ``load``: a, m (rows) and bytes. A leader of many or long rows is dealt in blocks instead, each pair of blocks a task.
+    """
+    spark = rows.sparkSession
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int")
+    total = load.agg(F.sum("m"), F.sum("bytes")).first()
+    groups = partitions_for(spark, max((total[0] or 0) * 512, total[1] or 0), BLOCK_BYTES)
+    spread = rows.join(load.select("a", blocks.alias("blocks")), "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.withColumns({"dealt": F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("a"), F.lit(groups))).otherwise(F.col("a")), "low": F.least("block", "against"), "high": F.greatest("block", "against")})
+    return spread.drop("blocks", "against")
+
+
+def leaders_of(table: pa.Table) -> Iterator[pa.Table]:
+    """The table's rows leader by leader, each document once."""
+    a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    order = np.lexsort((b, a))
+    order = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))]
+    table, a = table.take(pa.array(order)), a[order]
+    edges = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+    for x, y in zip(edges, edges[1:]):
+        yield table.slice(x, y - x)
+
+
+def near_by_sketch(table: pa.Table, percent: int) -> np.ndarray:
+    """Of each document of a leader, whether the sketches leave it near enough to another one (of two blocks, to one of the other block)."""
+    size, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+    bits = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+    width = min(map(len, bits))
+    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), 0) for x in bits])  # folded onto the shortest
+    near = np.zeros(len(size), bool)
+    two = block.min() != block.max()
+    for i in range(len(size) - 1):
+        other = slice(i + 1, None)
+        s, t = size[i], size[other]
+        close = (100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most_different(s + t, percent))
+        if two:
+            close &= block[other] != block[i]
+        if close.any():
+            near[i] = True
+            near[other] |= close
+    return near
+
+
+def near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose document b is near enough, by sketches (``fp, n, sketch``), to a or to another document of a."""
+    rows = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct()).join(sketches, F.col("b") == F.col("fp")).select("a", "b", "n", "sketch")
+    load = rows.groupBy("a").agg(F.count("*").alias("m"), F.sum(F.octet_length("sketch")).alias("bytes"))
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [(own.column("a").to_numpy()[near], own.column("b").to_numpy()[near]) for own in leaders_of(table) for near in (near_by_sketch(own, percent),)]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    return by_leader(rows, load).groupBy("dealt", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
+
 def difference(lead: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What a sorted set holds beyond its leader's, and of each of the leader's members whether it is missing."""
     at = np.searchsorted(lead, own)
@@ -300,19 +367,18 @@ def links_within_stars(rows: DataFrame, percent: int) -> DataFrame:
     A leader's documents are compared in one task, or, if they are many or long, in blocks: each pair of blocks a task.
     """
     load = rows.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("strays"), F.sum(F.octet_length("extra") + F.octet_length("missing")).alias("bytes")).where("m > 1 AND strays > 0")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int")
-    spread = rows.join(load.select("a", blocks.alias("blocks")), "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumns({"low": F.least("block", "against"), "high": F.greatest("block", "against")}).drop("blocks", "against")
 
     def run(table: pa.Table) -> pa.Table:
-        _, once = np.unique(table.column("b").to_numpy(), return_index=True)
-        table = table.take(pa.array(once))
-        names = table.column("b").to_numpy()
-        ends = links_by_difference(table, percent)
-        nodes, roots = local_roots(names[ends[:, 0]], names[ends[:, 1]]) if len(ends) else (names[:0], names[:0])
-        return pa.table({"a": nodes[nodes != roots], "b": roots[nodes != roots]})
+        out = [(np.zeros(0, np.int64),) * 2]
+        for own in leaders_of(table):
+            names, ends = own.column("b").to_numpy(), links_by_difference(own, percent)
+            if len(ends):
+                nodes, roots = local_roots(names[ends[:, 0]], names[ends[:, 1]])
+                out.append((nodes[nodes != roots], roots[nodes != roots]))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"a": a, "b": b})
 
-    return spread.groupBy("a", "low", "high").applyInArrow(run, "a long, b long")
+    return by_leader(rows, load).groupBy("dealt", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -338,10 +404,14 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     parts = partitions_for(spark, (total or 0) // 2, KEYS_PER_PART)
     pairs = saved(leader_pairs(candidate_rows(docs.where(F.col(doc_id).isNotNull()), text, words, percent, largest or 0, parts, seed)))
 
-    # Texts of the sets that have a candidate.
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    def involved() -> DataFrame:
+        """``fp, first_id`` of the sets in pairs."""
+        rows = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp"))
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    sketches = saved(live.select(F.col("doc_id").alias("first_id"), "fp", F.col("n_shingles").alias("n"), "sketch").join(involved(), ["fp", "first_id"], "left_semi"))
+    pairs = saved(near_pairs(pairs, sketches, percent))
+    wanted = involved()
     texts = saved(_right_rows(docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text")).join(wanted, "first_id").select("fp", "text"), words, seed))
 
     stars = pairs.groupBy("a").agg(F.count("*").alias("members"))
