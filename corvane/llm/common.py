@@ -49,13 +49,14 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition), 1)
 
 
-def released(run: Callable) -> Callable:
-    """``run`` over Arrow batches, after whose end the worker gives free memory back: workers live on for the next stage."""
+def released(run: Callable, before: Callable = lambda: None) -> Callable:
+    """``run`` over Arrow batches, after whose end (and that of ``before``) the worker gives free memory back: it lives on for the next stage."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
+            before()
             give_back()
 
     return held
@@ -86,11 +87,11 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_groups(offsets: np.ndarray, max_bytes: int):
-    """Row ranges whose texts hold about ``max_bytes`` together; a longer text is alone."""
+def row_groups(offsets: np.ndarray, max_bytes: int, max_rows: int = 1 << 30):
+    """Row ranges of at most ``max_rows`` texts that hold about ``max_bytes`` together; a longer text is alone."""
     start, n = 0, len(offsets) - 1
     while start < n:
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, "right")) - 1)
+        end = min(max(start + 1, int(np.searchsorted(offsets, offsets[start] + max_bytes, "right")) - 1), start + max_rows)
         yield start, min(end, n)
         start = min(end, n)
 

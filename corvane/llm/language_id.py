@@ -13,11 +13,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import id_bucket, read_table, released, row_groups, text_buffers
 
 BUCKETS = 2048
-GROUP_BYTES = 1 << 20
+GROUP_ROWS = 256
+GROUP_BYTES = 1 << 20  # of text at a time; also of a longer text's n-grams
 MAX_SAMPLE = 4000  # texts the centroids are fitted on, over all languages (in expectation)
 CENTROIDS = 4
 REJECT_SHARE = 0.3  # of the lowest cosine that fitted texts of that length have
@@ -29,22 +31,23 @@ _FOLD[:128] = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in
 def ngram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Counts (rows x buckets) of the byte bigrams and trigrams of the texts, A-Z folded and runs of other ASCII made one space."""
     rows = len(offsets) - 1
-    row = np.repeat(np.arange(rows), np.diff(offsets))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(offsets))
     x = _FOLD[data]
     keep = np.append(True, (x[1:] != 32) | (x[:-1] != 32) | (row[1:] != row[:-1])) if len(x) else np.zeros(0, bool)
-    x, row = x[keep].astype(np.uint32), row[keep]
-    out = np.zeros((rows, BUCKETS), np.float32)
+    x, row = x[keep], row[keep]
+    out = np.zeros((rows, BUCKETS), np.int64)
     for n in (2, 3):
-        if len(x) < n:
-            continue
-        h = np.full(len(x) - n + 1, n, np.uint32)
-        for k in range(n):
-            h = (h ^ x[k : len(x) - n + 1 + k]) * np.uint32(0x01000193) + np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-        same = row[n - 1 :] == row[: len(row) - n + 1]
-        place = row[: len(h)][same] * BUCKETS + (h[same] % np.uint32(BUCKETS))
-        out += np.bincount(place, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
-    return out
+        for at in range(0, len(x) - n + 1, GROUP_BYTES):
+            some = min(GROUP_BYTES, len(x) - n + 1 - at)
+            h = np.full(some, n, np.uint32)
+            for k in range(n):
+                h = (h ^ x[at + k : at + k + some]) * np.uint32(0x01000193) + np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+            first = row[at : at + some]
+            same = first == row[at + n - 1 : at + n - 1 + some]
+            place = first[same].astype(np.int64) * BUCKETS + (h[same] % np.uint32(BUCKETS))
+            out += np.bincount(place, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
+    return out.astype(np.float32)
 
 
 def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -111,7 +114,7 @@ def fit_language_model(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             n += batch.num_rows
-            for a, b in row_groups(offsets, GROUP_BYTES):
+            for a, b in row_groups(offsets, GROUP_BYTES, GROUP_ROWS):
                 held += (ngram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) > 0).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(np.append(held, n))], names=["bucket", "n"])
 
@@ -130,13 +133,13 @@ def fit_language_model(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            for a, b in row_groups(offsets, GROUP_BYTES):
+            for a, b in row_groups(offsets, GROUP_BYTES, GROUP_ROWS):
                 counts = ngram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([c.astype(np.uint32).tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
 
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < chance * 1_000_003)
     got = drawn.select("text", "lang").mapInArrow(sampled, "lang string, counts binary").orderBy("lang", F.xxhash64("counts")).toArrow()
-    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.float32)
+    counts = np.frombuffer(b"".join(got.column("counts").to_pylist()), np.uint32).reshape(-1, BUCKETS).astype(np.float32)
     return LanguageModel(idf, got.column("lang").to_pylist(), counts)
 
 
@@ -144,18 +147,19 @@ def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text")
     """Add lang_pred (a learned language; ``und`` if the text is null or has no letter), score (the cosine, 0 to 1) and rejected.
 
     rejected: ``und``, or farther from every centroid than texts of its size are. Without learned languages all is
-    ``und``. Columns of the added names are replaced; repeated rows get equal results; of equal cosines the first
-    language by name wins.
+    ``und``. Columns of the added names are replaced, all others kept; repeated rows get equal results; of equal cosines the first
+    language by name wins. Whole texts are read; a very long one takes about 12 bytes of memory a byte. An empty table gives
+    an empty one.
     """
     kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "score", "rejected")]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double, rejected boolean"])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             data, offsets = text_buffers(column)
-            for a, b in row_groups(offsets, GROUP_BYTES):
+            for a, b in row_groups(offsets, GROUP_BYTES, GROUP_ROWS):
                 known = np.array([has_letter(t) for t in column.slice(a, b - a).to_pylist()])
                 if len(model.names):
                     best, score, far = model.predict(ngram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))

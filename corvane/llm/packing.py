@@ -45,7 +45,7 @@ def tokenized_pieces(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
         for batch in batches:
             keys = batch.column(0)
             data, offsets = text_buffers(batch.column(1))
-            for a, b in row_groups(offsets, 4 << 20):
+            for a, b in row_groups(offsets, 1 << 20):
                 got, at = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 got = got.astype("<u4")
                 rows, piece, start, length, ids = [], [], [], [], []
@@ -63,7 +63,7 @@ def tokenized_pieces(df: DataFrame, tokenizer_path: str, doc_id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(rows)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(np.arange(number, number + len(rows)))], names=["doc_id", "piece", "start", "length", "ids", "row_no"])
                 number += len(rows)
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run), f"doc_id {key_type}, piece int, start long, length long, ids binary, row_no long")
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(released(run, lambda: encoder(tokenizer_path).forget()), f"doc_id {key_type}, piece int, start long, length long, ids binary, row_no long")
 
 
 class Room:
@@ -160,11 +160,18 @@ def evolve(lengths: np.ndarray, founders: list[np.ndarray], capacity: int, seed:
     return scored[0][2]
 
 
+def migrated(state: DataFrame) -> DataFrame:
+    """Every island keeps its best packing and gets its neighbour's; ``origin`` tells them apart."""
+    return state.withColumn("origin", F.col("island")).withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))))
+
+
 def pack(items: DataFrame, capacity: int = 2048, key: str = "row_no", length: str = "length") -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows that hold a unique ``key`` and a ``length`` of 0 to ``capacity``.
 
     Sequences hold at most ``capacity`` and have no gaps. Rows longer than ``capacity`` or of null length aren't
-    placed (null ``sequence_id`` and ``offset``). ``items`` should be materialised: it is read more than once.
+    placed (null ``sequence_id`` and ``offset``). Columns of these two names are replaced, all others kept. An empty table gives
+    an empty one. ``items`` should be materialised: it is read more than once. Nothing is ever in one task but a shard
+    (``SHARD_ITEMS`` rows) or the loose bins of 64 shards, hundreds of each at most.
     """
     slim = items.where(F.col(length).between(0, capacity)).select(F.col(key).alias("k"), F.col(length).cast("long").alias("n"))
     count = slim.count()
@@ -199,8 +206,8 @@ def pack(items: DataFrame, capacity: int = 2048, key: str = "row_no", length: st
 
     state = dealt.withColumn("island", F.explode(F.array([F.lit(i) for i in range(ISLANDS)]))).withColumns({"bin": F.lit(0).cast("long"), "origin": F.lit(-1)})
     for e in range(EPOCHS):
-        if e:  # every island keeps its best packing and gets its neighbour's
-            state = state.withColumn("origin", F.col("island")).withColumn("island", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))))
+        if e:
+            state = migrated(state)
         state = state.withColumn("epoch", F.lit(e)).repartition(width, "shard", "island").groupBy("shard", "island").applyInPandas(epoch, "shard long, island int, k long, n long, bin long")
     schema = "shard long, k long, n long, bin long, at long, fill long"
     first = checkpointed(state.groupBy("shard").applyInPandas(settle, schema))
@@ -208,13 +215,17 @@ def pack(items: DataFrame, capacity: int = 2048, key: str = "row_no", length: st
     rest = first.where(loose).withColumn("pool", F.floor(F.col("shard") / 64)).groupBy("pool").applyInPandas(again, schema)
     done = first.where(~loose).unionByName(rest)
     # Shards count from 0 and pools from -1 down: each gets numbers of its own.
-    done = done.select(F.col("k").alias("_k"), (F.col("shard") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), F.col("at").alias("offset"))
-    kept = [F.col(c) for c in items.columns if c not in ("sequence_id", "offset")]
-    return items.select(*kept).join(done, items[key] == done["_k"], "left").drop("_k")
+    done = done.select(F.col("k").alias(key), (F.col("shard") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), F.col("at").alias("offset"))
+    kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    return items.select(*kept).join(done, key, "left").select(*kept, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    """Pieces of the documents with the sequence and offset of each; of the ids their crc32 is kept."""
+    """Pieces of the documents with the sequence and offset of each; of the ids their crc32 is kept.
+
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset (see ``tokenized_pieces`` for nulls and empty
+    texts); other columns, of whatever names, are ignored. Repeated rows are packed each. An empty table gives an empty one.
+    """
     pieces = tokenized_pieces(docs, tokenizer_path, max_tokens=capacity)
     items = checkpointed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row_no"))
     return pack(items, capacity).drop("row_no")

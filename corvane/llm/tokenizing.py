@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from corvane.llm.bpe import encoder
 from corvane.llm.common import read_table, released, row_groups, text_buffers
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def encode_texts(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -40,7 +40,7 @@ def encode_texts(df: DataFrame, tokenizer_path: str, text: str = "text", ids: st
                     names=[*names, ids, decoded],
                 )
 
-    return df.mapInArrow(released(run), schema)
+    return df.mapInArrow(released(run, lambda: encoder(tokenizer_path).forget()), schema)
 
 
 def op6_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:
