@@ -1,7 +1,8 @@
 """Operator 10: format-preserving pseudonyms for personal data.
 
 Validated numbers, dates, addresses and secrets are permuted within their own format by a keyed Feistel network:
-a card stays a card with a right check digit, a date a date. Equal values have equal pseudonyms in all documents.
+a card stays a card with a right check digit, a date a date. Equal values have equal pseudonyms in all documents, dates and
+phone numbers also if they are written in other ways.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,7 +22,8 @@ from pyspark.sql import types as T
 from corvane.llm.common import read_table, released
 
 ROUNDS = 8
-DEFAULT_KEY = b"replace this key outside tests"
+KEY_SETTING = "spark.corvane.pseudonym.key"
+TEST_KEY = b"replace this key outside tests"
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
@@ -136,9 +139,8 @@ def date(text: str, key: bytes) -> str | None:
         except ValueError:
             continue
         if FIRST_DAY <= day <= LAST_DAY:
-            narrow = lambda n: all(len(f) == 2 or v < 10 for f, v in ((m, datetime.date.fromordinal(FIRST_DAY + n).month), (d, datetime.date.fromordinal(FIRST_DAY + n).day)))  # noqa: B023, E731
-            new = datetime.date.fromordinal(FIRST_DAY + permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, f"date{len(m)}{len(d)}".encode(), narrow))
-            fields = [f"{new.year:04d}", f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}"]
+            new = datetime.date.fromordinal(FIRST_DAY + permuted(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date"))
+            fields = [f"{new.year:04d}", f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}"]  # one digit: written without a leading zero
             return sep.join(fields if len(a) == 4 else [fields[2], fields[1], fields[0]] if k == 0 else [fields[1], fields[2], fields[0]])
     return None
 
@@ -164,6 +166,13 @@ def email(text: str, key: bytes) -> str | None:
     return by_class(f"{local}@{first}", key, b"email") + dot + rest
 
 
+def credential(text: str, key: bytes) -> str | None:
+    """Words of prose after the name of a credential are none: its value mixes letters and digits, or is long and mixed in case."""
+    letters, digits = any(c in LOWER or c in UPPER for c in text), any(c in DIGITS for c in text)
+    mixed = any(c in LOWER for c in text) and any(c in UPPER for c in text[1:])
+    return secret(text, key) if letters and digits or digits and len(text) >= 12 or mixed and len(text) >= 12 else None
+
+
 def secret(text: str, key: bytes) -> str | None:
     return by_class(text, key, b"secret", hexa=all(c in HEX for c in text))
 
@@ -172,16 +181,18 @@ def secret(text: str, key: bytes) -> str | None:
 KINDS: dict[str, tuple[str, Callable[[str, bytes], str | None]]] = {
     "email": (r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", email),
     "access_key": (r"(?<![A-Za-z0-9])(?:AKIA|ASIA)(?P<own_access_key>[A-Z0-9]{16})(?![A-Za-z0-9])", secret),
-    "credential": (r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth)[\"']?\s{0,4}[=:]\s{0,4}[\"']?(?P<own_credential>[A-Za-z0-9_\-+/.=]{8,512})", secret),
+    "credential": (r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth)[\"']?\s{0,4}[=:]\s{0,4}[\"']?(?P<own_credential>[A-Za-z0-9_\-+/.=]{8,512})", credential),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     "date": (r"(?<![\d.\-/])(?:\d{4}(?P<sep_a>[-/.])\d{1,2}(?P=sep_a)\d{1,2}|\d{1,2}(?P<sep_b>[-/.])\d{1,2}(?P=sep_b)\d{4})(?![\d\-/]|\.\d)", date),
     "ipv4": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     "ssn": (r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", ssn),
+    "plain_phone": (r"(?i:\b(?:tele)?phone|\btel|\bmobile|\bcell|\bfax|\bcall)(?i:[ .:#]{1,3}|(?: number)?(?: is|:)? ?)(?P<own_plain_phone>[2-9]\d\d[2-9]\d{6})(?!\d|[\-.]\d)", phone),
     "phone": (r"(?<![\d.\w])(?:(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}|\+(?!1\b)\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,5})(?![\d\-]|\.\d)", phone),
     "card": (r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-]|\.\d)", card),
 }
 _PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, (pattern, _) in KINDS.items()))
 _HINT = re.compile(r"[0-9@]")
+_VERSION = re.compile(r"(?:\bv|\bver|version|release|build|section|chapter)[ .:]{0,2}$", re.IGNORECASE)  # no address follows these
 
 
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
@@ -195,7 +206,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
         own = f"own_{kind}"
         whole = m.group()
         a, b = (m.start(own) - m.start(), m.end(own) - m.start()) if own in _PATTERN.groupindex and m.group(own) is not None else (0, len(whole))
-        new = _known(kind, whole[a:b], key)
+        new = None if kind == "ipv4" and _VERSION.search(text, max(0, m.start() - 10), m.start()) else _known(kind, whole[a:b], key)
         if new is None:
             return whole
         kinds.append(kind)
@@ -209,12 +220,19 @@ def _known(kind: str, value: str, key: bytes) -> str | None:
     return KINDS[kind][1](value, key)
 
 
-def pseudonymise_column(df: DataFrame, text: str = "text", key: bytes = DEFAULT_KEY, kinds: str = "pii_kinds") -> DataFrame:
+def pseudonymise_column(df: DataFrame, text: str = "text", key: bytes | None = None, kinds: str = "pii_kinds") -> DataFrame:
     """Replace personal data in column ``text`` and add ``kinds``, the array of what was replaced, in order.
 
-    A null text stays null with a null array; an empty one stays empty. All else of the text is kept, and its
-    length too but for the widths of an IPv4 address's numbers. Repeated rows get equal texts. A column named ``kinds`` is replaced.
+    Without ``key`` that of the Spark setting ``spark.corvane.pseudonym.key`` is taken; where none is set, a key for tests, with a
+    warning. A null text stays null with a null array; an empty one stays empty. All else of the text is kept, and its
+    length too but for the widths of an IPv4 address's numbers and of dates written without leading zeros. Whole texts are read,
+    however long. Repeated rows get equal texts. A column named ``kinds`` is replaced. An empty table gives an empty one.
     """
+    if key is None:
+        key = df.sparkSession.conf.get(KEY_SETTING, "").encode()
+        if not key:
+            warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms are made with the key for tests", stacklevel=2)
+            key = TEST_KEY
     kept = [f for f in df.schema.fields if f.name != kinds]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(kinds, T.ArrayType(T.StringType()))])

@@ -12,12 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import id_bucket, read_table, released, row_groups, span_hashes, text_buffers, word_spans
 
 PASSAGE_WORDS = 40
 GROUP_BYTES = 1 << 20
 MAX_LABELS = 5000  # labelled documents that the model is fitted on (in expectation)
+MAX_PASSAGES = 256  # of each of these, evenly spread over the text
 HIDDEN, GATE, STEPS, RATE = 16, 12, 250, 0.03
 LIMIT = 0.7
 
@@ -145,7 +147,8 @@ class AttentionModel:
 def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS) -> AttentionModel:
     """Fit on labelled rows: ``labels`` holds doc_id and quality (0 or 1).
 
-    Sampled by hash of doc_id to ``max_labels`` documents at most, in expectation; every passage of them is used. Rows
+    Sampled by hash of doc_id to ``max_labels`` documents at most, in expectation, and to ``MAX_PASSAGES`` passages of each, evenly
+    spread: at most 76 bytes times both come to the driver, however long the texts. Rows
     of null id or quality are left out; of several labels of one id the lowest counts. With no labels the model scores
     1/2 always.
     """
@@ -160,7 +163,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id"
                 x, bags = passage_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 part = batch.slice(a, b - a)
                 edges = np.cumsum(bags)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[e - k : e].astype(np.float32).tobytes() for e, k in zip(edges, bags)], pa.binary())], names=["doc_id", "quality", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x[e - k + np.unique(np.linspace(0, k - 1, min(k, MAX_PASSAGES)).astype(np.int64))].astype(np.float32).tobytes() for e, k in zip(edges, bags)], pa.binary())], names=["doc_id", "quality", "x"])
 
     # The sample is bounded by max_labels, so it is broadcast.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
@@ -179,12 +182,13 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id"
 def score_quality(df: DataFrame, model: AttentionModel, text: str = "text") -> DataFrame:
     """Add score (0 to 1) and predicted (1 if score >= 0.7).
 
-    A null, empty or blank text is one passage without words. Columns of the added names are replaced; repeated rows get equal
-    scores.
+    A null, empty or blank text is one passage without words. Columns of the added names are replaced, all others kept; repeated
+    rows get equal scores. Every passage of a text counts, however many: a very long text is held by one task, with about 100
+    bytes a word. An empty table gives an empty one.
     """
     kept = [f for f in df.schema.fields if f.name not in ("score", "predicted")]
     names = [f.name for f in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double, predicted int"])
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,9 @@
 """Language ID, HTML text, quality, tokens, packing, pseudonyms: small cases, ends and brute force."""
 
+import collections
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -292,3 +294,174 @@ def test_pseudonym_column(spark, odd):
     got = pseudonyms.pseudonymise_column(odd.withColumn("pii_kinds", F.lit("old"))).collect()
     assert len(got) == odd.count() and all((r.text is None) == (r.pii_kinds is None) for r in got)
     assert hashlib.md5("".join(sorted(r.text or "" for r in got)).encode()).hexdigest() == hashlib.md5("".join(sorted(r.text or "" for r in odd.collect())).encode()).hexdigest()
+
+
+# Plain versions, a text and a word at a time.
+
+
+def plain_grams(text):
+    raw = bytearray()
+    for b in (text or "").encode():
+        c = b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32
+        if c != 32 or not raw or raw[-1] != 32:
+            raw.append(c)
+    counts = np.zeros(language_id.BUCKETS)
+    for n in (2, 3):
+        for i in range(len(raw) - n + 1):
+            h = n
+            for b in raw[i : i + n]:
+                h = ((h ^ b) * 0x01000193 + 0x9E3779B1) % 2**32
+            counts[(h ^ (h >> 15)) % language_id.BUCKETS] += 1
+    return counts
+
+
+@pytest.mark.parametrize("group", [language_id.GROUP_BYTES, 50])
+def test_language_id_equals_plain_version(spark, monkeypatch, group):
+    docs = read_table(spark, SF, "documents")
+    model = language_id.fit_language_model(docs.where(~language_id.held_out_of()), max_sample=80)
+    texts = [r.text for r in docs.where(language_id.held_out_of()).limit(30).collect()] + ODD
+    monkeypatch.setattr(language_id, "GROUP_BYTES", group)  # of the counts below; workers have their own
+    data = [(t or "").encode() for t in texts]
+    counts = language_id.ngram_counts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    schema = "doc_id long, text string, lang_pred int, score string, rejected string, other int"
+    got = {r.doc_id: r for r in language_id.identify_languages(spark.createDataFrame([(i, t, 1, "a", "b", 5) for i, t in enumerate(texts)], schema), model).collect()}
+    for i, t in enumerate(texts):
+        plain = plain_grams(t)
+        assert (counts[i] == plain).all()
+        x = np.log1p(plain) * model.idf
+        cosine = np.array([x @ c / (np.linalg.norm(x) or 1) for c in model.centers])
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        assert got[i].lang_pred == model.names[int(cosine.argmax())] and abs(got[i].score - min(max(cosine.max(), 0), 1)) < 1e-5
+        floor = model.floor[int(np.log2(plain.sum() + 1))]
+        assert got[i].rejected == (cosine.max() < floor) or abs(cosine.max() - floor) < 1e-5
+        assert got[i].other == 5
+    assert language_id.identify_languages(spark.createDataFrame([], schema), model).count() == 0
+
+
+def test_language_id_ties_and_long_texts(spark):
+    """Of equal centroids the first language by name wins; counts above 65,535 are kept."""
+    df = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["zz", "aa"] * 3)], "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(df)
+    assert {r.lang_pred for r in language_id.identify_languages(df, model).collect()} == {"aa"}
+    long = np.frombuffer(b"ab" * 200_000, np.uint8)
+    assert language_id.ngram_counts(long, np.array([0, len(long)])).max() > 190_000
+
+
+def plain_passages(text):
+    raw = (text or "").encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [raw[a:b] for a, b in spans]
+    triples = collections.Counter(zip(words, words[1:], words[2:]))
+    out = []
+    for first in range(0, max(len(words), 1), quality_classifier.PASSAGE_WORDS):
+        own = words[first : first + quality_classifier.PASSAGE_WORDS]
+        n = max(len(own), 1)
+        after = first + quality_classifier.PASSAGE_WORDS
+        part = raw[spans[first][0] if own else 0 : spans[after][0] if after < len(words) else len(raw)]
+        size = [len(w) for w in own] or [0]
+        row = [sum(b in members for b in part) / max(len(part), 1) for members in quality_classifier.CLASSES]
+        row += [np.mean(size) / 10, np.std(size) / 5]
+        row.append(sum(k > 0 and words[k] == words[k - 1] for k in range(first, first + len(own))) / n)
+        row.append((len(own) - len(set(own))) / n)
+        row.append(sum(triples[tuple(words[k : k + 3])] > 1 for k in range(first, first + len(own)) if k + 2 < len(words)) / n)
+        row.append(sum(w[-1:] in (b".", b"!", b"?") for w in own) / n)
+        row.append(sum(w[:1].isalpha() and w[:1].isupper() for w in own) / n)
+        row += [sum(len(w) == 1 for w in own) / n, len(own) / quality_classifier.PASSAGE_WORDS, np.log1p(len(words)) / 5]
+        out.append(row)
+    return np.array(out)
+
+
+def test_quality_scores_equal_plain_version(spark):
+    docs = read_table(spark, SF, "documents")
+    model = quality_classifier.fit_quality_model(docs, read_table(spark, SF, "labels"))
+    texts = [r.text for r in docs.limit(40).collect()] + ODD
+    schema = "doc_id long, text string, score string, predicted string, other int"
+    got = {r.doc_id: r for r in quality_classifier.score_quality(spark.createDataFrame([(i, t, "x", "y", 5) for i, t in enumerate(texts)], schema), model).collect()}
+    p = model.p
+    for i, t in enumerate(texts):
+        x = np.clip((plain_passages(t).astype(np.float32) - model.mean) / model.scale, -6, 6)
+        h = np.tanh(x @ p["W"] + p["b"])
+        e = np.exp((np.tanh(h @ p["V"]) / (1 + np.exp(-h @ p["U"]))) @ p["w"])
+        score = 1 / (1 + np.exp(-((e / e.sum()) @ h @ p["c"] + p["d"][0])))
+        assert abs(got[i].score - score) < 1e-4 and got[i].predicted == int(got[i].score >= 0.7) and got[i].other == 5
+    assert quality_classifier.score_quality(spark.createDataFrame([], schema), model).count() == 0
+
+
+def three_partition(rng, n):
+    """Lengths that fill n bins of 2,048 in threes, without room to spare."""
+    out = []
+    for _ in range(n):
+        a = rng.randint(520, 900)
+        b = rng.randint(520, 2048 - a - 521)
+        out += [a, b, 2048 - a - b]
+    rng.shuffle(out)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_crossovers_improve_on_best_fit(monkeypatch, seed):
+    lengths = three_partition(random.Random(seed), 40)
+    calls, real = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or real(*a))
+    founder = np.zeros(len(lengths), np.int64)
+    packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), founder, {}, 2048)
+    best = packing.evolve(lengths, [], 2048, seed, 60)
+    assert len(calls) == 60
+    assert np.bincount(best, weights=lengths).max() <= 2048
+    assert packing.quality(lengths, best, 2048)[0] > packing.quality(lengths, founder, 2048)[0]
+
+
+def test_elites_migrate(spark):
+    """Each island keeps its packing and gets that of the island before it, marked by its origin; a better founder isn't lost."""
+    state = spark.createDataFrame([(0, i, k, 1024, 10 * i + k) for i in range(packing.ISLANDS) for k in range(2)], "shard long, island int, k long, n long, bin long")
+    got = {(r.island, r.origin, r.k): r.bin for r in packing.migrated(state).collect()}
+    assert got == {((i + step) % packing.ISLANDS, i, k): 10 * i + k for i in range(packing.ISLANDS) for k in range(2) for step in (0, 1)}
+    lengths = three_partition(random.Random(9), 40)
+    elite = np.zeros(len(lengths), np.int64)
+    elite[:] = packing.evolve(lengths, [], 2048, 9, 150)
+    assert packing.quality(lengths, packing.evolve(lengths, [elite], 2048, 1, 12), 2048) >= packing.quality(lengths, elite, 2048)
+
+
+def test_packing_keeps_other_columns(spark):
+    items = spark.createDataFrame([(1, 5, "a", "b", 3), (2, 2048, "c", "d", 4)], "row_no long, length int, _k string, sequence_id string, bin int")
+    got = sorted((r.row_no, r._k, r.bin, r.sequence_id is None, r.offset) for r in packing.pack(items).collect())
+    assert got == [(1, "a", 3, False, 0), (2, "c", 4, False, 0)]
+
+
+def test_pseudonyms_leave_prose_and_versions(spark):
+    key = b"k" * 16
+    for text in ("the password: required by rules", "token: expired today", "v 1.2.3.4 and version 10.0.0.1", "secret=something", "order 5552345678 came"):
+        assert pseudonyms.pseudonymise(text, key) == (text, [])
+    assert pseudonyms.pseudonymise("pwd=abc12345xyz from 10.0.0.1", key)[1] == ["credential", "ipv4"]
+
+
+def test_pseudonyms_link_equal_values(spark):
+    """Dates of other widths and phones of other forms; every pseudonym is of its format and none is made twice."""
+    key = b"k" * 16
+    wide, narrow = pseudonyms.date("1990-02-01", key), pseudonyms.date("1990-2-1", key)
+    assert [int(x) for x in wide.split("-")] == [int(x) for x in narrow.split("-")] and len(wide) == 10
+    plain = pseudonyms.pseudonymise("phone 7842559263", key)
+    assert plain[1] == ["plain_phone"] and plain[0][6:] == "".join(filter(str.isdigit, pseudonyms.phone("(784) 255-9263", key)))
+    days = [f"2021-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
+    assert len({pseudonyms.date(d, key) for d in days}) == len(days)
+
+
+def test_pseudonym_column(spark, odd):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text").withColumn("pii_kinds", F.lit("old"))
+    got = pseudonyms.pseudonymise_column(docs, key=b"a key").collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    changed = 0
+    for r in got:
+        want = pseudonyms.pseudonymise(texts[r.doc_id], b"a key") if texts[r.doc_id] is not None else (None, None)
+        assert (r.text, r.pii_kinds) == want
+        changed += bool(r.pii_kinds)
+        if r.pii_kinds:  # nothing that was found is left, and what replaces it is of its form
+            assert pseudonyms.pseudonymise(r.text, b"a key")[1] == r.pii_kinds
+    assert changed > 5
+    spark.conf.set(pseudonyms.KEY_SETTING, "a key")
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise_column(docs).collect()} == {r.doc_id: r.text for r in got}
+    spark.conf.unset(pseudonyms.KEY_SETTING)
+    with pytest.warns(UserWarning):
+        assert pseudonyms.pseudonymise_column(odd.limit(0)).count() == 0
