@@ -8,12 +8,12 @@ that block's bits and in a checksum of its shingles. With spare blocks (a quarte
 with fewer than two bits need no key: they are what unrelated documents share.
 
 Equal sets are one node. The documents of a bucket (an agreeing block) are paired with one leader each, never with one
-another: as many pairs as documents. A whole sketch of each document, about as many bits as it has shingles, then tells which
-documents of a leader are near enough to it or to another of its documents; the others go. Each
-pair left is verified on the texts, which also gives the exact difference of the
-document's set from its leader's. Of two documents of one leader these differences alone say how far they are
-apart, so what is not linked to the leader is compared with the leader's other documents on
-differences: exactly, and with hardly any work where they have nothing in common.
+another: as many pairs as documents. Among a leader's documents whole sketches, about as many bits as a set has shingles, then
+tell which may be near enough; what hangs together by that is a family, and two documents that are similar enough are always
+of one. Each document's text meets the text of one document of its family, the first, which verifies that pair and gives the
+exact difference of the two sets. Of two documents of a family these differences alone say how far they are apart, so what
+is not linked to the first is compared with the others on differences: exactly, and with hardly any work where they have
+nothing in common.
 
 A shingle is a 64-bit hash of its words' hashes (see ``span_hashes``); sets are told apart by 128 bits: half names the
 set, and if the other half ever differs under one name, all hashes are drawn anew with another seed.
@@ -241,37 +241,41 @@ def leaders_of(table: pa.Table) -> Iterator[pa.Table]:
         yield table.slice(x, y - x)
 
 
-def near_by_sketch(table: pa.Table, percent: int) -> np.ndarray:
-    """Of each document of a leader, whether the sketches leave it near enough to another one (of two blocks, to one of the other block)."""
+def families_by_sketch(table: pa.Table, percent: int) -> np.ndarray:
+    """For each document of a leader the place of the first that it hangs together with by sketches (of two blocks, by pairs across them)."""
     size, block = table.column("n").to_numpy(), table.column("block").to_numpy()
     bits = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
     width = min(map(len, bits))
     bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), 0) for x in bits])  # folded onto the shortest
-    near = np.zeros(len(size), bool)
+    first = np.arange(len(size))
     two = block.min() != block.max()
     for i in range(len(size) - 1):
-        other = slice(i + 1, None)
-        s, t = size[i], size[other]
-        close = (100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most_different(s + t, percent))
+        other = np.flatnonzero(first[i + 1 :] != first[i]) + i + 1
         if two:
-            close &= block[other] != block[i]
-        if close.any():
-            near[i] = True
-            near[other] |= close
-    return near
+            other = other[block[other] != block[i]]
+        s, t = size[i], size[other]
+        close = other[(100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most_different(s + t, percent))]
+        if len(close):
+            joined = np.unique(np.append(first[close], first[i]))
+            first[np.isin(first, joined)] = joined[0]
+    return first
 
 
-def near_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose document b is near enough, by sketches (``fp, n, sketch``), to a or to another document of a."""
+def near_edges(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b``, a forest by task, that tie the documents of each leader which may be similar enough by sketches (``fp, n, sketch``)."""
     rows = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct()).join(sketches, F.col("b") == F.col("fp")).select("a", "b", "n", "sketch")
     load = rows.groupBy("a").agg(F.count("*").alias("m"), F.sum(F.octet_length("sketch")).alias("bytes"))
 
     def run(table: pa.Table) -> pa.Table:
-        found = [(own.column("a").to_numpy()[near], own.column("b").to_numpy()[near]) for own in leaders_of(table) for near in (near_by_sketch(own, percent),)]
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), ())))
-        return pa.table({"a": a[a != b], "b": b[a != b]})
+        out = [(np.zeros(0, np.int64),) * 2]
+        for own in leaders_of(table):
+            name, first = own.column("b").to_numpy(), families_by_sketch(own, percent)
+            tied = first != np.arange(len(first))
+            out.append((name[first[tied]], name[tied]))
+        a, b = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"a": a, "b": b})
 
-    return by_leader(rows, load).groupBy("dealt", "low", "high").applyInArrow(run, "a long, b long").distinct()
+    return by_leader(rows, load).groupBy("dealt", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def difference(lead: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -404,14 +408,16 @@ def ngram_jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     parts = partitions_for(spark, (total or 0) // 2, KEYS_PER_PART)
     pairs = saved(leader_pairs(candidate_rows(docs.where(F.col(doc_id).isNotNull()), text, words, percent, largest or 0, parts, seed)))
 
-    def involved() -> DataFrame:
-        """``fp, first_id`` of the sets in pairs."""
-        rows = saved(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp"))
+    def first_ids(names: DataFrame) -> DataFrame:
+        """``fp, first_id`` of sets by name."""
+        rows = saved(names.distinct().join(nodes.select("fp", "first_id"), "fp"))
         return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
-    sketches = saved(live.select(F.col("doc_id").alias("first_id"), "fp", F.col("n_shingles").alias("n"), "sketch").join(involved(), ["fp", "first_id"], "left_semi"))
-    pairs = saved(near_pairs(pairs, sketches, percent))
-    wanted = involved()
+    involved = first_ids(pairs.select(F.explode(F.array("a", "b")).alias("fp")))
+    sketches = saved(live.select(F.col("doc_id").alias("first_id"), "fp", F.col("n_shingles").alias("n"), "sketch").join(involved, ["fp", "first_id"], "left_semi"))
+    families = connected_components(near_edges(pairs, sketches, percent))
+    pairs = families.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    wanted = first_ids(families.select(F.col("node").alias("fp")))
     texts = saved(_right_rows(docs.select(F.col(doc_id).cast("long").alias("first_id"), F.col(text).alias("text")).join(wanted, "first_id").select("fp", "text"), words, seed))
 
     stars = pairs.groupBy("a").agg(F.count("*").alias("members"))
