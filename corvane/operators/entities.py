@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import saved
+
 
 def phrase_spans(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """``key, name, start, end``: longest-first, non-overlapping occurrences of catalog names in the texts, word by word.
@@ -28,13 +30,29 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, left_key: str, left_name: str, right_key: str, right_name: str, floor: float) -> DataFrame:
-    """Pairs of names that share a word and whose words overlap by ``floor`` or more (token-blocked candidates)."""
-    split = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    a = left.select(F.col(left_key).alias("left_id"), split(F.col(left_name)).alias("a"))
-    b = right.select(F.col(right_key).alias("right_id"), split(F.col(right_name)).alias("b"))
-    pairs = a.withColumn("t", F.explode("a")).join(b.withColumn("t", F.explode("b")), "t").groupBy("left_id", "right_id", "a", "b").agg(F.count("*").alias("_n"))
-    return pairs.select("left_id", "right_id", F.round(token_jaccard(F.col("a"), F.col("b")), 6).alias("score")).where(F.col("score") >= floor)
+def name_classes(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """``words, class_id, id``: rows by their distinct lower-case words, sorted; class_id is the smallest id with the same words."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.col(name)), F.lit("[a-z0-9]+"), F.lit(0))))
+    listed = rows.select(F.col(key).alias("id"), words.alias("words")).where(F.size("words") > 0)
+    return listed.join(listed.groupBy("words").agg(F.min("id").alias("class_id")), "words").select("words", "class_id", "id")
+
+
+def fuzzy_classes(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """``left_class, right_class, score``: classes of names (see ``name_classes``) whose words overlap by ``floor`` or more (Jaccard).
+
+    Of a name's words, rarest first, only so many are joined on that a pair of the floor must share one of them: a word that
+    every name holds is hardly ever among them.
+    """
+    a, b = (x.select("class_id", "words").distinct() for x in (left, right))
+    spread = a.unionByName(b).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def keys(side: DataFrame, name: str) -> DataFrame:
+        ordered = side.select("class_id", "words", F.explode("words").alias("word")).join(spread, "word").groupBy("class_id", "words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
+        first = F.size("words") - F.ceil(F.lit(floor) * F.size("words") - 1e-9) + 1
+        return ordered.select(F.col("class_id").alias(f"{name}_class"), F.col("words").alias(name), F.explode(F.slice("o", F.lit(1), first.cast("int"))).alias("k")).withColumn("k", F.col("k.word"))
+
+    pairs = keys(a, "left").join(keys(b, "right"), "k").drop("k").distinct()
+    return pairs.select("left_class", "right_class", F.round(token_jaccard(F.col("left"), F.col("right")), 6).alias("score")).where(F.col("score") >= floor)
 
 
 def near_word(a: Column, b: Column) -> Column:
@@ -56,30 +74,39 @@ def tolerance_join(targets: DataFrame, sources: DataFrame, by: str, target: str,
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*targets.columns, source_key, value)
 
 
+def groups_of_edges(edges: DataFrame, by: list[str]) -> DataFrame:
+    """``*by, node, group``: the smallest node that each node of the edges ``*by, a, b`` reaches, within its ``by``.
+
+    Every round a node takes the smallest label around it and that label's own; chains shorten by more than half each time.
+    """
+    both = saved(edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = saved(both.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("group")))
+    while True:
+        around = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("group").alias("near"))
+        hop = labels.select(*by, F.col("node").alias("group"), F.col("group").alias("far"))
+        new = labels.join(around, [*by, "node"]).join(hop, [*by, "group"], "left")
+        new = saved(new.select(*by, "node", F.least("group", "near", F.coalesce("far", "group")).alias("new"), F.col("group").alias("old")))
+        labels = new.select(*by, "node", F.col("new").alias("group"))
+        if new.where("new <> old").isEmpty():
+            return labels
+
+
 def containment_groups(df: DataFrame, by: str, key: str, text: str) -> DataFrame:
-    """``by, key, group``: within ``by``, rows whose texts are equal or one holds the other are tied; group is the smallest key reached.
+    """``by, key, group``: within ``by``, rows whose texts are equal or of which one holds the other, word by word, are tied.
 
-    Groups of ``by`` are small (the claims on one passage); each is closed in memory.
+    Texts are compared by their lower-case words in order; one without words is tied to none. group is the smallest key reached.
+    Equal texts are one node; a text is looked for only where its rarest word is (an equi-join), so neither a
+    large ``by`` nor a hot text is ever in one task.
     """
-    import pandas as pd
-
-    def close(k: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(key, kind="stable")
-        keys, texts = own[key].tolist(), own[text].fillna("").tolist()
-        root = list(range(len(keys)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for j in range(len(keys)):
-            for i in range(j):
-                if texts[i] in texts[j] or texts[j] in texts[i]:
-                    a, b = sorted((find(i), find(j)))
-                    root[b] = a
-        return pd.DataFrame({by: own[by], key: keys, "group": [keys[find(i)] for i in range(len(keys))]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(by, key, text).groupBy(by).applyInPandas(close, f"{by} {kinds[by]}, {key} {kinds[key]}, group {kinds[key]}")
+    joined = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)), " ")
+    rows = saved(df.select(by, key, joined.alias("_t")))
+    nodes = saved(rows.where("_t <> ''").groupBy(by, "_t").agg(F.min(key).alias("_first")))
+    words = nodes.select(by, "_first", "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
+    spread = words.groupBy(by, "_w").agg(F.count("*").alias("_n"))
+    rarest = words.join(spread, [by, "_w"]).groupBy(by, "_first", "_t").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
+    inner = rarest.select(by, "_w", F.col("_first").alias("a"), F.concat(F.lit(" "), "_t", F.lit(" ")).alias("_inner"))
+    outer = words.select(by, "_w", F.col("_first").alias("b"), F.concat(F.lit(" "), "_t", F.lit(" ")).alias("_outer"))
+    edges = inner.join(outer, [by, "_w"]).where((F.col("a") != F.col("b")) & F.contains("_outer", "_inner")).select(by, "a", "b").distinct()
+    tied = groups_of_edges(edges, [by])
+    named = nodes.join(tied.withColumnRenamed("node", "_first"), [by, "_first"], "left").select(by, "_t", F.coalesce("group", "_first").alias("group"))
+    return rows.join(named, [by, "_t"], "left").select(by, key, F.coalesce("group", key).alias("group"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.shared import saved, small
+
 K1, B = 1.2, 0.75
 RRF_K = 60
 RECENCY_WEIGHT = 0.85
 MATCH_PENALTY = 2.0
-REFUSAL_THRESHOLD = 1.46
 EMPTY_SCORE = -1e9
 TOKEN = "[a-z][a-z0-9]+"
-# Query vectors sent to all tasks at once, at most; beyond, blocks of about as many meet parts of the vectors.
-QUERY_BLOCK = 50_000
-VECTOR_PART = 50_000
+# Rows of a block of queries and of a part of the vectors that meet in one task.
+QUERY_BLOCK = 4_000
+VECTOR_PART = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -40,55 +41,105 @@ def top_k(df: DataFrame, by: str, score: str, key: str, k: int, rank: str = "ran
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def tokenised(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """``key, tokens`` of every chunk: what the lexical searches read. Worth writing once."""
+    return chunks.select(key, tokens(F.col(text)).alias("tokens"))
+
+
+def postings(listed: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The inverted index: term, key, tf and the chunk's length in tokens."""
-    listed = chunks.select(key, tokens(F.col(text)).alias("_tokens"))
-    return listed.select(key, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return listed.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 200, broadcast=F.broadcast) -> DataFrame:
+def bm25(listed: DataFrame, queries: DataFrame, k: int | None = 200) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``k`` best chunks of each query by BM25 (scores rounded to 6 places).
 
-    ``chunks``: chunk_id, text; ``queries``: query_id, text. Only the queries' terms leave the scan of the chunks;
-    ``broadcast`` decides whether their table may be sent to all tasks.
+    ``listed``: chunk_id, tokens (see ``tokenised``); ``queries``: query_id, text. Only the queries' terms leave the scan of the
+    chunks. Scores of a chunk are summed where the chunk is, so what is shuffled are its matching terms, not their
+    pairs with queries. Without ``k`` all hits are returned, without ranks.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    listed = chunks.select("chunk_id", tokens(F.col("text")).alias("_tokens"))
-    size = listed.agg(F.count("*").alias("n"), F.avg(F.size("_tokens")).alias("avgdl"))
-    hits = listed.select("chunk_id", F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term")).join(broadcast(terms), "term").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    asked = small(saved(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))))
+    terms = small(saved(asked.select("term").distinct()))
+    size = listed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    matched = listed.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term")
+    hits = saved(matched.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = spread.crossJoin(F.broadcast(size)).select("term", weight.alias("idf"), "avgdl")  # size is one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(broadcast(asked.join(idf, "term")), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    weighed = small(saved(asked.join(idf, "term")))
+    scored = hits.repartition("chunk_id").join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return scored if k is None else top_k(scored, "query_id", "score", "chunk_id", k)
+
+
+def shared_pairs(listed: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: chunks by the number of distinct word pairs that they share with the query."""
+
+    def pairs(df: DataFrame, key: str) -> DataFrame:
+        t = df.where(F.size("tokens") > 1)
+        return t.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("tokens") - 2), lambda i: F.concat_ws(" ", F.get("tokens", i), F.get("tokens", i + 1))))).alias("pair"))
+
+    asked = small(saved(pairs(queries.select("query_id", tokens(F.col("text")).alias("tokens")), "query_id")))
+    scored = pairs(listed, "chunk_id").join(asked, "pair").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     return top_k(scored, "query_id", "score", "chunk_id", k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def verbatim(chunks: DataFrame, items: DataFrame) -> DataFrame:
+    """``query_id, chunk_id`` (and the chunks' other columns): chunks that hold an item's text (``query_id, item``) as it is.
+
+    A chunk that holds an item has all words between its first and its last, so each item is looked for only where its rarest
+    such word is: an equi-join. Items without one, short as they are, are compared with every chunk.
+    """
+    inner = F.slice(tokens(F.col("item")), 2, F.greatest(F.size(tokens(F.col("item"))) - 2, F.lit(0)))
+    asked = saved(items.select("query_id", "item", inner.alias("_inner")))
+    words = asked.select("query_id", "item", F.explode("_inner").alias("_word"))
+    listed = chunks.withColumn("_word", F.explode(F.array_distinct(tokens(F.col("text")))))
+    spread = listed.select("_word").join(small(saved(words.select("_word").distinct())), "_word").groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = words.join(spread, "_word").groupBy("query_id", "item").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    found = listed.join(small(saved(rarest)), "_word").where(F.contains(F.col("text"), F.col("item"))).drop("_word", "item")
+    short = small(saved(asked.where(F.size("_inner") == 0).select("query_id", "item")))
+    return found.unionByName(chunks.join(short, F.contains(F.col("text"), F.col("item"))).drop("item"))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 100, same: str | None = None, block: int = QUERY_BLOCK, part: int = VECTOR_PART) -> DataFrame:
     """``query_id, chunk_id, score, rank``: exact cosine of every stated query against all vectors (a query set in blocks, not a self join).
 
-    Up to ``block`` queries are broadcast. More are dealt to blocks of about ``block`` rows, the vectors to parts of about
-    ``part`` rows, and each block is joined to each part by their numbers. ``same``: a column in which the two must agree
-    (a pre-filter).
+    Queries are dealt to blocks of about ``block`` rows and the vectors to parts of about ``part``. Each block meets each part in one
+    task, as a product of matrices of which a query's ``k`` best stay; these are merged. ``same``: a column in which the
+    two must agree (a pre-filter). Null and zero vectors have no cosine and are left out.
     """
-    q = queries.select("query_id", F.col("embedding").alias("_q"), *([F.col(same).alias("_same")] if same else []))
-    condition = F.col(same) == F.col("_same") if same else F.lit(True)
-    n = queries.count()
-    if n <= block:
-        met = vectors.join(F.broadcast(q), condition)
-    else:
-        blocks, parts = -(-n // block), max(-(-vectors.count() // part), 1)
-        q = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        v = vectors.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        met = v.join(q.hint("merge"), ["_block", "_part"]).where(condition)
-    scored = met.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("score"))
-    return top_k(scored, "query_id", "score", "chunk_id", k)
+    import numpy as np
+    import pyarrow as pa
+
+    kind = F.col(same).cast("string") if same else F.lit("")
+    usable = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
+    number = lambda n, size: F.lit(max(-(-n // size), 1))
+    blocks, parts = number(queries.count(), block), number(vectors.count(), part)
+    q = queries.where(usable).select(F.col("query_id").alias("id"), "embedding", kind.alias("kind"), F.pmod(F.xxhash64("query_id"), blocks).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    v = vectors.where(usable).select(F.col("chunk_id").alias("id"), "embedding", kind.alias("kind"), F.pmod(F.xxhash64("chunk_id"), parts).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+
+    def unit(table: pa.Table) -> np.ndarray:
+        x = np.array(table.column("embedding").to_pylist(), np.float64)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, names, out = asked.column("id").to_numpy(), held.column("id").to_numpy(), []
+        if len(ids) and len(names):
+            x, y = unit(asked), unit(held)
+            for at in range(0, len(ids), 256):
+                scores = np.round(x[at : at + 256] @ y.T, 6)
+                floor = np.partition(scores, -min(k, len(names)), axis=1)[:, -min(k, len(names))]
+                i, j = np.nonzero(scores >= floor[:, None])
+                order = np.lexsort((names[j], -scores[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < k], j[place < k]
+                out.append((ids[at + i], names[j], scores[i, j] + 0.0))
+        a, b, c = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": pa.array(a, pa.int64()), "chunk_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+
+    met = q.groupBy("kind", "block", "part").cogroup(v.groupBy("kind", "block", "part")).applyInArrow(best, "query_id long, chunk_id long, score double")
+    return top_k(met, "query_id", "score", "chunk_id", k)
 
 
 def fuse(legs: list[DataFrame], weights: list[float] | None = None, k: int = RRF_K, keep: int = 50) -> DataFrame:
@@ -125,16 +176,18 @@ def relax(hits: DataFrame, fallback: DataFrame) -> DataFrame:
     return hits.withColumn("dropped", F.lit(False)).unionByName(missing.withColumn("dropped", F.lit(True)))
 
 
-def tfidf_cosine(chunks: DataFrame, queries: DataFrame, k: int = 10, broadcast=F.broadcast) -> DataFrame:
-    """TF-IDF cosine: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), normalised; ``k`` best chunks of each query."""
-    index = postings(chunks)
-    n = chunks.agg(F.count("*").alias("n"))
-    idf = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n is one row
-    vector = index.join(idf, "term").select("chunk_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    norm = vector.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+def tfidf_cosine(listed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """TF-IDF cosine: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), normalised; ``k`` best chunks of each query (``listed``: chunk_id, tokens)."""
+    n = listed.agg(F.count("*").alias("n"))
+    df = listed.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = saved(df.crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")))  # n is one row
+    # Dealt by chunk: its terms are counted, and its norm and products summed, where it is.
+    counted = listed.repartition("chunk_id").select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    w = (1 + F.log("tf")) * F.col("idf")
+    norm = counted.join(small(idf), "term").groupBy("chunk_id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    asked = asked.join(idf, "term").select("query_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("qw"))
-    qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    dot = vector.join(broadcast(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = dot.join(norm, "chunk_id").join(F.broadcast(qnorm), "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
+    asked = saved(asked.join(idf, "term").select("query_id", "term", w.alias("qw"), "idf"))
+    qnorm = small(saved(asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))))
+    dot = counted.join(small(asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(w * F.col("qw")).alias("dot"))
+    scored = dot.join(norm, "chunk_id").join(qnorm, "query_id").select("query_id", "chunk_id", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 6).alias("score"))
     return top_k(scored, "query_id", "score", "chunk_id", k)

@@ -11,6 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.retrieval import tokenised
+from corvane.sources.shared import built_once
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,6 +55,6 @@ CHUNKS_SQL = """chunks AS (
 )"""
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """``df`` marked for broadcast if a count shows that it has at most ``max_rows`` rows; else the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def listed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_id, tokens`` of all chunks, written once a session for a documents table: the index of the lexical searches."""
+    return built_once(tokenised(chunks(spark, sf_dir)), "tokens", f"{sf_dir}/documents.parquet")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import entities as E
+from corvane.operators.retrieval import verbatim
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
 
 
@@ -39,13 +40,18 @@ def primary_stamp(spark, sf_dir: str) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.min_by("name", F.struct("pos", "i")).alias("primary"), F.countDistinct("name").alias("mentions"))
 
 
-@query(r"""WITH a AS (SELECT s_suppkey, list_distinct(regexp_extract_all(lower(s_name || ' ' || (s_suppkey % 7)), '[a-z0-9]+')) AS a FROM supplier), b AS (SELECT c_custkey, list_distinct(regexp_extract_all(lower('supplier ' || c_mktsegment || ' ' || (c_custkey % 7)), '[a-z0-9]+')) AS b FROM customer WHERE c_custkey % 50 = 0)
-SELECT s_suppkey AS left_id, c_custkey AS right_id, round(len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(a || b)), 1), 6) AS score FROM a, b WHERE len(list_intersect(a, b)) > 0 AND round(len(list_intersect(a, b))::DOUBLE / greatest(len(list_distinct(a || b)), 1), 6) >= 0.4""")
+@query(r"""WITH l AS (SELECT s_suppkey AS id, list_sort(list_distinct(regexp_extract_all(lower(s_name || ' ' || (s_suppkey % 7)), '[a-z0-9]+'))) AS w FROM supplier),
+r AS (SELECT c_custkey AS id, list_sort(list_distinct(regexp_extract_all(lower('supplier ' || c_mktsegment || ' ' || (c_custkey % 7)), '[a-z0-9]+'))) AS w FROM customer),
+lc AS (SELECT w, min(id) AS class_id FROM l GROUP BY w), rc AS (SELECT w, min(id) AS class_id FROM r GROUP BY w),
+p AS (SELECT lc.class_id AS a, rc.class_id AS b, round(len(list_intersect(lc.w, rc.w))::DOUBLE / len(list_distinct(lc.w || rc.w)), 6) AS score FROM lc, rc)
+SELECT 'pair' AS kind, a, b, score FROM p WHERE score >= 0.4 UNION ALL SELECT 'left', class_id, id, NULL FROM l JOIN lc USING (w) UNION ALL SELECT 'right', class_id, id, NULL FROM r JOIN rc USING (w)""")
 def fuzzy_name_join(spark, sf_dir: str) -> DataFrame:
-    """Names by overlap of their words."""
-    left = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", "s_name", (F.col("s_suppkey") % 7).cast("string")).alias("n"))
-    right = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select("c_custkey", F.concat_ws(" ", F.lit("supplier"), "c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("n"))
-    return E.fuzzy_matches(left, right, "s_suppkey", "n", "c_custkey", "n", 0.4)
+    """Names by overlap of their words: pairs of classes of equal names, and the members of the classes of both sides."""
+    left = E.name_classes(table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", "s_name", (F.col("s_suppkey") % 7).cast("string")).alias("n")), "s_suppkey", "n")
+    right = E.name_classes(table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" ", F.lit("supplier"), "c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("n")), "c_custkey", "n")
+    pairs = E.fuzzy_classes(left, right, 0.4).select(F.lit("pair").alias("kind"), F.col("left_class").alias("a"), F.col("right_class").alias("b"), "score")
+    members = [side.select(F.lit(name).alias("kind"), F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(None).cast("double").alias("score")) for name, side in (("left", left), ("right", right))]
+    return pairs.unionByName(members[0]).unionByName(members[1])
 
 
 @query("""SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE a.n_name = b.n_name OR (greatest(length(a.n_name), length(b.n_name)) >= 8 AND levenshtein(a.n_name, b.n_name) <= 2) OR (greatest(length(a.n_name), length(b.n_name)) >= 5 AND levenshtein(a.n_name, b.n_name) <= 1)""")
@@ -110,7 +116,7 @@ SELECT q.item_id, coalesce(n.n, 0) AS found, n.doc_id, CASE WHEN n.n IS NULL THE
 def quote_validation(spark, sf_dir: str) -> DataFrame:
     """Each quote verbatim in one document, in several or in none (the stated quotes against all chunks)."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    hits = chunks(spark, sf_dir).join(F.broadcast(q), F.contains(F.col("text"), F.col("quote"))).select("item_id", "doc_id").distinct()
+    hits = verbatim(chunks(spark, sf_dir).select("doc_id", "text"), q.select(F.col("item_id").alias("query_id"), F.col("quote").alias("item"))).select(F.col("query_id").alias("item_id"), "doc_id").distinct()
     n = hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     verdict = F.when(F.col("n").isNull(), "absent").when(F.col("n") == 1, "verbatim").otherwise("ambiguous")
     return q.join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("found"), "doc_id", verdict.alias("verdict"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corvane.operators import evaluation as E
 from corvane.operators.corpus import ranked_percentile
-from corvane.operators.retrieval import bm25, top_k
-from corvane.plans.base import CHUNKS_SQL, broadcast_if_small, chunks, query, table
+from corvane.operators.retrieval import bm25, top_k, verbatim
+from corvane.plans.base import CHUNKS_SQL, chunks, listed_chunks, query, table
 from corvane.plans.retrieval import BM25_SQL
+from corvane.sources.shared import saved, small
 
 RUN_SQL = f"""WITH {CHUNKS_SQL}, {BM25_SQL}, run AS (SELECT query_id, chunk_id, score, rank FROM bm_ranked WHERE rank <= 20),
 expected AS (SELECT item_id AS query_id, chunk_id AS expected_id FROM benchmark, chunks WHERE contains(chunks.text, benchmark.text)),
@@ -19,13 +20,13 @@ s AS (SELECT query_id, min(rank) AS lookup_rank, CASE WHEN count(rank) = count(*
 
 def _run(spark, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return bm25(chunks(spark, sf_dir), items, 20, broadcast_if_small)
+    return saved(bm25(listed_chunks(spark, sf_dir), items, 20))
 
 
 def _expected(spark, sf_dir: str) -> DataFrame:
     """A stated query set (the items) against all chunks: those that hold an item verbatim."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return chunks(spark, sf_dir).join(F.broadcast(items), F.contains(F.col("text"), F.col("item"))).select("query_id", F.col("chunk_id").alias("expected_id"))
+    return verbatim(chunks(spark, sf_dir).select("chunk_id", "text"), items).select("query_id", F.col("chunk_id").alias("expected_id"))
 
 
 @query(RUN_SQL + " SELECT query_id, lookup_rank::INT AS lookup_rank, comparison_rank::INT AS comparison_rank, expected FROM s")
@@ -49,7 +50,7 @@ l AS (SELECT query_id, y, lead(y) OVER (PARTITION BY query_id ORDER BY rank) AS
 SELECT query_id, any_value(p.all_pairs) AS all_pairs, round(coalesce(avg(CASE WHEN ny IS NOT NULL THEN (y >= ny)::INT::DOUBLE END), 1.0::DOUBLE), 6) AS adjacent FROM l LEFT JOIN p USING (query_id) GROUP BY query_id""")
 def chronology(spark, sf_dir: str) -> DataFrame:
     """Both newest-first rates of every query."""
-    dated = chunks(spark, sf_dir).select("chunk_id", "fiscal_year").join(broadcast_if_small(_run(spark, sf_dir)), "chunk_id")
+    dated = chunks(spark, sf_dir).select("chunk_id", "fiscal_year").join(small(_run(spark, sf_dir)), "chunk_id")
     return E.concordance(dated)
 
 
@@ -67,7 +68,7 @@ w AS (SELECT unnest([0.0, 0.25, 0.85, 1.5])::DOUBLE AS weight), k AS (SELECT wei
 SELECT weight, count(DISTINCT k.query_id) AS queries, count(DISTINCT CASE WHEN rank <= 5 AND e.expected_id IS NOT NULL THEN k.query_id END) AS hits FROM k LEFT JOIN expected e ON e.query_id = k.query_id AND e.expected_id = k.chunk_id GROUP BY weight""")
 def recency_sweep(spark, sf_dir: str) -> DataFrame:
     """Captured pools ranked anew at each weight."""
-    pool = chunks(spark, sf_dir).select("chunk_id", "fiscal_year").join(broadcast_if_small(_run(spark, sf_dir).select("query_id", "chunk_id", "score")), "chunk_id")
+    pool = chunks(spark, sf_dir).select("chunk_id", "fiscal_year").join(small(_run(spark, sf_dir).select("query_id", "chunk_id", "score")), "chunk_id")
     newest = pool.groupBy("query_id").agg(F.max("fiscal_year").alias("newest"))
     weights = F.explode(F.array(*map(F.lit, [0.0, 0.25, 0.85, 1.5]))).alias("weight")
     again = pool.join(newest, "query_id").select("query_id", "chunk_id", "score", (F.col("fiscal_year") - F.col("newest")).alias("age"), weights)

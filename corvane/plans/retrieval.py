@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import retrieval as R
-from corvane.plans.base import CHUNKS_SQL, META_SQL, broadcast_if_small, chunks, document_meta, query, table
+from corvane.plans.base import CHUNKS_SQL, META_SQL, chunks, document_meta, listed_chunks, query, table
+from corvane.sources.shared import saved, small
 
 
 def _queries(spark, sf_dir: str) -> DataFrame:
@@ -26,13 +27,13 @@ bm_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 @query(f"WITH {CHUNKS_SQL}, {BM25_SQL} SELECT query_id, chunk_id, score, rank::INT AS rank FROM bm_ranked WHERE rank <= 20")
 def bm25_search(spark, sf_dir: str) -> DataFrame:
     """Twenty best chunks of every benchmark item."""
-    return R.bm25(chunks(spark, sf_dir), _queries(spark, sf_dir), 20, broadcast_if_small)
+    return R.bm25(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), 20)
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]+')) AS term FROM chunks) GROUP BY ALL) GROUP BY term")
 def inverted_index(spark, sf_dir: str) -> DataFrame:
     """Document and collection frequency of every term of the postings table."""
-    return R.postings(chunks(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.postings(listed_chunks(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def _vectors(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -74,19 +75,12 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 def phrase_leg(spark, sf_dir: str, k: int = 100) -> DataFrame:
     """Word pairs shared with the query: a second, order-aware leg."""
-
-    def pairs(df: DataFrame, key: str) -> DataFrame:
-        t = df.select(key, R.tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
-        return t.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1))))).alias("g"))
-
-    asked = pairs(_queries(spark, sf_dir), "query_id")
-    scored = pairs(chunks(spark, sf_dir), "chunk_id").join(broadcast_if_small(asked), "g").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
-    return R.top_k(scored, "query_id", "score", "chunk_id", k)
+    return R.shared_pairs(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), k)
 
 
 def fused_pool(spark, sf_dir: str, keep: int = 20) -> DataFrame:
-    lexical = R.bm25(chunks(spark, sf_dir), _queries(spark, sf_dir), 200, broadcast_if_small)
-    return R.fuse([lexical, phrase_leg(spark, sf_dir)], keep=keep)
+    lexical = R.bm25(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), 200)
+    return saved(R.fuse([lexical, phrase_leg(spark, sf_dir)], keep=keep))
 
 
 @query(HYBRID_SQL + " SELECT query_id, chunk_id, score, legs, rank::INT AS rank FROM pool")
@@ -104,7 +98,7 @@ SELECT query_id, chunk_id, fiscal_year, score, rank::INT AS rank FROM (SELECT *,
 def hybrid_search_reranked(spark, sf_dir: str) -> DataFrame:
     """K1 (its dense leg is a word-pair leg): pool, rerank (K6), recency (K7, F3), match penalty (K8), trim after all of them."""
     pool = fused_pool(spark, sf_dir).select("query_id", "chunk_id")
-    hits = chunks(spark, sf_dir).join(broadcast_if_small(pool), "chunk_id").join(F.broadcast(_queries(spark, sf_dir).withColumnRenamed("text", "query")), "query_id")
+    hits = chunks(spark, sf_dir).join(small(pool), "chunk_id").join(small(_queries(spark, sf_dir).withColumnRenamed("text", "query")), "query_id")
     hits = R.lexical_rerank(hits, "query", "text")
     hits = R.match_penalty(R.recency_penalty(hits), F.col("doc_type") == "en")
     return R.top_k(hits.select("query_id", "chunk_id", "fiscal_year", "score"), "query_id", "score", "chunk_id", 5)
@@ -114,9 +108,9 @@ def hybrid_search_reranked(spark, sf_dir: str) -> DataFrame:
 SELECT query_id, fiscal_year, count(*) AS n FROM legs2 JOIN chunks USING (chunk_id) GROUP BY ALL""")
 def year_coverage(spark, sf_dir: str) -> DataFrame:
     """Chunks of either leg by year, each chunk counted once."""
-    lexical = R.bm25(chunks(spark, sf_dir), _queries(spark, sf_dir), 200, broadcast_if_small)
-    both = lexical.select("query_id", "chunk_id").unionByName(phrase_leg(spark, sf_dir).select("query_id", "chunk_id")).distinct()
-    return chunks(spark, sf_dir).select("chunk_id", "fiscal_year").join(broadcast_if_small(both), "chunk_id").groupBy("query_id", "fiscal_year").agg(F.count("*").alias("n"))
+    lexical = R.bm25(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), 200)
+    both = saved(lexical.select("query_id", "chunk_id").unionByName(phrase_leg(spark, sf_dir).select("query_id", "chunk_id")).distinct())
+    return chunks(spark, sf_dir).select("chunk_id", "fiscal_year").join(small(both), "chunk_id").groupBy("query_id", "fiscal_year").agg(F.count("*").alias("n"))
 
 
 @query(HYBRID_SQL + """ SELECT b.item_id AS query_id, coalesce(l.lexical, 0) AS lexical, coalesce(l.phrase, 0) AS phrase, coalesce(p.fused, 0) AS fused, coalesce(p.top, -1e9::DOUBLE) AS top_score, coalesce(p.top, -1e9::DOUBLE) < 0.02 AS refused
@@ -125,8 +119,8 @@ FROM benchmark b LEFT JOIN (SELECT query_id, count(*) FILTER (src = 'l') AS lexi
 LEFT JOIN (SELECT query_id, count(*) AS fused, max(score) AS top FROM pool GROUP BY ALL) p ON p.query_id = b.item_id""")
 def search_diagnostics(spark, sf_dir: str) -> DataFrame:
     """Hits of each leg, size of the pool, best score and refusal, also of queries without hits."""
-    lexical = R.bm25(chunks(spark, sf_dir), _queries(spark, sf_dir), 200, broadcast_if_small)
-    phrase = phrase_leg(spark, sf_dir)
+    lexical = R.bm25(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), 200)
+    lexical, phrase = saved(lexical), saved(phrase_leg(spark, sf_dir))
     pool = R.fuse([lexical, phrase], keep=20).groupBy("query_id").agg(F.count("*").alias("fused"), F.max("score").alias("top"))
     out = _queries(spark, sf_dir).select("query_id")
     for df, n in ((lexical, "lexical"), (phrase, "phrase")):
@@ -140,7 +134,7 @@ def search_diagnostics(spark, sf_dir: str) -> DataFrame:
 SELECT query_id, doc_type, chunk_id, score, row_number() OVER (PARTITION BY query_id, doc_type ORDER BY score DESC, chunk_id) AS rank FROM bm JOIN chunks USING (chunk_id)) WHERE rank <= 2""")
 def spread_search(spark, sf_dir: str) -> DataFrame:
     """The two best chunks of each query in every document type."""
-    everything = R.bm25(chunks(spark, sf_dir), _queries(spark, sf_dir), 2**31 - 1, broadcast_if_small).drop("rank")
+    everything = R.bm25(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), None)
     typed = everything.join(chunks(spark, sf_dir).select("chunk_id", "doc_type"), "chunk_id")
     w = Window.partitionBy("query_id", "doc_type").orderBy(F.desc("score"), "chunk_id")
     return typed.withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("query_id", "doc_type", "chunk_id", "score", "rank")
@@ -153,7 +147,7 @@ SELECT query_id, chunk_id, score, rank::INT AS rank, false AS dropped FROM first
 UNION ALL SELECT query_id, chunk_id, score, rank::INT, true FROM second WHERE query_id NOT IN (SELECT query_id FROM first)""")
 def relaxed_search(spark, sf_dir: str) -> DataFrame:
     """K9: a query's year and an inferred document type filter; where that leaves nothing the type is dropped."""
-    scored = R.bm25(chunks(spark, sf_dir), _queries(spark, sf_dir), 2**31 - 1, broadcast_if_small).drop("rank")
+    scored = R.bm25(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), None)
     own = scored.join(chunks(spark, sf_dir).select("chunk_id", "doc_type", "fiscal_year"), "chunk_id").where(F.col("fiscal_year") == 2005 + F.col("query_id") % 23)
     columns = ["query_id", "chunk_id", "score", "rank"]
     strict = R.top_k(own.where("doc_type = 'es'"), "query_id", "score", "chunk_id", 3).select(*columns)
@@ -170,7 +164,7 @@ s AS (SELECT query_id, chunk_id, round(sum(w * qw) / (any_value(norm) * any_valu
 SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def tfidf_search(spark, sf_dir: str) -> DataFrame:
     """TF-IDF cosine."""
-    return R.tfidf_cosine(chunks(spark, sf_dir), _queries(spark, sf_dir), 10, broadcast_if_small)
+    return R.tfidf_cosine(listed_chunks(spark, sf_dir), _queries(spark, sf_dir), 10)
 
 
 @query(f"WITH {META_SQL} SELECT doc_id, doc_type, publisher, fiscal_year FROM meta WHERE fiscal_year IN (2008, 2012) AND doc_type IN ('en', 'fr') AND publisher IN ('src0', 'src3')")
@@ -182,7 +176,7 @@ def filtered_scan(spark, sf_dir: str) -> DataFrame:
 @query(HYBRID_SQL + """ SELECT query_id, doc_id, max(score) AS best, count(*) AS passages, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, doc_id)::INT AS place FROM pool JOIN chunks USING (chunk_id) GROUP BY query_id, doc_id""")
 def grouped_passages(spark, sf_dir: str) -> DataFrame:
     """A query's passages grouped by document, groups by their best passage."""
-    pool = broadcast_if_small(fused_pool(spark, sf_dir).select("query_id", "chunk_id", "score"))
+    pool = small(fused_pool(spark, sf_dir).select("query_id", "chunk_id", "score"))
     grouped = chunks(spark, sf_dir).select("chunk_id", "doc_id").join(pool, "chunk_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("best"), F.count("*").alias("passages"))
     return grouped.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best"), "doc_id")))
 
@@ -198,7 +192,7 @@ def keyword_score(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("hay"), F.lower(F.split("text", "\n")[0]).alias("title"))
     share = lambda column: F.size(F.filter("qw", lambda x: F.contains(F.col(column), x))) / F.size("qw")
     # The stated query set, in one block against all documents.
-    scored = docs.join(F.broadcast(words), F.lit(True)).select("query_id", "doc_id", F.round(0.6 * share("hay") + 0.4 * share("title"), 6).alias("score"))
+    scored = docs.join(small(saved(words), 2_000), F.lit(True)).select("query_id", "doc_id", F.round(0.6 * share("hay") + 0.4 * share("title"), 6).alias("score"))
     strong = scored.groupBy("query_id").agg(F.count(F.when(F.col("score") > 0.3, 1)).alias("strong"))
-    ranked = R.top_k(scored, "query_id", "score", "doc_id", 15).join(F.broadcast(strong), "query_id")  # a row for each query
+    ranked = R.top_k(scored, "query_id", "score", "doc_id", 15).join(small(saved(strong)), "query_id")
     return ranked.where(F.when(F.col("strong") >= 4, F.col("score") > 0.3).otherwise(F.col("rank") <= 12)).select("query_id", "doc_id", "score", "rank")

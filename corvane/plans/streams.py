@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.plans.base import query
+from corvane.sources.shared import new_folder
 from corvane.streaming import jobs as J
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared checkpoint folder; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return f"{sc.getCheckpointDir()}/streams/{uuid.uuid4().hex}"
-
-
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_windows(spark, sf_dir: str) -> DataFrame:
     """Hourly counts kept by a stream (windows and watermarks go beyond the batch operators)."""
     counts = J.tumbling_counts(J.event_stream(spark, f"{sf_dir}/events.parquet*"), "ts", ["event_type"], "1 hour", "1 hour")
-    folder = _folder(spark)
+    folder = new_folder(spark, "streams")
     J.run_available(counts, f"{folder}/out", f"{folder}/state", "complete")
     return spark.read.parquet(f"{folder}/out").select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
@@ -33,7 +23,7 @@ def streamed_windows(spark, sf_dir: str) -> DataFrame:
 def streamed_states(spark, sf_dir: str) -> DataFrame:
     """Each user's state machine folded by a stateful stream."""
     events = J.event_stream(spark, f"{sf_dir}/events.parquet*").select("user_id", "event_id", "ts", "event_type")
-    folder = _folder(spark)
+    folder = new_folder(spark, "streams")
     J.run_available(J.fold_states(events, "user_id", ["ts", "event_id"], "event_type"), f"{folder}/out", f"{folder}/state", "update")
     latest = spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.max_by(F.struct("state", "transitions", "n"), "batch").alias("s"))
     return latest.select("user_id", "s.state", "s.transitions", "s.n")

@@ -9,12 +9,12 @@ from corvane.operators.entities import containment_groups
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
 
 
-@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_extract(lower(text), '[a-z]{3,6}') AS x FROM conversations), e AS (SELECT a.conv_id, a.turn AS a, b.turn AS b FROM t a JOIN t b ON a.conv_id = b.conv_id WHERE contains(a.x, b.x) OR contains(b.x, a.x)),
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), ' ') AS x FROM conversations),
+e AS (SELECT a.conv_id, a.turn AS a, b.turn AS b FROM t a JOIN t b ON a.conv_id = b.conv_id WHERE a.turn = b.turn OR (a.x <> '' AND b.x <> '' AND (contains(' ' || a.x || ' ', ' ' || b.x || ' ') OR contains(' ' || b.x || ' ', ' ' || a.x || ' ')))),
 r(conv_id, a, b) AS (SELECT conv_id, a, b FROM e UNION SELECT r.conv_id, r.a, e.b FROM r JOIN e ON e.conv_id = r.conv_id AND e.a = r.b) SELECT conv_id, a AS turn, min(b) AS "group" FROM r GROUP BY conv_id, a""")
 def retry_groups(spark, sf_dir: str) -> DataFrame:
-    """Claims that equal or hold each other, closed transitively within a conversation."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract(F.lower("text"), "[a-z]{3,6}", 0).alias("x"))
-    return containment_groups(rows, "conv_id", "turn", "x")
+    """Messages that equal or hold each other, whole and word by word, closed transitively within a conversation."""
+    return containment_groups(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
 @query("""WITH a AS (SELECT DISTINCT p_type AS alias FROM part WHERE p_size <= 5), b AS (SELECT DISTINCT p_type AS alias FROM part WHERE p_size >= 48) SELECT alias, 'added' AS change FROM b WHERE alias NOT IN (SELECT alias FROM a) UNION ALL SELECT alias, 'disabled' FROM a WHERE alias NOT IN (SELECT alias FROM b)""")

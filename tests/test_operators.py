@@ -77,8 +77,34 @@ def test_text_functions(spark):
 
 
 def test_containment_groups(spark):
-    df = spark.createDataFrame([(1, 1, "abc"), (1, 2, "b"), (1, 3, "x"), (1, 4, "xb"), (2, 5, "b"), (2, 6, None)], "c int, k int, t string")
-    assert rows(entities.containment_groups(df, "c", "k", "t"), "k", "group") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 5)]
+    df = spark.createDataFrame([(1, 1, "A b, c"), (1, 2, "b"), (1, 3, "x"), (1, 4, "x  b"), (1, 7, "bc"), (2, 5, "b"), (2, 6, None), (2, 8, "?!"), (2, 9, "B")], "c int, k int, t string")
+    assert rows(entities.containment_groups(df, "c", "k", "t"), "k", "group") == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 6), (7, 7), (8, 8), (9, 5)]
+    assert entities.containment_groups(df.limit(0), "c", "k", "t").count() == 0
+
+
+def test_groups_of_a_chain(spark):
+    edges = spark.createDataFrame([(c, i + 1, i) for c in (1, 2) for i in range(c, 40)], "c int, a int, b int")
+    assert rows(entities.groups_of_edges(edges, ["c"]), "c", "node", "group") == [(c, i, c) for c in (1, 2) for i in range(c, 41)]
+
+
+def test_fuzzy_classes_equal_brute_force(spark):
+    rng = random.Random(3)
+    names = [" ".join(rng.choices("alpha beta gamma delta supplier of the north".split(), k=rng.randint(1, 5))) for _ in range(120)] + ["supplier"] * 5 + [None, "??"]
+    left, right = (entities.name_classes(spark.createDataFrame([(i, n) for i, n in enumerate(part)], "id int, n string"), "id", "n") for part in (names[:60], names[60:]))
+    classes = [{tuple(r.words): r.class_id for r in x.collect()} for x in (left, right)]
+    for floor in (0.4, 0.5, 1.0):
+        want = sorted((i, j, round(len(set(a) & set(b)) / len(set(a) | set(b)), 6)) for a, i in classes[0].items() for b, j in classes[1].items() if set(a) & set(b) and round(len(set(a) & set(b)) / len(set(a) | set(b)), 6) >= floor)
+        assert rows(entities.fuzzy_classes(left, right, floor), "left_class", "right_class", "score") == want
+
+
+def test_verbatim_equals_contains(spark):
+    rng = random.Random(7)
+    words = "red Green blue-ish x 12 to a9 it".split()
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(200)]
+    items = ["ed Gre", "x", "red Green blue-ish", "blue-ish x 12 t", "12", "reen blue"] + [" ".join(rng.choices(words, k=4)) for _ in range(20)]
+    chunks = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "chunk_id int, text string, item string").drop("item")
+    got = rows(retrieval.verbatim(chunks, spark.createDataFrame(list(enumerate(items)), "query_id int, item string")), "query_id", "chunk_id")
+    assert got == sorted((q, c) for q, x in enumerate(items) for c, t in enumerate(texts) if x in t) and len(got) > 50
 
 
 def test_vector_search_in_blocks(spark):
