@@ -5,10 +5,11 @@ decisions; each decision has a tree of contexts made of the bytes before it. Eve
 Krichevsky-Trofimov estimate, and a node's weighted probability is the mean of its own estimate's and the
 product of its children's, so all depths up to ``DEPTH`` are mixed with weights that the training texts decide.
 
-Counts are gathered per partition, merged by the two most recent bytes of the context, and stay in a table. Texts
+Counts are gathered per partition, merged by the two most recent bytes of the context, and stay in a table. Frequent pairs of
+bytes, found on a bounded sample that decides nothing else, are dealt by three bytes; their own nodes are summed apart. Texts
 are dealt to blocks of bounded size; a block asks for its distinct contexts and words and gets one number for each,
 so neither model nor vocabulary is ever whole in one place. Only the nodes of depth 0 and 1 (255 * 257 at
-most) go through the driver.
+most) and those of the frequent pairs (255 * ``HEAVY_PAIRS`` at most) go through the driver.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ DEPTH = 6
 BLOCK_BYTES = 12 << 20
 GROUP_BYTES = 2 << 20
 PART_KEYS = 1_500_000
+HEAVY_PAIRS = 512  # pairs of bytes with a larger share of the contexts than one in so many are dealt by three bytes
+HEAVY_SAMPLE = 2_000  # documents, in expectation, on which they are found
 END = 0x0A
-LN10 = math.log(10)
+PAIR = 1 << 32
 
 
 # Texts to keys
@@ -135,24 +138,43 @@ class Forest:
         for i, level in enumerate(self.levels):
             for j, b in enumerate(level["bits"]):
                 if i == 0:
-                    b["log"], b["weight"] = b["own"], np.ones(len(b["own"]))
+                    b["log"], b["weight"], b["below"] = b["own"], np.ones(len(b["own"])), np.zeros(len(b["own"]))
                 else:
                     below = self.levels[i - 1]["bits"][j]
                     parent = b["node"][level["up"][below["head"]]]
-                    b["log"], b["weight"] = weighted(b["own"], np.bincount(parent, weights=below["log"], minlength=len(b["own"])))
+                    b["below"] = np.bincount(parent, weights=below["log"], minlength=len(b["own"]))
+                    b["log"], b["weight"] = weighted(b["own"], b["below"])
 
-    def shallow(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What depth 1 needs: node (latest byte << 8 | decision), zeros, ones, and the sum of its children's logs."""
+    def pairs(self, j: int) -> np.ndarray:
+        """The nodes of depth 2 of the j-th decision: latest two bytes << 8 | decision."""
+        keys = self.levels[-1]["keys"][self.levels[-1]["bits"][j]["head"]]
+        return ((keys >> np.uint64(8)) << np.uint64(8) | np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))).astype(np.int64)
+
+    def shallow(self, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What depth 1 needs: node (latest byte << 8 | decision), zeros, ones, and the sum of its children's logs.
+
+        Of heavy pairs, of which this is but a part, the nodes of depth 2 themselves (``PAIR`` | node) with the sum of their children's logs.
+        """
         node, zeros, ones, logs = [], [], [], []
-        top = self.levels[-1]
-        for j, b in enumerate(top["bits"]):
-            keys = top["keys"][b["head"]]
-            node.append(((keys >> np.uint64(16)) & np.uint64(255)) << np.uint64(8) | (np.uint64(1 << j) | ((keys & np.uint64(255)) >> np.uint64(8 - j))))
+        for j, b in enumerate(self.levels[-1]["bits"]):
+            pair = self.pairs(j)
+            part = heavy[pair >> 8]
+            node.append(np.where(part, PAIR | pair, (pair >> 16) << 8 | pair & 255))
             zeros.append(b["zeros"])
             ones.append(b["ones"])
-            logs.append(b["log"])
+            logs.append(np.where(part, b["below"], b["log"]))
         nodes, back = np.unique(np.concatenate(node), return_inverse=True)
-        return nodes.astype(np.int64), *(np.bincount(back, weights=np.concatenate(x), minlength=len(nodes)) for x in (zeros, ones, logs))
+        return nodes, *(np.bincount(back, weights=np.concatenate(x), minlength=len(nodes)) for x in (zeros, ones, logs))
+
+    def complete(self, top: Shallow) -> Forest:
+        """With the heavy pairs' nodes of depth 2 as all parts together make them."""
+        for j, b in enumerate(self.levels[-1]["bits"]):
+            pair = self.pairs(j)
+            at = np.minimum(np.searchsorted(top.pairs, pair), max(len(top.pairs) - 1, 0))
+            hit = top.pairs[at] == pair if len(top.pairs) else np.zeros(len(pair), bool)
+            for name, values in (("zeros", top.pair_zeros), ("ones", top.pair_ones), ("weight", top.pair_weight)):
+                b[name][hit] = values[at[hit]]
+        return self
 
     def log10(self, top: Shallow) -> np.ndarray:
         """log10 probability of every key's byte in its context."""
@@ -180,9 +202,15 @@ class Forest:
 
 
 class Shallow:
-    """Weights and estimates of the nodes of depth 0 and 1, by decision."""
+    """Weights and estimates of the nodes of depth 0 and 1, by decision, and of heavy pairs' nodes of depth 2."""
 
     def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, logs: np.ndarray) -> None:
+        of_pair = node >= PAIR
+        order = np.flatnonzero(of_pair)[np.argsort(node[of_pair])]
+        self.pairs, self.pair_zeros, self.pair_ones = node[order] - PAIR, zeros[order], ones[order]
+        whole, self.pair_weight = weighted(log_kt(self.pair_zeros, self.pair_ones), logs[order])
+        node, back = np.unique(np.concatenate([node[~of_pair], (self.pairs >> 16) << 8 | self.pairs & 255]), return_inverse=True)
+        zeros, ones, logs = (np.bincount(back, weights=np.concatenate(x), minlength=len(node)) for x in ((zeros[~of_pair], self.pair_zeros), (ones[~of_pair], self.pair_ones), (logs[~of_pair], whole)))
         self.weight1, self.one1 = np.full((256, 256), 0.5), np.full((256, 256), 0.5)
         total, weight = weighted(log_kt(zeros, ones), logs)
         at = node >> 8, node & 255
@@ -195,16 +223,42 @@ class Shallow:
 # Jobs
 
 
-def _part_of(keys: np.ndarray, kind: int, depth: int, parts: int) -> np.ndarray:
-    """Contexts go by their two latest bytes, words by their hash."""
+def heavy_pairs(docs: DataFrame, documents: int, depth: int) -> np.ndarray:
+    """Which pairs of bytes are to be dealt by three bytes: those frequent in a sample of ``doc_id, text``, drawn by hash."""
+    heavy = np.zeros(1 << 16, bool)
+    if depth < 3:
+        return heavy
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for a, b in row_groups(offsets, GROUP_BYTES):
+                keys, _ = context_keys(canonical(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), 2)
+                total += np.bincount((keys >> np.uint64(8)).astype(np.int64), minlength=1 << 16)
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(1_000_003)) <= min(1.0, HEAVY_SAMPLE / max(documents, 1)) * 1_000_003)
+    found = drawn.select("text").mapInArrow(released(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    share = sum(r["n"] for r in found) / HEAVY_PAIRS
+    heavy[[r["pair"] for r in found if r["n"] > share]] = True
+    return heavy
+
+
+def _part_of(keys: np.ndarray, kind: int, depth: int, parts: int, heavy: np.ndarray) -> np.ndarray:
+    """Contexts go by their two latest bytes, those of heavy pairs by three; words by their hash."""
     if kind == 0:
-        keys = (keys >> np.uint64(8 * (depth - 2) + 8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+        pair = keys >> np.uint64(8 * (depth - 2) + 8)
+        if heavy.any():
+            pair = np.where(heavy[pair.astype(np.int64)], (keys >> np.uint64(8 * (depth - 3) + 8)) + np.uint64(1 << 24), pair)
+        keys = pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
     return (keys % np.uint64(parts)).astype(np.int64)
 
 
-def _dealt(kind: int, keys: np.ndarray, counts: np.ndarray | None, depth: int, parts: int):
+def _dealt(kind: int, keys: np.ndarray, counts: np.ndarray | None, depth: int, parts: int, heavy: np.ndarray):
     """(kind, part, keys, counts) of each part that has keys; keys stay in order."""
-    part = _part_of(keys, kind, depth, parts)
+    part = _part_of(keys, kind, depth, parts, heavy)
     order = np.argsort(part, kind="stable")
     part, keys = part[order], keys[order]
     counts = counts[order] if counts is not None else None
@@ -213,7 +267,7 @@ def _dealt(kind: int, keys: np.ndarray, counts: np.ndarray | None, depth: int, p
         yield kind, int(part[a]), keys[a:b], counts[a:b] if counts is not None else None
 
 
-def training_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
+def training_counts(docs: DataFrame, depth: int, parts: int, heavy: np.ndarray) -> DataFrame:
     """``kind, part, keys, counts`` over all rows of ``text``, merged by part; kind 0: contexts, 1: words (key 0: the end)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +278,7 @@ def training_counts(docs: DataFrame, depth: int, parts: int) -> DataFrame:
             return counted(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))
 
         def out():
-            rows = [x for kind in (0, 1) if held[kind] for x in _dealt(kind, *merged(kind), depth, parts)]
+            rows = [x for kind in (0, 1) if held[kind] for x in _dealt(kind, *merged(kind), depth, parts, heavy)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([planes(r[2]) for r in rows], pa.binary()), pa.array([planes(r[3].astype(np.int64)) for r in rows], pa.binary())], names=["kind", "part", "keys", "counts"])
 
         for batch in batches:
@@ -258,20 +312,23 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     ASCII white space, A-Z in lower case) and one end; a null text is an empty one and has the end alone. score is the
     log10 probability that the context trees give the words joined by single spaces and the end. base_score is that of
     add-one token frequencies. Repeated rows are scored, and counted, each. With no training rows all estimates are
-    1/2 a bit and 1/(0 + 1) a token. An empty table gives an empty one; other columns are ignored.
+    1/2 a bit and 1/(0 + 1) a token. Whole texts are read: a very long one makes a block of its own, which one task holds with
+    about 100 bytes a byte of text. A byte's log probability travels in single precision (a relative error of 6e-8). An empty
+    table gives an empty one; other columns, of whatever names, are ignored.
     """
     spark = docs.sparkSession
     key_type = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = total // BLOCK_BYTES + 1
+    total, documents = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    blocks = (total or 0) // BLOCK_BYTES + 1
     parts = partitions_for(spark, blocks * 400_000, PART_KEYS)
-    counts = saved(training_counts(rows.where("train"), depth, parts))
+    heavy = heavy_pairs(rows.where("train"), documents, depth)
+    counts = saved(training_counts(rows.where("train"), depth, parts, heavy))
 
     def shallow_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                node, zeros, ones, logs = Forest(from_planes(keys), from_planes(n, np.int64), depth).shallow()
+                node, zeros, ones, logs = Forest(from_planes(keys), from_planes(n, np.int64), depth).shallow(heavy)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(zeros), pa.array(ones), pa.array(logs)], names=["node", "zeros", "ones", "logs"])
 
     nodes = counts.where("kind = 0").select("keys", "counts").mapInArrow(released(shallow_rows), "node long, zeros double, ones double, logs double").groupBy("node").agg(F.sum("zeros"), F.sum("ones"), F.sum("logs")).orderBy("node").collect()
@@ -301,7 +358,7 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
 
     def ask(table: pa.Table) -> pa.Table:
         both = distinct_keys(table)
-        got = [x for kind in (0, 1) for x in _dealt(kind, both[kind], None, depth, parts)]
+        got = [x for kind in (0, 1) for x in _dealt(kind, both[kind], None, depth, parts, heavy)]
         return pa.table({"kind": pa.array([x[0] for x in got], pa.int32()), "part": pa.array([x[1] for x in got], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(got), pa.int64()), "asked": pa.array([planes(x[2]) for x in got], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -311,7 +368,7 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
         kind = asked.column("kind")[0].as_py() if lists else 1
         if kind == 0:
             keys, n = counted(np.concatenate([own[0], wanted]), np.concatenate([own[1], np.zeros(len(wanted), np.int64)]))
-            value = Forest(keys, n, depth).log10(top)
+            value = Forest(keys, n, depth).complete(top).log10(top)
         else:
             keys, n = counted(np.concatenate([own[0], wanted]), np.concatenate([own[1], np.zeros(len(wanted), np.int64)]))
             value = np.log10(n + 1.0)
@@ -324,7 +381,7 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
         value = []
         for kind in (0, 1):
             own = np.zeros(len(both[kind]))
-            part = _part_of(both[kind], kind, depth, parts)
+            part = _part_of(both[kind], kind, depth, parts, heavy)
             order = np.argsort(part, kind="stable")
             own[order] = np.concatenate([np.zeros(0), *(np.frombuffer(answers[kind, p], np.float64 if kind else np.float32) for p in np.unique(part).tolist())])
             value.append(own)

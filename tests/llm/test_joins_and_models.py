@@ -298,6 +298,26 @@ def test_context_trees_equal_the_plain_definition(spark):
     assert lm_scoring.ctw_scores(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("share", [1, 12, 10**9])
+def test_context_trees_dealt_by_three_bytes(spark, monkeypatch, share):
+    """Pairs with more than one in ``share`` contexts are heavy: none, some or all; scores stay the direct definition's."""
+    monkeypatch.setattr(lm_scoring, "HEAVY_PAIRS", share)
+    texts = ["abra cadabra abra abracadabra", "abba abab", "", "cab dab abra", "Abra zz"]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, score string, block int")
+    heavy = lm_scoring.heavy_pairs(df.where("doc_id < 3"), 5, 4)
+    assert (share == 1) == (not heavy.any())
+    got = {r.doc_id: r.score for r in lm_scoring.ctw_scores(df, F.col("doc_id") < 3, depth=4).collect()}
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], direct_log10([x.encode().lower() for x in texts[:3]], t.encode().lower(), 4), rel_tol=1e-6)
+
+
+def test_known_words_of_one_polynomial_hash(spark):
+    a, b = thue_morse(1024)
+    df = spark.createDataFrame([(0, a), (1, b), (1, b)], "doc_id long, text string")
+    got = lm_scoring.ctw_scores(df, F.col("doc_id") == 0).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known) for r in got) == [(0, 2, 2), (1, 2, 1), (1, 2, 1)]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     assert_same(QUERIES[name](spark, SF).toPandas(), duck(SF).sql(ORACLES[name]).df())
