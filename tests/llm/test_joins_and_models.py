@@ -337,3 +337,21 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert set(packed.doc_id) == kept[3] and packed.groupby("sequence_id").length.sum().max() <= 2048
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in every column, empty texts, repeated rows and ids, other columns; and empty tables at every stage."""
+    good = lambda i: f"Der Hund und die Katze sind im Haus mit vielen Tieren {i} " + " ".join(f"wort{i}x{j}" for j in range(30))
+    rows = [(i, good(i), "de", "s", 1) for i in range(20)] + [(0, good(0), "de", "s", 1), (1, good(77), "de", None, None), (None, good(50), None, None, None), (None, good(50), None, None, None), (60, None, None, None, None), (61, "", "de", "s", 0), (62, good(62) + " x" * 30_000, "de", "s", 1)]
+    docs = spark.createDataFrame([(*r, "mine", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _host string, fp int")
+    empty = docs.limit(0)
+    counts = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, SF).count() == 0, name
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == corpus_pipeline.COLUMNS
+        counts.append(docs.count())
+    assert counts == [25, 24, 22, 22]  # no letters: 2 go; too repetitive: 1; of the copies under ids 0 and 1 one each
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.count() >= 22 and corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0
+    assert docs.where("doc_id IS NULL").count() == 2 and docs.where("n_chars <> length(text)").count() == 0
