@@ -115,11 +115,11 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 100, same: st
     usable = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
     number = lambda n, size: F.lit(max(-(-n // size), 1))
     blocks, parts = number(queries.count(), block), number(vectors.count(), part)
-    q = queries.where(usable).select(F.col("query_id").alias("id"), "embedding", kind.alias("kind"), F.pmod(F.xxhash64("query_id"), blocks).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    v = vectors.where(usable).select(F.col("chunk_id").alias("id"), "embedding", kind.alias("kind"), F.pmod(F.xxhash64("chunk_id"), parts).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    q = queries.where(usable).select(F.col("query_id").alias("id"), F.col("embedding").alias("v"), kind.alias("kind"), F.pmod(F.xxhash64("query_id"), blocks).alias("block")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    v = vectors.where(usable).select(F.col("chunk_id").alias("id"), F.col("embedding").alias("v"), kind.alias("kind"), F.pmod(F.xxhash64("chunk_id"), parts).alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
 
     def unit(table: pa.Table) -> np.ndarray:
-        x = np.array(table.column("embedding").to_pylist(), np.float64)
+        x = np.array(table.column("v").to_pylist(), np.float64)
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def best(asked: pa.Table, held: pa.Table) -> pa.Table:

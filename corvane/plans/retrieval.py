@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import retrieval as R
 from corvane.plans.base import CHUNKS_SQL, META_SQL, chunks, document_meta, listed_chunks, query, table
-from corvane.sources.shared import saved, small
+from corvane.sources.shared import built_once, saved, small
 
 
 def _queries(spark, sf_dir: str) -> DataFrame:
@@ -83,6 +83,29 @@ def fused_pool(spark, sf_dir: str, keep: int = 20) -> DataFrame:
     return saved(R.fuse([lexical, phrase_leg(spark, sf_dir)], keep=keep))
 
 
+@query("""WITH tok AS (SELECT doc_id AS chunk_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]+') AS t FROM documents),
+size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
+post AS (SELECT term, chunk_id, dl, count(*) AS tf FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+asked AS (SELECT doc_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z][a-z0-9]+'))) AS term FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0),
+idf AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, avgdl FROM (SELECT term, count(*) AS df FROM post GROUP BY term), size),
+bm AS (SELECT query_id, chunk_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN asked USING (term) JOIN idf USING (term) GROUP BY ALL),
+vec AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings JOIN documents ON doc_id = vec_id),
+dense AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS score FROM vec q, vec v WHERE q.vec_id % 20 = 0),
+legs AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 200
+  UNION ALL SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense) WHERE rank <= 100),
+fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, count(*)::INT AS legs FROM legs GROUP BY ALL)
+SELECT query_id, chunk_id AS doc_id, score, legs, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fused) WHERE rank <= 20""")
+def hybrid_vector_search(spark, sf_dir: str) -> DataFrame:
+    """K1, K3, K5: BM25 and the vector leg, fused. Every twentieth document that has a vector is a query (its title and its vector) against all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    listed = built_once(R.tokenised(docs.select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))), "document tokens", f"{sf_dir}/documents.parquet")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    asked = vectors.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    titles = docs.select(F.col("doc_id").alias("query_id"), F.split("text", "\n")[0].alias("text")).join(asked.select("query_id"), "query_id", "left_semi")
+    fused = R.fuse([R.bm25(listed, titles, 200), R.vector_search(vectors, asked, 100)], keep=20)
+    return fused.withColumnRenamed("chunk_id", "doc_id")
+
+
 @query(HYBRID_SQL + " SELECT query_id, chunk_id, score, legs, rank::INT AS rank FROM pool")
 def hybrid_search(spark, sf_dir: str) -> DataFrame:
     """K1 (its dense leg is a word-pair leg), K5, F1, H1: two legs, fused by reciprocal ranks."""
