@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+BATCH_ROWS = 500
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Rows of text are long: small Arrow batches keep the Python workers small.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """A table of ``sf_dir``. Rows of text are long, so the session's Arrow batches are made small: that keeps workers and buffers small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
