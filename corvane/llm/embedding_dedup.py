@@ -16,6 +16,7 @@ task, so no leaf size is a limit.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -73,6 +74,7 @@ class Forest:
         self.deep: dict[tuple[Any, int, int], tuple[np.ndarray, np.ndarray]] = {}  # of unsplit sampled nodes: a cut a level
 
     @staticmethod
+    @lru_cache(maxsize=64)
     def directions(tree: int, size: int) -> np.ndarray:
         ways = np.random.default_rng([tree, size]).standard_normal((MAX_DEPTH, size))
         return ways / np.linalg.norm(ways, axis=1, keepdims=True)
