@@ -401,9 +401,11 @@ def ctw_scores(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str
         n_tokens, n_known, base, ctw, size = (np.concatenate(x) for x in out)
         return pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array([not x for x in table.column("train").to_pylist()], pa.bool_()), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": np.full(len(n_tokens), n_train), "base_score": base, "score": ctw, "bits_per_byte": -ctw / math.log10(2) / size})
 
-    asked = blocked.groupBy("block").applyInArrow(ask, "kind int, part int, block long, asked binary")
+    # More blocks than the session's partitions: as many partitions, so that a task has few blocks whatever the size.
+    own = (lambda df: df.repartition(blocks, "block")) if blocks > int(spark.conf.get("spark.sql.shuffle.partitions")) else (lambda df: df)
+    asked = own(blocked).groupBy("block").applyInArrow(ask, "kind int, part int, block long, asked binary")
     told = asked.groupBy("kind", "part").cogroup(counts.groupBy("kind", "part")).applyInArrow(answer, "block long, kind int, part int, values binary")
-    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, f"doc_id {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
+    return own(blocked).groupBy("block").cogroup(own(told).groupBy("block")).applyInArrow(score, f"doc_id {key_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
 def op5_ctw_scores(spark, sf_dir: str) -> DataFrame:

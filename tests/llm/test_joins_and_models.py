@@ -311,6 +311,16 @@ def test_context_trees_dealt_by_three_bytes(spark, monkeypatch, share):
         assert math.isclose(got[i], direct_log10([x.encode().lower() for x in texts[:3]], t.encode().lower(), 4), rel_tol=1e-6)
 
 
+def test_more_blocks_than_partitions(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"word{i % 7} and some more words {i}") for i in range(60)], "doc_id long, text string")
+    whole = {r.doc_id: (r.score, r.base_score) for r in lm_scoring.ctw_scores(df, F.col("doc_id") % 3 > 0).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 100)
+    parts = lm_scoring.ctw_scores(df, F.col("doc_id") % 3 > 0)
+    assert parts.rdd.getNumPartitions() > 4
+    got = {r.doc_id: (r.score, r.base_score) for r in parts.collect()}
+    assert got.keys() == whole.keys() and all(math.isclose(x, y, rel_tol=1e-6) for i in got for x, y in zip(got[i], whole[i]))
+
+
 def test_known_words_of_one_polynomial_hash(spark):
     a, b = thue_morse(1024)
     df = spark.createDataFrame([(0, a), (1, b), (1, b)], "doc_id long, text string")
