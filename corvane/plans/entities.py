@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators import citations as C
 from corvane.operators import entities as E
 from corvane.operators.retrieval import verbatim
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
@@ -120,3 +121,16 @@ def quote_validation(spark, sf_dir: str) -> DataFrame:
     n = hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     verdict = F.when(F.col("n").isNull(), "absent").when(F.col("n") == 1, "verbatim").otherwise("ambiguous")
     return q.join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("found"), "doc_id", verdict.alias("verdict"))
+
+
+@query()
+def citation_validation(spark, sf_dir: str) -> DataFrame:
+    """A quote of every document, as it stands or with other formatting, too short or altered, found again with its span.
+
+    The quotes are made from each document's middle, so that one in four must be found verbatim, one in four by its folded form.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    half, kind = F.floor(F.length("text") / 2).cast("int"), F.pmod("doc_id", F.lit(4))
+    middle = F.substring("text", half, F.lit(60))
+    quote = F.when(kind == 0, middle).when(kind == 1, F.concat(F.lit("**"), F.regexp_replace(F.upper(middle), "[ \\n]+", "  "), F.lit("**"))).when(kind == 2, F.substring("text", half, F.lit(1))).otherwise(F.concat(middle, F.lit(" never said")))
+    return C.validate_citations(docs.select("doc_id", quote.alias("quote")), docs, "doc_id", "doc_id", "quote", "text")

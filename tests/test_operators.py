@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import corpus, entities, ledger, retrieval, structure
+from corvane.operators import citations, corpus, entities, ledger, retrieval, structure
 
 
 def rows(df, *columns):
@@ -117,3 +117,49 @@ def test_vector_search_in_blocks(spark):
         blocks = retrieval.vector_search(v, q, 5, same, block=5, part=20)
         assert "Broadcast" not in blocks._jdf.queryExecution().executedPlan().toString()
         assert blocks.count() == 23 * 5 and sorted(map(tuple, blocks.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_folded_text_and_its_places():
+    text = "The **ﬁrst** “Item” — see [the\tplan](http://x/y) | costs $(1,234) or ($99) \\$5 `code` a_b İx"
+    plain, origin = citations.folded(text)
+    assert plain == "the first \"item\" - see the plan costs $1,234 or $99 $5 code ab i\u0307x"
+    assert len(origin) == len(plain) and (origin[1:] >= origin[:-1]).all()
+    for word, there in (("first", "ﬁrst"), ("plan", "plan"), ("1,234", "1,234"), ("code", "code"), ("$5", "$5")):
+        at = plain.index(word)
+        assert text[origin[at] : origin[at + len(word) - 1] + 1] == there
+    assert citations.folded("")[0] == citations.folded("** __")[0].strip() == ""
+
+
+def test_citations_equal_brute_force(spark):
+    """Every span or position is where the folded quote begins when it is looked for at each place of the text."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab *_“”-—|\n$(1)", k=rng.randint(0, 60))) for _ in range(150)] + [None]
+    rows = []
+    for i, t in enumerate(texts):
+        a = rng.randrange(max(len(t or ""), 1))
+        rows.append((i, i, rng.choice([(t or "")[a : a + 8], (t or "")[a : a + 5].upper(), "b", None, "**", "zz"])))
+    cites = spark.createDataFrame([*rows, (999, 5000, "a")], "id int, doc int, quote string")
+    got = {r.id: r for r in citations.validate_citations(cites, spark.createDataFrame(list(enumerate(texts)), "doc int, text string"), "id", "doc", "quote", "text").collect()}
+    seen = set()
+    for i, _, q in rows:
+        t, r = texts[i] or "", got[i]
+        places = [k for k in range(len(t)) if q and t.startswith(q, k)]
+        want = "verbatim" if len(places) == 1 else "ambiguous" if places else None
+        if not places:
+            plain, origin = citations.folded(t)
+            needle = citations.folded(q or "")[0].strip(citations.OUTER)
+            places = [int(origin[k]) for k in range(len(plain)) if needle and plain.startswith(needle, k)]
+            want = "absent" if not places else "normalised" if len(places) == 1 else "ambiguous"
+        seen.add(want)
+        assert (r.verdict, r.positions, r.more) == (want, places[:3], len(places) > 3)
+        if want in ("verbatim", "normalised"):
+            assert r.start == places[0] and citations.folded(t[r.start : r.end])[0].strip(citations.OUTER) == citations.folded(q)[0].strip(citations.OUTER)
+    assert seen == {"verbatim", "normalised", "ambiguous", "absent"} and got[999].verdict == "absent"
+
+
+def test_citation_query(spark):
+    from corvane.plans import registry
+
+    rows_ = registry.QUERIES["citation_validation"](spark, "/root/testdata/sf0.001").collect()
+    kinds = {k: [r.verdict for r in rows_ if r.doc_id % 4 == k] for k in range(4)}
+    assert len(rows_) == 200 and kinds[0].count("verbatim") > 40 and kinds[1].count("normalised") > 35 and kinds[2].count("ambiguous") > 40 and set(kinds[3]) <= {"absent"}
