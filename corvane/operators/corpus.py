@@ -47,6 +47,14 @@ def ranked_percentile(values: Column, share: float) -> Column:
     return F.get(F.array_sort(values), F.floor((F.size(values) - 1) * share).cast("int"))
 
 
+def lower_percentile(df: DataFrame, by: str, value: str, share: float, out: str) -> DataFrame:
+    """``by, out``: the lower nearest rank of each group, from counts of its distinct values: no group is held."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(by)
+    ranked = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(value)), "_all": F.sum("_c").over(w)})
+    return ranked.where(F.col("_upto") > F.floor((F.col("_all") - 1) * share)).groupBy(by).agg(F.min(value).alias(out))
+
+
 def best_attempt(df: DataFrame, by: str, coverage: str, unlabelled: str, key: str, band: float = 0.75) -> DataFrame:
     """Among attempts within ``band`` of the best coverage the least unlabelled, then the best covered; ties by ``key``."""
     near = F.col(coverage) >= band * F.max(coverage).over(Window.partitionBy(by))

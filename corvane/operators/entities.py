@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +16,32 @@ def phrase_spans(rows: DataFrame, key: str, text: str, names: DataFrame, name: s
     """``key, name, start, end``: longest-first, non-overlapping occurrences of catalog names in the texts, word by word.
 
     Names are matched through their first word (an equi-join on it, so texts don't meet every name), compared as
-    word sequences, and of overlapping hits the longer one, then the earlier, is kept.
+    word sequences, and of overlapping hits the longer one, then the earlier, is kept. A text's hits pass sorted, and only
+    its kept ones are held.
     """
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     words = rows.select(key, split(F.col(text)).alias("_w"))
     catalog = names.select(F.col(name).alias("name"), split(F.col(name)).alias("_n")).where(F.size("_n") > 0).withColumn("_first", F.get("_n", F.lit(0)))
     placed = words.select(key, "_w", F.posexplode("_w").alias("start", "_first"))
     hits = placed.join(catalog, "_first").where(F.slice("_w", F.col("start") + 1, F.size("_n")) == F.col("_n")).select(key, "name", "start", (F.col("start") + F.size("_n")).alias("end"))
-    order = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("neg"), "start", "end", "name")))
-    free = lambda kept, x: ~F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    grouped = hits.groupBy(key).agg(order.alias("_h"))
-    kept = F.aggregate("_h", F.slice("_h", 1, 0), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
-    return grouped.select(key, F.explode(kept).alias("s")).select(key, "s.name", "s.start", "s.end")
+    key_type = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begins, ends = object(), [], []  # the kept hits of one text, in order of place
+        for batch in batches:
+            keep = []
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if k != now:
+                    now, begins, ends = k, [], []
+                at = bisect_left(begins, a)
+                free = (at == 0 or ends[at - 1] <= a) and (at == len(begins) or begins[at] >= b)
+                if free:
+                    begins.insert(at, a)
+                    ends.insert(at, b)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return hits.repartition(key).sortWithinPartitions(key, F.col("start") - F.col("end"), "start", "name").mapInArrow(run, f"{key} {key_type}, name string, start int, end int")
 
 
 def token_jaccard(a: Column, b: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def forward_fill(df: DataFrame, by: str, order: list[str], value: Column, out: str) -> DataFrame:
@@ -30,18 +34,28 @@ def nearest_ancestors(df: DataFrame, by: str, order: str, level: Column, deepest
 
 
 def greedy_pack(df: DataFrame, by: str, order: str, size: str, target: int) -> DataFrame:
-    """``bin`` by running sums: a row goes into the open bin unless that would exceed ``target``; larger rows are alone.
+    """Add ``bin`` by running sums: a row goes into the open bin unless that would exceed ``target``; larger rows are alone.
 
-    The sums depend on where the last bin ended, so a group's sizes are folded in order inside one array.
+    The sums depend on where the last bin ended, so rows are dealt by group and sorted, and pass one after the other: no group is
+    held, however long. A null size counts as 0; a null group is a group.
     """
-    grouped = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("n")))).alias("_rows"))
-    start = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<o:{df.schema[order].dataType.simpleString()},bin:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (acc["used"] > 0) & (acc["used"] + x["n"] > target)
-        bin_ = acc["bin"] + fresh.cast("long")
-        used = F.when(fresh, x["n"].cast("long")).otherwise(acc["used"] + x["n"])
-        return F.struct(bin_.alias("bin"), used.alias("used"), F.array_append(acc["out"], F.struct(x["o"].alias("o"), bin_.alias("bin"))).alias("out"))
-
-    packed = grouped.select(by, F.explode(F.aggregate("_rows", start, step, lambda acc: acc["out"])).alias("p")).select(by, F.col("p.o").alias(order), F.col("p.bin").alias("bin"))
-    return df.join(packed, [by, order])
+    schema = T.StructType([*df.schema.fields, T.StructField("bin", T.LongType())])
+    names = schema.fieldNames()
+    group_at, size_at = df.columns.index(by), df.columns.index(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bin_, used = object(), 0, 0
+        for batch in batches:
+            out = []
+            for group, n in zip(batch.column(group_at).to_pylist(), batch.column(size_at).to_pylist()):
+                n = n or 0
+                if group != now:
+                    now, bin_, used = group, 0, n
+                elif used > 0 and used + n > target:
+                    bin_, used = bin_ + 1, n
+                else:
+                    used += n
+                out.append(bin_)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=names)
+
+    return df.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)

@@ -108,7 +108,8 @@ def chunk_audit(spark, sf_dir: str) -> DataFrame:
 def payload_sizes(spark, sf_dir: str) -> DataFrame:
     """Bytes of the texts by group; the lower median."""
     b = table(spark, sf_dir, "documents").select("source", F.octet_length("text").cast("long").alias("b"))
-    return b.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("b"), 4).alias("mean"), F.max("b").alias("high"), C.ranked_percentile(F.collect_list("b"), 0.5).alias("median"), F.sum("b").alias("total"))
+    sums = b.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("b"), 4).alias("mean"), F.max("b").alias("high"), F.sum("b").alias("total"))
+    return sums.join(C.lower_percentile(b, "source", "b", 0.5, "median"), "source").select("source", "n", "mean", "high", "median", "total")
 
 
 @query("""WITH l AS (SELECT d.source, l.quality, CASE WHEN d.n_chars < 300 THEN 1 ELSE 0 END AS miss FROM labels l JOIN documents d USING (doc_id)) SELECT coalesce(source, 'all') AS source, count(*) AS labelled, sum(miss)::BIGINT AS missing, round(sum(miss)::DOUBLE / count(*), 6) AS rate FROM l WHERE quality = 1 GROUP BY GROUPING SETS ((source), ())""")
