@@ -38,8 +38,8 @@ GROUP_BYTES = 3 << 20
 KEYS_PER_PART = 400_000
 BROADCAST_ROWS = 1_000_000
 LEADER_SETS = 64  # of leaders, kept while their documents pass
-BLOCK_ROWS = 2048  # of a leader's documents compared in one task, and the bytes of their differences
-BLOCK_BYTES = 24 << 20
+BLOCK_ROWS = 2048  # of a leader's documents compared in one task, and the bytes of their sketches or differences
+BLOCK_BYTES = 12 << 20
 _STEP = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -288,7 +288,7 @@ def difference(lead: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def star_rows(pairs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
-    """``a, b, n_a, n_b, linked, extra, missing`` of pairs ``a, b, members, text_a, text_b``: whether the two sets are similar
+    """``a, b, n_a, n_b, apart, linked, extra, missing`` of pairs ``a, b, members, text_a, text_b``: whether the two sets are similar
     enough and, if the leader has other members, b's set as its difference from a's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def star_rows(pairs: DataFrame, words: int, percent: int, seed: int) -> DataFram
             data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text_b")))
             for x, y in row_groups(offsets, GROUP_BYTES):
                 sets = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], words, seed)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for i, own in enumerate(sets, x):
                     if lead[i] not in held:
                         held[lead[i]] = shingle_sets(*text_buffers(text_a.slice(i, 1)), words, seed)[0]
@@ -307,13 +307,13 @@ def star_rows(pairs: DataFrame, words: int, percent: int, seed: int) -> DataFram
                             held.popitem(last=False)
                     held.move_to_end(lead[i])
                     extra, missing = difference(held[lead[i]], own)
-                    n_a, n_b = len(missing), len(own)
-                    for column, v in zip(out, (n_a, n_b, len(extra) + int(missing.sum()) <= most_different(n_a + n_b, percent), extra.tobytes() if members[i] > 1 else None, np.packbits(missing).tobytes() if members[i] > 1 else None)):
+                    n_a, n_b, apart = len(missing), len(own), len(extra) + int(missing.sum())
+                    for column, v in zip(out, (n_a, n_b, apart, apart <= most_different(n_a + n_b, percent), extra.tobytes() if members[i] > 1 else None, np.packbits(missing).tobytes() if members[i] > 1 else None)):
                         column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["a", "b", "n_a", "n_b", "linked", "extra", "missing"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), batch.column(1).slice(x, y - x), *(pa.array(v, k) for v, k in zip(out, kinds))], names=["a", "b", "n_a", "n_b", "apart", "linked", "extra", "missing"])
 
-    return pairs.select("a", "b", "members", "text_a", "text_b").mapInArrow(released(run), "a long, b long, n_a long, n_b long, linked boolean, extra binary, missing binary")
+    return pairs.select("a", "b", "members", "text_a", "text_b").mapInArrow(released(run), "a long, b long, n_a long, n_b long, apart long, linked boolean, extra binary, missing binary")
 
 
 def links_by_difference(table: pa.Table, percent: int) -> np.ndarray:
@@ -370,7 +370,7 @@ def links_within_stars(rows: DataFrame, percent: int) -> DataFrame:
 
     A leader's documents are compared in one task, or, if they are many or long, in blocks: each pair of blocks a task.
     """
-    load = rows.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("strays"), F.sum(F.octet_length("extra") + F.octet_length("missing")).alias("bytes")).where("m > 1 AND strays > 0")
+    load = rows.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("strays"), F.sum(8 * F.col("apart") + F.octet_length("missing")).alias("bytes")).where("m > 1 AND strays > 0")
 
     def run(table: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 2]
