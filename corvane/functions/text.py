@@ -1,4 +1,4 @@
-"""Text expressions: normalising, figures, years, slugs, ids and snippets."""
+"""Text expressions: normalising, figures, years, slugs and ids."""
 
 from __future__ import annotations
 
@@ -34,7 +34,7 @@ def token_key(s: Column, stop: list[str]) -> Column:
 
 
 def figures(text: Column) -> Column:
-    """Amounts in the text as structs of sign, digits, decimals and scale word (percentages are left out)."""
+    """Amounts as they are written in the text (percentages are left out)."""
     found = F.regexp_extract_all(text, F.lit(r"(\(?\$?\d[\d,]*(?:\.\d+)?(?: ?(?:billion|million|thousand|B|M|K))?\)?%?)"), F.lit(1))
     return F.filter(found, lambda x: ~F.endswith(x, F.lit("%")))
 
@@ -65,11 +65,6 @@ def widened(years: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(years, lambda y: F.sequence(y - 1, y + 1)))))
 
 
-def snippet(text: Column, word: Column, reach: int) -> Column:
-    at = F.instr(F.lower(text), word)
-    return F.when(at > 0, F.substr(text, F.greatest(at - reach, F.lit(1)), F.lit(2 * reach) + F.length(word)))
-
-
 def ordinal(n: Column) -> Column:
     tail = F.when((n % 100).between(11, 13), "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
     return F.concat(n.cast("string"), tail)

@@ -19,6 +19,17 @@ def streamed_windows(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
 
 
+@query("""WITH s AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), g AS (SELECT user_id, ts, sum((p IS NULL OR ts - p > INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM g GROUP BY user_id, session""")
+def streamed_sessions(spark, sf_dir: str) -> DataFrame:
+    """Each user's sessions, ended by half an hour of silence, kept by a stream."""
+    sessions = J.session_counts(J.event_stream(spark, f"{sf_dir}/events.parquet*"), "ts", ["user_id"], "30 minutes", "1 hour")
+    folder = new_folder(spark, "streams")
+    J.run_available(sessions, f"{folder}/out", f"{folder}/state", "complete")
+    read = spark.read.parquet(f"{folder}/out")
+    return read.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), (F.col("w.end") - F.expr("INTERVAL 30 MINUTES")).cast("timestamp_ntz").alias("end"), "n")
+
+
 @query("""WITH s AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT user_id, arg_max(event_type, (ts, event_id)) AS state, count(*) FILTER (p IS NOT NULL AND p <> event_type) AS transitions, count(*) AS n FROM s GROUP BY user_id""")
 def streamed_states(spark, sf_dir: str) -> DataFrame:
     """Each user's state machine folded by a stateful stream."""

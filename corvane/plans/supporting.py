@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.entities import containment_groups
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
+from corvane.sources.sinks import staged_name
 
 
 @query(r"""WITH RECURSIVE t AS (SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), ' ') AS x FROM conversations),
@@ -116,3 +117,9 @@ def cost_helpers(spark, sf_dir: str) -> DataFrame:
     """Prices per million and clipped percentages."""
     p = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(p / 1e6, 8).alias("per_million"), F.least(F.greatest(F.round(p / 3000, 2), F.lit(0.0)), F.lit(100.0)).alias("percent"))
+
+
+@query("""SELECT doc_id, substr(h, 1, 2) || '/' || h || '.txt' AS place FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)""")
+def staged_files(spark, sf_dir: str) -> DataFrame:
+    """Where each upload is staged: by the hash of its content."""
+    return table(spark, sf_dir, "documents").select("doc_id", staged_name(F.coalesce("text", F.lit("")).cast("binary"), F.lit(".txt")).alias("place"))

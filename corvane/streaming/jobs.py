@@ -21,6 +21,7 @@ def tumbling_counts(events: DataFrame, ts: str, keys: list[str], width: str, lat
 
 
 def session_counts(events: DataFrame, ts: str, keys: list[str], gap: str, late: str) -> DataFrame:
+    """Counts by session and keys; a session ends when nothing comes for ``gap``."""
     return events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).groupBy(F.session_window("_ts", gap).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
