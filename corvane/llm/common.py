@@ -157,10 +157,10 @@ LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of all rows, and the n + 1 offsets of each row's words."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, ends_word: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all rows, and the n + 1 offsets of each row's words; ends_word tells the bytes that part words."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_IS_SPACE[data]
+    inside[1:-1] = ~ends_word[data]
     step = np.diff(inside)
     begins = step == 1
     stops = step == -1
