@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import citations as C
 from corvane.operators import entities as E
+from corvane.operators import figures as G
 from corvane.operators.retrieval import verbatim
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
 
@@ -90,17 +91,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY op, i, j, m) AS n FRO
 def reconcile_sums(spark, sf_dir: str) -> DataFrame:
     """A target as the sum of two or three figures of its order, or their difference; the first in that order.
 
-    An order has at most seven lines, so its combinations are bounded; they stay inside one row's array.
+    Summands are looked up by what is missing to the target (see ``figures``), so no order's lines are joined three times.
     """
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_quantity").cast("int").alias("q"))  # noqa: E741
-    t = l.groupBy("k").agg(F.max("q").alias("target"))
-    a, b, c = (l.select("k", F.col("i").alias(x), F.col("q").alias(f"q{x}")) for x in ("i", "j", "m"))
-    two = a.join(b, "k").where("i < j").join(t, "k")
-    sums = two.where("qi + qj = target").select("k", F.lit(2).alias("op"), "i", "j", F.lit(0).alias("m"))
-    differences = two.where("abs(qi - qj) = target").select("k", F.lit(4).alias("op"), "i", "j", F.lit(0).alias("m"))
-    threes = a.join(b, "k").where("i < j").join(c, "k").where("j < m").join(t, "k").where("qi + qj + qm = target").select("k", F.lit(3).alias("op"), "i", "j", "m")
-    w = Window.partitionBy("k").orderBy("op", "i", "j", "m")
-    return sums.unionByName(threes).unionByName(differences).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("l_quantity").cast("double").alias("v"))  # noqa: E741
+    t = l.groupBy("k").agg(F.max("v").alias("goal"))
+    half = t.withColumn("tolerance", F.lit(0.25))  # quantities are whole numbers
+    two = G.pair_sums(half, l, ["k"]).select("k", F.lit(2).alias("op"), "i", "j", F.lit(0).alias("m"))
+    three = G.triple_sums(half, l, ["k"]).select("k", F.lit(3).alias("op"), "i", "j", "m")
+    apart = G.near_values(half.join(l, "k"), l.withColumnsRenamed({"i": "j", "v": "w"}), ["k"], F.col("v") - F.col("goal"), F.col("tolerance"), "w").where("i <> j")
+    differences = apart.select("k", F.lit(4).alias("op"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.lit(0).alias("m"))
+    best = two.unionByName(three).unionByName(differences).groupBy("k").agg(F.min(F.struct("op", "i", "j", "m")).alias("_b"))
+    return best.select("k", "_b.*")
 
 
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'N' AS cited FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN cited THEN (sum(cited::INT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber))::BIGINT END AS number FROM f""")
