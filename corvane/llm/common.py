@@ -135,7 +135,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
         at = starts[near_end] - (len(data) - tail)
         word[near_end] = np.ascontiguousarray(padded[at[:, None] + np.arange(8)]).view("<u8").ravel()
     word &= _FIRST_BYTES[np.minimum(size, 8)]
-    out = mix64(mix64(word + np.uint64(seed) * _SALT) + size.astype(np.uint64) * _SALT)
+    out = mix64(mix64(word + np.uint64(seed * int(_SALT) % (1 << 64))) + size.astype(np.uint64) * _SALT)
     long = np.flatnonzero(size > 8)
     if len(long):
         raw, key = data.tobytes(), seed.to_bytes(8, "little")

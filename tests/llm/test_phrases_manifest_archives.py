@@ -58,42 +58,52 @@ def spoken(n, seed):
 
 
 @pytest.mark.parametrize("bits", [4, 27])  # of 4 bits all buckets are full: windows of all lengths
-@pytest.mark.parametrize("slice_bytes", [40, 1 << 21])
-def test_collocations_equal_a_plain_count(spark, monkeypatch, bits, slice_bytes):
+@pytest.mark.parametrize("slice_bytes, most", [(40, 4_000_000), (1 << 21, 4_000_000), (1 << 21, 5)])  # more than 5 words: by their hashes
+def test_collocations_equal_a_plain_count(spark, monkeypatch, bits, slice_bytes, most):
     monkeypatch.setattr(phrases, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(phrases, "MOST_WORDS", most)
     rows = ODD_TEXTS + spoken(40, 3) + [("a b c", "en")] * 7
     df = spark.createDataFrame([(i, t, x, None, 0, "r", "d", 1) for i, (t, x) in enumerate(rows)], DOCS).repartition(3)
     for floor, percent in ((5, 100), (3, 60)):
-        got = phrases.collocations(phrases.phrase_counts(df, floor=floor, filter_bits=bits), percent).collect()
+        got = phrases.collocations(*phrases.phrase_counts(df, floor=floor, filter_bits=bits), percent).collect()
         assert sorted(tuple(r) for r in got) == plain_phrases(rows, floor, percent)
 
 
 def test_top_of_a_lang_is_cut_in_order(spark):
     rows = spoken(30, 9)
     df = spark.createDataFrame([(t, x) for t, x in rows], "text string, lang string")
-    got = phrases.collocations(phrases.phrase_counts(df, floor=3), top=4).collect()
+    got = phrases.collocations(*phrases.phrase_counts(df, floor=3), top=4).collect()
     assert sorted(tuple(r) for r in got) == plain_phrases(rows, 3, top=4)
 
 
 def test_products_beyond_64_bits_are_exact(spark):
     f = 200_000_000_000_000_000
-    counts = spark.createDataFrame([("en", 0, "", f), ("en", 1, "a", f - 1), ("en", 1, "b", f - 3), ("en", 2, "a b", f - 7)], "lang string, k int, phrase string, f long")
-    assert phrases.collocations(counts).collect()[0]["score"] == 1000 * (f - 7) * f // ((f - 1) * (f - 3))
+    counts = spark.createDataFrame([("en", [], f), ("en", [5], f - 1), ("en", [6], f - 3), ("en", [5, 6], f - 7)], "lang string, words array<long>, f long")
+    row = phrases.collocations(counts, spark.createDataFrame([(5, "a"), (6, "b")], "hash long, word string")).collect()[0]
+    assert row["phrase"] == "a b" and row["score"] == 1000 * (f - 7) * f // ((f - 1) * (f - 3))
 
 
 def test_no_phrases(spark):
     for rows in ([], [(None, None)], [("", "en")]):
         df = spark.createDataFrame(rows, "text string, lang string")
-        assert phrases.collocations(phrases.phrase_counts(df, floor=1)).collect() == []
+        assert phrases.collocations(*phrases.phrase_counts(df, floor=1)).collect() == []
 
 
 def test_windows_are_exact_where_hashes_are_alike(spark):
     """The filter may keep too much, never too little, and words are told apart by their letters."""
     rows = spoken(20, 4)
     df = spark.createDataFrame(rows, "text string, lang string")
-    wide = phrases.phrase_counts(df, floor=2, filter_bits=3)
-    narrow = phrases.phrase_counts(df, floor=2, filter_bits=27)
-    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, narrow.collect()))
+    wide = phrases.phrase_counts(df, floor=2, filter_bits=3)[0]
+    narrow = phrases.phrase_counts(df, floor=2, filter_bits=27)[0]
+    assert sorted(map(str, wide.collect())) == sorted(map(str, narrow.collect()))
+
+
+def test_frequent_words_of_one_hash_are_hashed_anew(spark, monkeypatch):
+    right = phrases.span_hashes
+    monkeypatch.setattr(phrases, "span_hashes", lambda data, starts, ends, seed=0: np.full(len(starts), 9, np.uint64) if seed == 0 else right(data, starts, ends, seed))
+    rows = spoken(5, 6)
+    got = phrases.collocations(*phrases.phrase_counts(spark.createDataFrame(rows, "text string, lang string"), floor=3)).collect()
+    assert sorted(tuple(r) for r in got) == plain_phrases(rows, 3)
 
 
 # manifest
