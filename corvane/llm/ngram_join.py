@@ -27,18 +27,19 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import LOWER_ASCII, mix64, partitions_for, read_table, released, row_groups, saved, span_hashes, text_buffers, word_spans
-from corvane.llm.components import connected_components, local_roots
+from corvane.llm.components import connected_components
 
 FLUSH_KEYS = 600_000
 GROUP_BYTES = 3 << 20
 KEYS_PER_PART = 400_000
 BROADCAST_ROWS = 1_000_000
 LEADER_SETS = 64  # of leaders, kept while their documents pass
-BLOCK_ROWS = 2048  # of a leader's documents compared in one task, and the bytes of their sketches or differences
+BLOCK_ROWS = 8192  # of a leader's documents compared in one task, and the bytes of their sketches or differences
 BLOCK_BYTES = 12 << 20
 _STEP = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -217,17 +218,24 @@ def leader_pairs(rows: DataFrame) -> DataFrame:
 
 
 def by_leader(rows: DataFrame, load: DataFrame) -> DataFrame:
-    """Deal ``rows`` to tasks that hold whole leaders: ``dealt, low, high`` name a task, ``block`` a row's block.
+    """Deal ``rows`` (a, b, stray) to tasks that hold whole leaders: ``dealt, low, high`` name a task.
 
-    ``load``: a, m (rows) and bytes. A leader of many or long rows is dealt in blocks instead, each pair of blocks a task.
+    ``load``: a, m (rows), strays and bytes. Of a leader of many or long rows each row is at ``home`` in one block, and each stray will ``visit`` all
+    blocks, in one of as many groups as strays take: a task is a block and a group of visitors. Rows that aren't strays are as many times there as there are groups, so
+    while strays fit a block (``BLOCK_ROWS``), rows grow in proportion to a leader's documents.
     """
     spark = rows.sparkSession
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES, F.lit(1))).cast("int")
+    whole = lambda n, size: F.ceil(F.greatest(n / BLOCK_ROWS, size / BLOCK_BYTES, F.lit(1))).cast("int")
     total = load.agg(F.sum("m"), F.sum("bytes")).first()
     groups = partitions_for(spark, max((total[0] or 0) * 512, total[1] or 0), BLOCK_BYTES)
-    spread = rows.join(load.select("a", blocks.alias("blocks")), "a").withColumn("block", F.pmod(F.hash("b"), F.col("blocks"))).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumns({"dealt": F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("a"), F.lit(groups))).otherwise(F.col("a")), "low": F.least("block", "against"), "high": F.greatest("block", "against")})
-    return spread.drop("blocks", "against")
+    sized = load.select("a", whole(F.col("m"), F.col("bytes")).alias("blocks"), whole(F.col("strays"), F.col("bytes") * F.col("strays") / F.col("m")).alias("parties"))
+    spread = rows.join(sized, "a").withColumns({"own": F.pmod(F.hash("b"), F.col("blocks")), "party": F.when(F.col("stray"), F.pmod(F.hash("b"), F.col("parties")))})
+    at_home = F.transform(F.sequence(F.lit(0), F.col("parties") - 1), lambda p: F.struct(F.col("own").alias("low"), p.alias("high")))
+    away = F.when(F.col("stray"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("low"), F.col("party").alias("high")))).otherwise(F.array().cast("array<struct<low: int, high: int>>"))
+    spread = spread.withColumn("at", F.explode(F.array_distinct(F.concat(at_home, away))))
+    spread = spread.withColumns({"low": F.col("at.low"), "high": F.col("at.high"), "home": F.col("at.low") == F.col("own"), "visit": F.coalesce(F.col("at.high") == F.col("party"), F.lit(False))})
+    spread = spread.withColumn("dealt", F.when((F.col("blocks") == 1) & (F.col("parties") == 1), F.pmod(F.xxhash64("a"), F.lit(groups))).otherwise(F.col("a")))
+    return spread.drop("blocks", "parties", "own", "party", "at")
 
 
 def leaders_of(table: pa.Table) -> Iterator[pa.Table]:
@@ -241,41 +249,80 @@ def leaders_of(table: pa.Table) -> Iterator[pa.Table]:
         yield table.slice(x, y - x)
 
 
-def families_by_sketch(table: pa.Table, percent: int) -> np.ndarray:
-    """For each document of a leader the place of the first that it hangs together with by sketches (of two blocks, by pairs across them)."""
-    size, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of half, a quarter .. as many bits: the parity of places that are that far apart."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), 0)
+
+
+def tied(label: np.ndarray, i: int, close: np.ndarray) -> np.ndarray:
+    """Of the rows close to row i one for each label; all of these labels become that of i."""
+    found, at = np.unique(label[close], return_index=True)
+    label[np.isin(label, found)] = label[i]
+    return close[at]
+
+
+def families_by_sketch(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows of one leader that tie each visitor with the rows at home that it hangs together with by sketches.
+
+    Rows that aren't strays hang together already, by their leader.
+    """
+    size, home, stray, visit = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "stray", "visit"))
     bits = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
     width = min(map(len, bits))
-    bits = np.stack([np.bitwise_xor.reduce(x.reshape(-1, width), 0) for x in bits])  # folded onto the shortest
-    first = np.arange(len(size))
-    two = block.min() != block.max()
-    for i in range(len(size) - 1):
-        other = np.flatnonzero(first[i + 1 :] != first[i]) + i + 1
-        if two:
-            other = other[block[other] != block[i]]
+    bits = np.stack([folded(x, width) for x in bits])
+    label = np.arange(len(size))
+    label[~stray] = len(size)
+    found = []
+    for i in np.flatnonzero(visit):
+        other = np.flatnonzero(home & (label != label[i]))
         s, t = size[i], size[other]
         close = other[(100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (np.bitwise_count(bits[other] ^ bits[i]).sum(1) <= most_different(s + t, percent))]
         if len(close):
-            joined = np.unique(np.append(first[close], first[i]))
-            first[np.isin(first, joined)] = joined[0]
-    return first
+            found += [(i, j) for j in tied(label, i, close)]
+    return found
+
+
+def told_by_leader(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``a, b, stray, bytes`` of all documents b of each leader, itself included: whether b differs too much from a by their sketches (``fp, n, sketch``)."""
+    lead = pairs.select("a").distinct().join(sketches.select(F.col("fp").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    rows = pairs.join(sketches, F.col("b") == F.col("fp")).select("a", "b", "n", "sketch").join(lead, "a").select("a", "b", "n", "n_a", "sketch", "sketch_a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = (batch.column(c).to_numpy() for c in ("n", "n_a"))
+            apart = np.zeros(len(batch), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("sketch"), batch.column("sketch_a"))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                width = min(len(x), len(y))
+                apart[i] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()
+            near = (100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (apart <= most_different(s + t, percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(~near), pc.binary_length(batch.column("sketch")).cast(pa.int64())], names=["a", "b", "stray", "bytes"])
+
+    told = rows.mapInArrow(released(run), "a long, b long, stray boolean, bytes long")
+    return saved(told.unionByName(lead.select("a", F.col("a").alias("b"), F.lit(False).alias("stray"), F.octet_length("sketch_a").cast("bigint").alias("bytes"))))
 
 
 def near_edges(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Edges ``a, b``, a forest by task, that tie the documents of each leader which may be similar enough by sketches (``fp, n, sketch``)."""
-    rows = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct()).join(sketches, F.col("b") == F.col("fp")).select("a", "b", "n", "sketch")
-    load = rows.groupBy("a").agg(F.count("*").alias("m"), F.sum(F.octet_length("sketch")).alias("bytes"))
+    """Edges ``a, b``, a forest by task, that tie the documents of each leader which may be similar enough by sketches (``fp, n, sketch``).
+
+    Each is compared with its leader first. Only strays, which differ too much from it, are compared with the others.
+    """
+    told = told_by_leader(pairs, sketches, percent)
+    load = told.groupBy("a").agg(F.count("*").alias("m"), F.count_if("stray").alias("strays"), F.sum("bytes").alias("bytes")).where("strays > 0")
 
     def run(table: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 2]
         for own in leaders_of(table):
-            name, first = own.column("b").to_numpy(), families_by_sketch(own, percent)
-            tied = first != np.arange(len(first))
-            out.append((name[first[tied]], name[tied]))
+            name, found = own.column("b").to_numpy(), families_by_sketch(own, percent)
+            if found:
+                i, j = np.array(found).T
+                out.append((name[i], name[j]))
         a, b = (np.concatenate(x) for x in zip(*out))
         return pa.table({"a": a, "b": b})
 
-    return by_leader(rows, load).groupBy("dealt", "low", "high").applyInArrow(run, "a long, b long")
+    dealt = by_leader(told.drop("bytes"), load).join(sketches, F.col("b") == F.col("fp")).select("a", "b", "stray", "home", "visit", "low", "high", "dealt", "n", "sketch")
+    strays = dealt.groupBy("dealt", "low", "high").applyInArrow(run, "a long, b long")
+    return told.where("NOT stray AND a <> b").select("a", "b").unionByName(strays)
 
 
 def difference(lead: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,14 +363,14 @@ def star_rows(pairs: DataFrame, words: int, percent: int, seed: int) -> DataFram
     return pairs.select("a", "b", "members", "text_a", "text_b").mapInArrow(released(run), "a long, b long, n_a long, n_b long, apart long, linked boolean, extra binary, missing binary")
 
 
-def links_by_difference(table: pa.Table, percent: int) -> np.ndarray:
-    """Rows (i, j) of one leader's documents that are similar enough, i not linked to the leader; of two blocks only pairs across.
+def links_by_difference(table: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows of one leader's documents that are similar enough, of a visitor (not linked to the leader) and one at home: as many as tie them.
 
     All sets are given by their differences from one set. That may be any set: shingles in which most documents
     differ from the leader are turned over, so that hardly any is in many differences. The symmetric
     difference of two documents is the sum of their differences less twice what both hold.
     """
-    size, linked, block = (table.column(c).to_numpy() for c in ("n_b", "linked", "block"))
+    size, home, stray, visit = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n_b", "home", "stray", "visit"))
     n_a, m = table.column("n_a")[0].as_py(), table.num_rows
     extra = [np.frombuffer(x, np.uint64) for x in table.column("extra").to_pylist()]
     bits = np.frombuffer(b"".join(table.column("missing").to_pylist()), np.uint8).reshape(m, -1)
@@ -349,36 +396,35 @@ def links_by_difference(table: pa.Table, percent: int) -> np.ndarray:
     holders, begin = row[by_item], np.cumsum(often * (often > 1)) - often * (often > 1)
     by_row = np.argsort(row, kind="stable")
     own, edge = item[by_row], np.searchsorted(row[by_row], np.arange(m + 1))
-    two = block.min() != block.max()
+    label = np.arange(m)
+    label[~stray] = m
     found = []
-    for i in np.flatnonzero(~linked):
+    for i in np.flatnonzero(visit):
         items = own[edge[i] : edge[i + 1]]
         n = often[items]
         stop = np.cumsum(n)
         both = np.bincount(holders[np.repeat(begin[items] - stop + n, n) + np.arange(stop[-1] if len(stop) else 0)], minlength=m)
-        near = apart[i] + apart - 2 * both <= most_different(size[i] + size, percent)
-        near[i] = False
-        if two:
-            near &= block != block[i]
-        j = np.flatnonzero(near)
-        found.append(np.stack([np.full(len(j), i), j], 1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        close = np.flatnonzero(home & (label != label[i]) & (apart[i] + apart - 2 * both <= most_different(size[i] + size, percent)))
+        if len(close):
+            found += [(i, j) for j in tied(label, i, close)]
+    return found
 
 
 def links_within_stars(rows: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` (a forest of them by task) between documents of one leader of which one at least isn't linked to it.
 
-    A leader's documents are compared in one task, or, if they are many or long, in blocks: each pair of blocks a task.
+    Only strays, documents that aren't linked to their leader, are compared with the others (see ``by_leader``).
     """
-    load = rows.groupBy("a").agg(F.count("*").alias("m"), F.count_if(~F.col("linked")).alias("strays"), F.sum(8 * F.col("apart") + F.octet_length("missing")).alias("bytes")).where("m > 1 AND strays > 0")
+    rows = rows.withColumn("stray", ~F.col("linked"))
+    load = rows.groupBy("a").agg(F.count("*").alias("m"), F.count_if("stray").alias("strays"), F.sum(8 * F.col("apart") + F.octet_length("missing")).alias("bytes")).where("m > 1 AND strays > 0")
 
     def run(table: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 2]
         for own in leaders_of(table):
             names, ends = own.column("b").to_numpy(), links_by_difference(own, percent)
-            if len(ends):
-                nodes, roots = local_roots(names[ends[:, 0]], names[ends[:, 1]])
-                out.append((nodes[nodes != roots], roots[nodes != roots]))
+            if ends:
+                i, j = np.array(ends).T
+                out.append((names[i], names[j]))
         a, b = (np.concatenate(x) for x in zip(*out))
         return pa.table({"a": a, "b": b})
 

@@ -7,6 +7,7 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,32 @@ def test_pairs_do_not_grow_with_the_square(spark):
     assert ngram_join.leader_pairs(rows).count() < keys / 2
 
 
+@pytest.mark.parametrize("strays", [0, 40, 2000])
+def test_rows_of_a_leader_grow_in_proportion(spark, strays):
+    """100,000 documents of one leader: each is there once, and once more for each further group of strays; strays once a block."""
+    m = 100_000
+    rows = spark.range(m).select(F.lit(1).alias("a"), F.col("id").alias("b"), (F.col("id") < strays).alias("stray"))
+    load = spark.createDataFrame([(1, m, strays, m * 64)], "a int, m long, strays long, bytes long")
+    dealt = ngram_join.by_leader(rows, load).cache()
+    blocks = -(-m // ngram_join.BLOCK_ROWS)
+    assert m <= dealt.count() <= m + strays * blocks < 1.3 * m
+    assert dealt.where("home").select("b").distinct().count() == m
+    pairs = dealt.where("visit").groupBy("b").agg(F.countDistinct("low").alias("n"))
+    assert {r["n"] for r in pairs.collect()} == ({blocks} if strays else set())
+    dealt.unpersist()
+
+
+def test_every_stray_meets_every_document(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 7)
+    rows = spark.range(50).select(F.lit(1).alias("a"), F.col("id").alias("b"), (F.col("id") % 2 == 0).alias("stray"))
+    dealt = ngram_join.by_leader(rows, spark.createDataFrame([(1, 50, 25, 100)], "a int, m long, strays long, bytes long"))
+    met = set()
+    for key, own in pd.DataFrame([r.asDict() for r in dealt.collect()]).groupby(["dealt", "low", "high"]):
+        assert not own["b"].duplicated().any()
+        met |= {(x, y) for x in own.loc[own["visit"], "b"] for y in own.loc[own["home"], "b"]}
+    assert met == {(x, y) for x in range(0, 50, 2) for y in range(50)}
+
+
 def test_words_of_one_polynomial_hash_differ(spark):
     assert components_of(spark, [f"x {w} y z" for w in thue_morse(1024)]) == {0: 0, 1: 1}
 
