@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.sources.shared import saved
+
 
 def forward_fill(df: DataFrame, by: str, order: list[str], value: Column, out: str) -> DataFrame:
     """The last non-null value before or at each row; rows before the first have none."""
@@ -59,3 +61,19 @@ def greedy_pack(df: DataFrame, by: str, order: str, size: str, target: int) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=names)
 
     return df.repartition(by).sortWithinPartitions(by, order).mapInArrow(run, schema)
+
+
+def outline_paths(nodes: DataFrame, by: str, order: str, parent: str) -> DataFrame:
+    """``by, order, path``: the orders from a root down to each node, by pointer jumping: every round doubles the part of the path that is known."""
+    now = saved(nodes.select(by, order, F.col(parent).alias("_up"), F.array(order).alias("path")))
+    while not now.where("_up IS NOT NULL").isEmpty():
+        above = now.select(by, F.col(order).alias("_up"), F.col("_up").alias("_far"), F.col("path").alias("_above"))
+        met = now.join(above, [by, "_up"], "left")
+        now = saved(met.select(by, order, F.col("_far").alias("_up"), F.when(F.col("_above").isNull(), F.col("path")).otherwise(F.concat("_above", "path")).alias("path")))
+    return now.select(by, order, "path")
+
+
+def deepest_matches(paths: DataFrame, hits: DataFrame, by: str, order: str, query: str) -> DataFrame:
+    """``query, by, path``: of the nodes that a query hits (``query, by, order``) the path of the deepest, the first of equal depth."""
+    met = hits.join(paths, [by, order])
+    return met.groupBy(query, by).agg(F.min_by("path", F.struct(-F.size("path"), order)).alias("path"))

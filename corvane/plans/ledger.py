@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import ledger as L
+from corvane.operators import rewrite as R
 from corvane.plans.base import query, table
 
 EV = "ev AS (SELECT *, (value * 100)::BIGINT AS cents, CASE WHEN event_id % 11 = 0 THEN NULL ELSE round(value * 100)::BIGINT END AS cost, (props::JSON ->> 'k')::BIGINT AS k FROM events)"
@@ -169,3 +170,20 @@ def short_circuit_checks(spark, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").withColumns({"rung": F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "ok": F.col("value") < 95})
     before = F.coalesce(F.bool_and("ok").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     return ev.select("user_id", "rung", F.when(~before, "not checked").when(F.col("ok"), "ok").otherwise("failed").alias("state"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, conv_id * 7 + turn AS x FROM conversations), d AS (SELECT DISTINCT doc_id FROM documents)
+SELECT conv_id, turn, (2 * (a.doc_id IS NOT NULL)::INT + (b.doc_id IS NOT NULL)::INT)::BIGINT AS rewrites, CASE WHEN a.doc_id IS NULL THEN 'doc-' ELSE 'd/' END || x AS doc, CASE WHEN b.doc_id IS NULL THEN 'doc-' ELSE 'd/' END || (x + 1) AS called, 'see doc-' || x AS note, 'doc-' || x AS kept
+FROM t LEFT JOIN d a ON a.doc_id = x LEFT JOIN d b ON b.doc_id = x + 1""")
+def rewritten_history(spark, sf_dir: str) -> DataFrame:
+    """Ids of documents in the turns' tool payloads rewritten at any depth, in arguments held as a string too; keys and longer texts stay."""
+    x = F.col("conv_id") * 7 + F.col("turn")
+    args = F.to_json(F.struct(F.format_string("doc-%d", x + 1).alias("doc_id"), F.lit(5).alias("k")))
+    call = F.struct(F.lit("open").alias("name"), args.alias("args"))
+    payload = F.to_json(F.struct(F.format_string("doc-%d", x).alias("doc_id"), F.array(call).alias("calls"), F.array(F.struct(F.array(F.format_string("doc-%d", x)).alias("of"))).alias("deep"), F.format_string("see doc-%d", x).alias("note"), F.create_map(F.format_string("doc-%d", x), F.lit(1)).alias("seen")))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", payload.alias("payload"))
+    ids = table(spark, sf_dir, "documents").select("doc_id").distinct().select(F.format_string("doc-%d", "doc_id").alias("old"), F.format_string("d/%d", "doc_id").alias("new"))
+    out = R.rewrite_ids(turns, ["conv_id", "turn"], "payload", ids)
+    at = lambda path: F.try_variant_get("payload", path, "string")
+    seen = F.get(F.json_object_keys(F.to_json(F.try_variant_get("payload", "$.seen", "variant"))), F.lit(0))
+    return out.select("conv_id", "turn", "rewrites", at("$.doc_id").alias("doc"), F.get_json_object(at("$.calls[0].args"), "$.doc_id").alias("called"), at("$.note").alias("note"), seen.alias("kept"))

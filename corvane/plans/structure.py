@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import structure as S
+from corvane.operators.retrieval import verbatim
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
 
 # Order keys and line numbers repeat: the order of an order's lines.
@@ -36,6 +37,26 @@ def outline_parents(spark, sf_dir: str) -> DataFrame:
     return S.nearest_ancestors(rows, "doc_id", "pos", F.col("level"), 4)
 
 
+_TERM_SQL = "array_to_string(string_split(lower(text), ' ')[1:4], ' ')"
+
+
+@query(f"""WITH RECURSIVE {CHUNKS_SQL}, l AS (SELECT doc_id, pos, text, CASE WHEN length(text) < 100 THEN 1 WHEN length(text) < 400 THEN 2 WHEN length(text) < 800 THEN 3 ELSE 4 END AS level FROM chunks),
+o AS (SELECT *, (SELECT max(b.pos) FROM l b WHERE b.doc_id = a.doc_id AND b.pos < a.pos AND b.level < a.level) AS parent FROM l a),
+p AS (SELECT doc_id, pos, text, [pos] AS path FROM o WHERE parent IS NULL UNION ALL SELECT o.doc_id, o.pos, o.text, list_append(p.path, o.pos) FROM p JOIN o ON o.doc_id = p.doc_id AND o.parent = p.pos),
+q AS (SELECT item_id, {_TERM_SQL} AS term FROM benchmark), h AS (SELECT item_id, doc_id, path, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY len(path) DESC, pos) AS n FROM p JOIN q ON contains(lower(text), term))
+SELECT item_id, doc_id, array_to_string(path, '-') AS path FROM h WHERE n = 1""")
+def outline_search(spark, sf_dir: str) -> DataFrame:
+    """M2: for each item's first four words and each document, the path to the deepest line of its outline that holds them."""
+    n = F.length("text")
+    level = F.when(n < 100, 1).when(n < 400, 2).when(n < 800, 3).otherwise(4)
+    lines = chunks(spark, sf_dir).select("chunk_id", "doc_id", "pos", F.lower("text").alias("text"), level.alias("level"))
+    parents = S.nearest_ancestors(lines.select("doc_id", "pos", "level"), "doc_id", "pos", F.col("level"), 4)
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 4), " ").alias("item"))
+    hits = verbatim(lines.select("chunk_id", "doc_id", "pos", "text"), terms).select(F.col("query_id").alias("item_id"), "doc_id", "pos")
+    found = S.deepest_matches(S.outline_paths(parents, "doc_id", "pos", "parent"), hits, "doc_id", "pos", "item_id")
+    return found.select("item_id", "doc_id", F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+
+
 @query(f"""WITH RECURSIVE {CHUNKS_SQL}, t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, pos, greatest(1, length(text) // 4) AS n FROM chunks),
 p AS (SELECT doc_id, i, pos, n, 0::BIGINT AS bin, n AS used FROM t WHERE i = 1 UNION ALL SELECT t.doc_id, t.i, t.pos, t.n, CASE WHEN p.used + t.n > 512 THEN p.bin + 1 ELSE p.bin END, CASE WHEN p.used + t.n > 512 THEN t.n ELSE p.used + t.n END FROM p JOIN t ON t.doc_id = p.doc_id AND t.i = p.i + 1)
 SELECT doc_id, pos, n AS tokens, bin FROM p""")
