@@ -2,46 +2,21 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.matching import claimed_spans
 from corvane.sources.shared import saved
 
 
 def phrase_spans(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """``key, name, start, end``: longest-first, non-overlapping occurrences of catalog names in the texts, word by word.
 
-    Names are matched through their first word (an equi-join on it, so texts don't meet every name), compared as
-    word sequences, and of overlapping hits the longer one, then the earlier, is kept. A text's hits pass sorted, and only
-    its kept ones are held.
+    Of overlapping hits that of more words, then the earlier, is kept (see ``claimed_spans``).
     """
     split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    words = rows.select(key, split(F.col(text)).alias("_w"))
-    catalog = names.select(F.col(name).alias("name"), split(F.col(name)).alias("_n")).where(F.size("_n") > 0).withColumn("_first", F.get("_n", F.lit(0)))
-    placed = words.select(key, "_w", F.posexplode("_w").alias("start", "_first"))
-    hits = placed.join(catalog, "_first").where(F.slice("_w", F.col("start") + 1, F.size("_n")) == F.col("_n")).select(key, "name", "start", (F.col("start") + F.size("_n")).alias("end"))
-    key_type = rows.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, begins, ends = object(), [], []  # the kept hits of one text, in order of place
-        for batch in batches:
-            keep = []
-            for k, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if k != now:
-                    now, begins, ends = k, [], []
-                at = bisect_left(begins, a)
-                free = (at == 0 or ends[at - 1] <= a) and (at == len(begins) or begins[at] >= b)
-                if free:
-                    begins.insert(at, a)
-                    ends.insert(at, b)
-                keep.append(free)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return hits.repartition(key).sortWithinPartitions(key, F.col("start") - F.col("end"), "start", "name").mapInArrow(run, f"{key} {key_type}, name string, start int, end int")
+    catalog = names.select(F.lit(1).alias("tier"), F.col(name).alias("phrase"))
+    return claimed_spans(rows, key, text, catalog, split, by_letters=False).select(key, F.col("phrase").alias("name"), "start", "end")
 
 
 def token_jaccard(a: Column, b: Column) -> Column:
@@ -119,12 +94,13 @@ def containment_groups(df: DataFrame, by: str, key: str, text: str) -> DataFrame
     joined = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0)), " ")
     rows = saved(df.select(by, key, joined.alias("_t")))
     nodes = saved(rows.where("_t <> ''").groupBy(by, "_t").agg(F.min(key).alias("_first")))
-    words = nodes.select(by, "_first", "_t", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
+    words = nodes.select(by, "_first", F.explode(F.array_distinct(F.split("_t", " "))).alias("_w"))
     spread = words.groupBy(by, "_w").agg(F.count("*").alias("_n"))
-    rarest = words.join(spread, [by, "_w"]).groupBy(by, "_first", "_t").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
-    inner = rarest.select(by, "_w", F.col("_first").alias("a"), F.concat(F.lit(" "), "_t", F.lit(" ")).alias("_inner"))
-    outer = words.select(by, "_w", F.col("_first").alias("b"), F.concat(F.lit(" "), "_t", F.lit(" ")).alias("_outer"))
-    edges = inner.join(outer, [by, "_w"]).where((F.col("a") != F.col("b")) & F.contains("_outer", "_inner")).select(by, "a", "b").distinct()
+    rarest = words.join(spread, [by, "_w"]).groupBy(by, "_first").agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
+    met = rarest.select(by, "_w", F.col("_first").alias("a")).join(words.select(by, "_w", F.col("_first").alias("b")), [by, "_w"]).where("a <> b").select(by, "a", "b").distinct()
+    padded = F.concat(F.lit(" "), "_t", F.lit(" "))
+    inner, outer = (nodes.select(by, F.col("_first").alias(k), padded.alias(t)) for k, t in (("a", "_inner"), ("b", "_outer")))
+    edges = met.join(inner, [by, "a"]).join(outer, [by, "b"]).where(F.contains("_outer", "_inner")).select(by, "a", "b")
     tied = groups_of_edges(edges, [by])
     named = nodes.join(tied.withColumnRenamed("node", "_first"), [by, "_first"], "left").select(by, "_t", F.coalesce("group", "_first").alias("group"))
     return rows.join(named, [by, "_t"], "left").select(by, key, F.coalesce("group", key).alias("group"))

@@ -31,10 +31,10 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def claimed_spans(rows: DataFrame, key: str, text: str, phrases: DataFrame, words=words_of) -> DataFrame:
+def claimed_spans(rows: DataFrame, key: str, text: str, phrases: DataFrame, words=words_of, by_letters: bool = True) -> DataFrame:
     """``key, tier, phrase, start, end``: occurrences of the phrases (``tier, phrase``) in the texts, word by word, without overlaps.
 
-    Lower tiers go first, in a tier longer phrases, then earlier places; what a phrase has claimed is hidden from all after it. A position carries
+    Lower tiers go first, in a tier longer phrases (by letters, or else by words), then earlier places; what a phrase has claimed is hidden from all after it. A position carries
     as many words as the longest phrase has, not its text. Phrases meet the texts through their first word.
     """
     catalog = saved(phrases.select("tier", "phrase", words(F.col("phrase")).alias("_n")).where(F.size("_n") > 0).distinct().withColumn("_first", F.get("_n", F.lit(0))))
@@ -42,7 +42,7 @@ def claimed_spans(rows: DataFrame, key: str, text: str, phrases: DataFrame, word
     listed = rows.select(F.col(key).alias("key"), words(F.col(text)).alias("_w")).where(F.size("_w") > 0)
     placed = listed.select("key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.slice("_w", i, longest))).alias("start", "_own"))
     hits = placed.withColumn("_first", F.get("_own", F.lit(0))).join(small(catalog), "_first").where(F.slice("_own", 1, F.size("_n")) == F.col("_n"))
-    hits = hits.select("key", "tier", "phrase", "start", (F.col("start") + F.size("_n")).alias("end"), F.length("phrase").alias("_long"))
+    hits = hits.select("key", "tier", "phrase", "start", (F.col("start") + F.size("_n")).alias("end"), (F.length("phrase") if by_letters else F.size("_n")).alias("_long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, taken = object(), set()  # the words of one text that are claimed

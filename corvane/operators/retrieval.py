@@ -87,18 +87,47 @@ def shared_pairs(listed: DataFrame, queries: DataFrame, k: int = 100) -> DataFra
 def verbatim(chunks: DataFrame, items: DataFrame) -> DataFrame:
     """``query_id, chunk_id`` (and the chunks' other columns): chunks that hold an item's text (``query_id, item``) as it is.
 
-    A chunk that holds an item has all words between its first and its last, so each item is looked for only where its rarest
-    such word is: an equi-join. Items without one, short as they are, are compared with every chunk.
+    chunks: chunk_id (unique), text and more. A chunk that holds an item has all words between its first and its last, so each item is looked for only where its
+    rarest such word is: an equi-join of words and ids, after which the texts of the few chunks left are read. Items without such a word, short as they are,
+    are compared with every chunk; where there are none that isn't planned.
     """
     inner = F.slice(tokens(F.col("item")), 2, F.greatest(F.size(tokens(F.col("item"))) - 2, F.lit(0)))
     asked = saved(items.select("query_id", "item", inner.alias("_inner")))
-    words = asked.select("query_id", "item", F.explode("_inner").alias("_word"))
-    listed = chunks.withColumn("_word", F.explode(F.array_distinct(tokens(F.col("text")))))
-    spread = listed.select("_word").join(small(saved(words.select("_word").distinct())), "_word").groupBy("_word").agg(F.count("*").alias("_n"))
-    rarest = words.join(spread, "_word").groupBy("query_id", "item").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
-    found = listed.join(small(saved(rarest)), "_word").where(F.contains(F.col("text"), F.col("item"))).drop("_word", "item")
-    short = small(saved(asked.where(F.size("_inner") == 0).select("query_id", "item")))
-    return found.unionByName(chunks.join(short, F.contains(F.col("text"), F.col("item"))).drop("item"))
+    words = asked.select("query_id", F.explode("_inner").alias("_word"))
+    placed = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("_word"))
+    spread = placed.join(small(saved(words.select("_word").distinct())), "_word").groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = words.join(spread, "_word").groupBy("query_id").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"))
+    likely = saved(placed.join(small(saved(rarest)), "_word").select("chunk_id", "query_id"))
+    found = chunks.join(small(likely), "chunk_id").join(small(asked.select("query_id", "item")), "query_id").where(F.contains(F.col("text"), F.col("item"))).select("query_id", *chunks.columns)
+    short = asked.where(F.size("_inner") == 0).select("query_id", "item")
+    if short.isEmpty():
+        return found
+    return found.unionByName(chunks.join(small(short), F.contains(F.col("text"), F.col("item"))).select("query_id", *chunks.columns))
+
+
+def word_shares(docs: DataFrame, key: str, columns: dict[str, float], queries: DataFrame, least: int) -> DataFrame:
+    """``query_id, key, score``: for each column its weight times the share of the query's words (``query_id, qw``) that its text holds, inside longer words too.
+
+    A word is looked for in the distinct words of all texts, through its first three letters, and texts are met by the words that they have. Documents that hold none of a query's words are
+    missing, but for the ``least`` smallest keys, which have rows of 0 for every query, so that a ranking that falls back to keys finds them.
+    """
+    asked = saved(queries.select("query_id", F.size("qw").alias("_size"), F.explode("qw").alias("_asked")))
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
+    parts = [docs.select(key, F.lit(c).alias("_column"), F.explode(runs(c)).alias("_word")) for c in columns]
+    placed = parts[0]
+    for p in parts[1:]:
+        placed = placed.unionByName(p)
+    starts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_word") - 2), lambda i: F.substr("_word", i, F.lit(3))))).alias("_start")
+    vocabulary = placed.select("_word").distinct().select("_word", starts)
+    words = asked.select("_asked", F.substring("_asked", 1, 3).alias("_start")).distinct()
+    held = saved(vocabulary.join(small(saved(words)), "_start").where(F.contains("_word", "_asked")).select("_word", "_asked").distinct())
+    texts = placed.join(small(held), "_word").select(key, "_column", "_asked").distinct()
+    hits = texts.join(small(asked), "_asked").groupBy("query_id", key, "_size").agg(*(F.count_if(F.col("_column") == c).alias(f"_{c}") for c in columns))
+    score = sum((F.lit(w) * F.col(f"_{c}") / F.col("_size") for c, w in columns.items()), F.lit(0.0))
+    scored = hits.select("query_id", key, F.round(score, 6).alias("score"))
+    first = docs.select(key).orderBy(key).limit(least)
+    none = asked.select("query_id").distinct().crossJoin(F.broadcast(first)).select("query_id", key, F.lit(0.0).alias("score"))  # so many rows a query
+    return scored.unionByName(none).groupBy("query_id", key).agg(F.max("score").alias("score"))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 100, same: str | None = None, block: int = QUERY_BLOCK, part: int = VECTOR_PART) -> DataFrame:

@@ -42,15 +42,15 @@ def fresh_rows(spark, sf_dir: str) -> DataFrame:
     return document_meta(spark, sf_dir).select("doc_id", "n_chars").join(known, "doc_id", "left_anti")
 
 
-@query(f"""WITH {META_SQL}, e AS (SELECT DISTINCT publisher, fiscal_year FROM meta WHERE doc_type = 'de'), top AS (SELECT max(fiscal_year) AS m FROM meta),
-want AS (SELECT DISTINCT publisher, y::INT AS fiscal_year FROM e, (SELECT unnest(range(2005, (SELECT m FROM top) + 3)) AS y)) SELECT publisher, fiscal_year FROM want EXCEPT SELECT publisher, fiscal_year FROM e""")
+@query(f"""WITH {META_SQL}, e AS (SELECT DISTINCT doc_type, publisher, fiscal_year FROM meta), top AS (SELECT max(fiscal_year) AS m FROM meta),
+want AS (SELECT DISTINCT doc_type, publisher, y::INT AS fiscal_year FROM e, (SELECT unnest(range(2005, (SELECT m FROM top) + 3)) AS y)) SELECT doc_type, publisher, fiscal_year FROM want EXCEPT SELECT doc_type, publisher, fiscal_year FROM e""")
 def missing_editions(spark, sf_dir: str) -> DataFrame:
-    """Editions that a publisher lacks, two years ahead included (anti join with generated years)."""
+    """Editions of a document type that a publisher lacks, two years ahead included (anti join with generated years)."""
     meta = document_meta(spark, sf_dir)
-    have = meta.where("doc_type = 'de'").select("publisher", "fiscal_year").distinct()
+    have = meta.select("doc_type", "publisher", "fiscal_year").distinct()
     last = F.broadcast(meta.agg(F.max("fiscal_year").alias("m")))  # one row
-    want = have.select("publisher").distinct().crossJoin(last).select("publisher", F.explode(F.sequence(F.lit(2005), F.col("m") + 2)).alias("fiscal_year"))
-    return want.join(have, ["publisher", "fiscal_year"], "left_anti")
+    want = have.select("doc_type", "publisher").distinct().crossJoin(last).select("doc_type", "publisher", F.explode(F.sequence(F.lit(2005), F.col("m") + 2)).alias("fiscal_year"))
+    return want.join(have, ["doc_type", "publisher", "fiscal_year"], "left_anti")
 
 
 @query(f"""WITH {CHUNKS_SQL}, per AS (SELECT publisher, doc_id, count(*) AS n FROM chunks GROUP BY ALL) SELECT publisher, sum(n)::BIGINT AS n_chunks, arg_min(doc_id, (-n, doc_id)) AS sample_doc FROM per GROUP BY publisher""")
@@ -144,10 +144,10 @@ def year_over_year(spark, sf_dir: str) -> DataFrame:
     return a.withColumn("_next", F.col("y1") + 1).join(b.withColumnRenamed("y2", "_y"), (F.col("_next") == F.col("_y")) & (a["o_custkey"] == b["o_custkey"])).select(a["o_custkey"], "y1", F.col("_y").alias("y2"), "n1", "n2")
 
 
-@query(f"""WITH {META_SQL}, p AS (SELECT DISTINCT publisher, fiscal_year FROM meta WHERE doc_type = 'en'), o AS (SELECT a.publisher AS a, b.publisher AS b, count(*) AS shared FROM p a JOIN p b ON a.fiscal_year = b.fiscal_year AND a.publisher < b.publisher GROUP BY ALL) SELECT * FROM o""")
+@query(f"""WITH {META_SQL}, p AS (SELECT DISTINCT publisher, fiscal_year FROM meta), o AS (SELECT a.publisher AS a, b.publisher AS b, count(*) AS shared FROM p a JOIN p b ON a.fiscal_year = b.fiscal_year AND a.publisher < b.publisher GROUP BY ALL) SELECT * FROM o""")
 def co_occurrence(spark, sf_dir: str) -> DataFrame:
     """Years that two ids share; a merge of them is safe where none is shared."""
-    p = document_meta(spark, sf_dir).where("doc_type = 'en'").select("publisher", "fiscal_year").distinct()
+    p = document_meta(spark, sf_dir).select("publisher", "fiscal_year").distinct()
     a, b = p.withColumnRenamed("publisher", "a"), p.withColumnRenamed("publisher", "b")
     return a.join(b, "fiscal_year").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 

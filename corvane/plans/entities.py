@@ -118,7 +118,7 @@ SELECT q.item_id, coalesce(n.n, 0) AS found, n.doc_id, CASE WHEN n.n IS NULL THE
 def quote_validation(spark, sf_dir: str) -> DataFrame:
     """Each quote verbatim in one document, in several or in none (the stated quotes against all chunks)."""
     q = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    hits = verbatim(chunks(spark, sf_dir).select("doc_id", "text"), q.select(F.col("item_id").alias("query_id"), F.col("quote").alias("item"))).select(F.col("query_id").alias("item_id"), "doc_id").distinct()
+    hits = verbatim(chunks(spark, sf_dir).select("chunk_id", "doc_id", "text"), q.select(F.col("item_id").alias("query_id"), F.col("quote").alias("item"))).select(F.col("query_id").alias("item_id"), "doc_id").distinct()
     n = hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     verdict = F.when(F.col("n").isNull(), "absent").when(F.col("n") == 1, "verbatim").otherwise("ambiguous")
     return q.join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("found"), "doc_id", verdict.alias("verdict"))

@@ -38,11 +38,11 @@ def acronym_candidates(spark, sf_dir: str) -> DataFrame:
     return f.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy("first"))).where("place <= 3").select("p_brand", "acronym", "place")
 
 
-@query(rf"""WITH {CHUNKS_SQL}, h AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ (?:of|the|and) [a-z]+')) AS hit FROM chunks WHERE doc_type = 'en'), c AS (SELECT doc_id, hit, lower(regexp_extract(hit, '^\S+ \S+')) AS cluster FROM h)
+@query(rf"""WITH {CHUNKS_SQL}, h AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+ (?:of|the|and) [a-z]+')) AS hit FROM chunks), c AS (SELECT doc_id, hit, lower(regexp_extract(hit, '^\S+ \S+')) AS cluster FROM h)
 SELECT cluster, count(*) AS hits, count(DISTINCT doc_id) AS docs, array_to_string(list_sort(list_distinct(list(hit)))[1:5], ',') AS aliases FROM c GROUP BY cluster""")
 def candidate_sweep(spark, sf_dir: str) -> DataFrame:
     """Pattern hits clustered by their first words, with up to five spellings."""
-    h = chunks(spark, sf_dir).where("doc_type = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ (?:of|the|and) [a-z]+"), F.lit(0))).alias("hit"))
+    h = chunks(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ (?:of|the|and) [a-z]+"), F.lit(0))).alias("hit"))
     c = h.withColumn("cluster", F.lower(F.regexp_extract("hit", r"^\S+ \S+", 0)))
     return c.groupBy("cluster").agg(F.count("*").alias("hits"), F.countDistinct("doc_id").alias("docs"), F.array_join(F.slice(F.array_sort(F.collect_set("hit")), 1, 5), ",").alias("aliases"))
 

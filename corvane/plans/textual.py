@@ -15,10 +15,10 @@ def sanitized_queries(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.sanitize_query(F.col("url")).alias("q"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\-]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s\-]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents""")
 def match_normalized(spark, sf_dir: str) -> DataFrame:
     """The matcher's normal form."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.normalize_for_match(F.col("text")).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_for_match(F.col("text")).alias("t"))
 
 
 @query(r"""SELECT p_partkey, regexp_replace(p_brand || ', ' || p_type, '^([^,]*), *(.+)$', '\2 \1') AS name, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
