@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import answers, base, catalog, corpus, entities, evaluation, ledger, matching, retrieval, streams, structure, supporting, textual  # noqa: F401  each registers its queries
+from corvane.plans import answers, base, catalog, corpus, entities, evaluation, ledger, matching, pages, retrieval, streams, structure, supporting, textual  # noqa: F401  each registers its queries
 
 QUERIES = base.QUERIES
 ORACLES = base.ORACLES
