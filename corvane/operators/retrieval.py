@@ -51,24 +51,29 @@ def postings(listed: DataFrame, key: str = "chunk_id") -> DataFrame:
     return listed.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(listed: DataFrame, queries: DataFrame, k: int | None = 200) -> DataFrame:
+def bm25(listed: DataFrame, queries: DataFrame, k: int | None = 200, allow: DataFrame | None = None) -> DataFrame:
     """``query_id, chunk_id, score, rank``: the ``k`` best chunks of each query by BM25 (scores rounded to 6 places).
 
     ``listed``: chunk_id, tokens (see ``tokenised``); ``queries``: query_id, text. Only the queries' terms leave the scan of the
     chunks. Scores of a chunk are summed where the chunk is, so what is shuffled are its matching terms, not their
-    pairs with queries. Without ``k`` all hits are returned, without ranks.
+    pairs with queries. Without ``k`` all hits are returned, without ranks. ``allow``: query_id, group; then ``listed`` has a group too and only allowed pairs
+    are scored, before the cut.
     """
+    group = ["group"] if allow is not None else []
     asked = small(saved(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))))
     terms = small(saved(asked.select("term").distinct()))
     size = listed.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    matched = listed.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term")
-    hits = saved(matched.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
+    matched = listed.select("chunk_id", *group, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term")
+    hits = saved(matched.groupBy("chunk_id", *group, "dl", "term").agg(F.count("*").alias("tf")))
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = spread.crossJoin(F.broadcast(size)).select("term", weight.alias("idf"), "avgdl")  # size is one row
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     weighed = small(saved(asked.join(idf, "term")))
-    scored = hits.repartition("chunk_id").join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    met = hits.repartition("chunk_id").join(weighed, "term")
+    if allow is not None:
+        met = met.join(small(allow), ["query_id", "group"])
+    scored = met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     return scored if k is None else top_k(scored, "query_id", "score", "chunk_id", k)
 
 
@@ -205,6 +210,49 @@ def relax(hits: DataFrame, fallback: DataFrame) -> DataFrame:
     return hits.withColumn("dropped", F.lit(False)).unionByName(missing.withColumn("dropped", F.lit(True)))
 
 
+def allowed_groups(queries: DataFrame, groups: DataFrame, dimensions: dict[str, str]) -> DataFrame:
+    """``query_id, group``: which groups (``group`` and one column a dimension) each query may look into; a null list of a dimension (column of ``queries``) allows all.
+
+    Groups are few: the distinct values of the filtered columns, never rows.
+    """
+    met = queries.select("query_id", *dimensions.values()).crossJoin(F.broadcast(groups))
+    for column, wanted in dimensions.items():
+        met = met.where(F.col(wanted).isNull() | F.coalesce(F.array_contains(wanted, F.col(column)), F.lit(False)))
+    return met.select("query_id", "group")
+
+
+def hybrid_retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 5, lexical_k: int = 200, dense_k: int = 100, keep: int = 20) -> DataFrame:
+    """``query_id, chunk_id, fiscal_year, score, rank, dropped``: the whole search of every query, in one plan.
+
+    chunks: chunk_id, tokens, fiscal_year, doc_type, publisher; vectors: chunk_id, embedding; queries: query_id, text, embedding, years, doc_types (lists: filters that were
+    read from the query, null for none), publishers (preferred, null for none). Filters hold in both legs, before their cuts. A query whose type leaves nothing in either leg is searched again without
+    it, and the type is preferred instead. The fused pool is reranked whole, lowered by age unless years were asked for, and for what
+    isn't preferred; only then it is cut.
+    """
+    grouped = saved(chunks.withColumn("group", F.xxhash64("fiscal_year", "doc_type")))
+    kinds = saved(grouped.select("group", "fiscal_year", "doc_type").distinct())
+    held = saved(vectors.join(grouped.select("chunk_id", "group"), "chunk_id"))
+
+    def pool(asked: DataFrame, dimensions: dict[str, str]) -> DataFrame:
+        allow = saved(allowed_groups(asked, kinds, dimensions))
+        lexical = bm25(grouped, asked, lexical_k, allow)
+        dense = vector_search(held, asked.select("query_id", "embedding").join(allow, "query_id"), dense_k, same="group")
+        return saved(fuse([lexical, dense], keep=keep))
+
+    queries = saved(queries)
+    first = pool(queries, {"fiscal_year": "years", "doc_type": "doc_types"})
+    missed = saved(queries.where("doc_types IS NOT NULL").join(first.select("query_id").distinct(), "query_id", "left_anti"))
+    found = relax(first, pool(missed, {"fiscal_year": "years"}))
+    hits = found.select("query_id", "chunk_id", "dropped").join(grouped.select("chunk_id", "tokens", "fiscal_year", "doc_type", "publisher"), "chunk_id")
+    hits = hits.join(small(queries.select("query_id", "text", "years", "doc_types", "publishers")), "query_id")
+    q = F.array_distinct(tokens(F.col("text")))
+    hits = hits.withColumn("score", F.round(F.size(F.array_intersect(q, "tokens")) / F.greatest(F.size(q), F.lit(1)), 6))
+    aged = recency_penalty(hits.where("years IS NULL")).unionByName(hits.where("years IS NOT NULL"))
+    preferred = F.col("publishers").isNotNull() | F.col("dropped")
+    matches = F.coalesce(F.array_contains("publishers", F.col("publisher")), F.lit(False)) | (F.col("dropped") & F.coalesce(F.array_contains("doc_types", F.col("doc_type")), F.lit(False)))
+    return top_k(match_penalty(aged, ~preferred | matches).select("query_id", "chunk_id", "fiscal_year", "score", "dropped"), "query_id", "score", "chunk_id", k)
+
+
 def tfidf_cosine(listed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """TF-IDF cosine: (1 + ln tf) * (ln((n + 1) / (df + 1)) + 1), normalised; ``k`` best chunks of each query (``listed``: chunk_id, tokens)."""
     n = listed.agg(F.count("*").alias("n"))

@@ -106,6 +106,43 @@ def hybrid_vector_search(spark, sf_dir: str) -> DataFrame:
     return fused.withColumnRenamed("chunk_id", "doc_id")
 
 
+@query("""WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9]+') AS t, 2005 + doc_id % 23 AS y, lang, source, string_split(text, chr(10))[1] AS title FROM documents),
+size AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d), post AS (SELECT term, doc_id, dl, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
+q AS (SELECT doc_id AS query_id, coalesce(title, '') AS text, CASE WHEN doc_id % 60 = 0 THEN [y, y + 1] END AS ys, CASE doc_id // 20 % 4 WHEN 1 THEN 'es' WHEN 2 THEN 'xx' END AS typ, CASE WHEN doc_id // 20 % 2 = 0 THEN source END AS pub FROM d JOIN embeddings ON vec_id = doc_id WHERE doc_id % 20 = 0),
+asked AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z0-9]+'))) AS term FROM q),
+idf AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, avgdl FROM (SELECT term, count(*) AS df FROM post GROUP BY term), size),
+bm AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN asked USING (term) JOIN idf USING (term) GROUP BY ALL),
+vec AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings JOIN documents ON doc_id = vec_id),
+dense AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS score FROM vec a, vec b WHERE a.vec_id % 20 = 0),
+pairs AS (SELECT 200 AS most, query_id, doc_id, score FROM bm UNION ALL SELECT 100, query_id, doc_id, score FROM dense),
+own AS (SELECT p.*, q.ys, q.typ, d.lang FROM pairs p JOIN q USING (query_id) JOIN d USING (doc_id) WHERE q.ys IS NULL OR list_contains(q.ys, d.y)),
+legs AS (SELECT false AS dropped, most, query_id, doc_id, row_number() OVER (PARTITION BY most, query_id ORDER BY score DESC, doc_id) AS rank FROM own WHERE typ IS NULL OR lang = typ
+  UNION ALL SELECT true, most, query_id, doc_id, row_number() OVER (PARTITION BY most, query_id ORDER BY score DESC, doc_id) FROM own WHERE typ IS NOT NULL),
+fused AS (SELECT dropped, query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM legs WHERE rank <= most GROUP BY ALL),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dropped, query_id ORDER BY score DESC, doc_id) AS rank FROM fused) WHERE rank <= 20 AND (NOT dropped OR query_id NOT IN (SELECT query_id FROM fused WHERE NOT dropped))),
+re AS (SELECT p.dropped, p.query_id, p.doc_id, d.y, d.lang, d.source, q.ys, q.typ, q.pub, round(len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z][a-z0-9]+')), d.t))::DOUBLE / greatest(len(list_distinct(regexp_extract_all(lower(q.text), '[a-z][a-z0-9]+'))), 1), 6) AS s0 FROM pool p JOIN d USING (doc_id) JOIN q USING (query_id)),
+rec AS (SELECT *, CASE WHEN ys IS NULL THEN round(s0 + 0.85::DOUBLE * (y - max(y) OVER (PARTITION BY query_id)), 6) ELSE s0 END AS s1 FROM re),
+pen AS (SELECT *, CASE WHEN (pub IS NULL AND NOT dropped) OR source IS NOT DISTINCT FROM pub OR (dropped AND lang = typ) THEN s1 ELSE round(s1 - 2.0::DOUBLE, 6) END AS score FROM rec)
+SELECT query_id, doc_id, y::INT AS fiscal_year, score, rank::INT AS rank, dropped FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM pen) WHERE rank <= 5""")
+def hybrid_retrieve(spark, sf_dir: str) -> DataFrame:
+    """K1 as one run: filters in both legs (words and vectors), the type dropped where it leaves nothing (K9), fusion, rerank, recency, penalty, trim.
+
+    Every twentieth document with a vector is a query: its title and vector, some with years, a document type (one that none has among them) or a preferred publisher.
+    """
+    meta = document_meta(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    listed = built_once(R.tokenised(docs.select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))), "document tokens", f"{sf_dir}/documents.parquet")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    pieces = listed.join(meta.select(F.col("doc_id").alias("chunk_id"), "fiscal_year", "doc_type", "publisher"), "chunk_id")
+    title = F.coalesce(F.split("text", "\n")[0], F.lit(""))
+    asked = docs.join(meta, "doc_id").join(vectors.withColumnRenamed("chunk_id", "doc_id"), "doc_id").where("doc_id % 20 = 0")
+    turn = F.floor(F.col("doc_id") / 20)
+    years = F.when(F.col("doc_id") % 60 == 0, F.array(F.col("fiscal_year"), F.col("fiscal_year") + 1))
+    types = F.when(turn % 4 == 1, F.array(F.lit("es"))).when(turn % 4 == 2, F.array(F.lit("xx")))
+    queries = asked.select(F.col("doc_id").alias("query_id"), title.alias("text"), "embedding", years.alias("years"), types.alias("doc_types"), F.when(turn % 2 == 0, F.array("publisher")).alias("publishers"))
+    return R.hybrid_retrieve(pieces, vectors, queries).withColumnRenamed("chunk_id", "doc_id")
+
+
 @query(HYBRID_SQL + " SELECT query_id, chunk_id, score, legs, rank::INT AS rank FROM pool")
 def hybrid_search(spark, sf_dir: str) -> DataFrame:
     """K1 (its dense leg is a word-pair leg), K5, F1, H1: two legs, fused by reciprocal ranks."""
