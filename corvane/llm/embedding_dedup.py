@@ -5,7 +5,8 @@ what two linked vectors differ by in a projection; vectors within it go to both
 median the one with fewest vectors in its band is taken, and a node is a leaf when every cut has most of it there:
 it is a dense cluster, which further splits would only copy. Many trees with other projections make it likely that near
 vectors share a leaf. The trees are fitted on a bounded sample; below the nodes that the sample can split, cuts follow
-from the quantiles of the node's sample, with a narrower band, so that leaves stay small however many vectors there are.
+from the quantiles of the node's sample, with a narrower band, so that leaves stay small however many vectors there are; each such
+level parts some near pairs, so a label gets more trees the more levels it takes.
 Every vector is routed through all trees. Pairs are compared within leaves, counted in the first leaf
 that they share, and the links are united.
 
@@ -29,8 +30,11 @@ from corvane.llm.common import read_table, released, saved
 from corvane.llm.components import connected_components, local_roots
 
 MAX_SAMPLE = 20_000  # vectors the trees are fitted on (in expectation)
-TREES = 6
+TREES = 6  # at least; more for labels that are split more often (see trees_for)
 LEAF = 500  # vectors a leaf should hold
+# Of one tree, measured on pairs at a cosine of 0.93 to 0.95: the share that has a leaf in common after 8 levels, and what each further level leaves of it.
+SHARED_AT_8, SHARED_A_LEVEL = 0.62, 0.935
+RECALL = 0.95  # that the trees together are meant to reach
 LEAST_IN_NODE = 32  # sampled vectors that a node must hold to be split by their own cut
 BAND = 0.35  # half a band's width, in standard deviations of what linked vectors differ by in a projection
 DEEP_OVERLAP = 0.03  # below sampled nodes: share of the sample on each side of the median within the band
@@ -65,12 +69,20 @@ def usable_vectors(df: DataFrame, vec_id: str, embedding: str, label: str) -> tu
     return rows.mapInArrow(released(run), "vec_id long, label string, raw binary"), kind
 
 
+def trees_for(count: int) -> int:
+    """Trees that find ``RECALL`` of the pairs just over the limit among so many vectors of a label."""
+    levels = max(np.log2(max(count, 1) / LEAF), 8)
+    one = SHARED_AT_8 * SHARED_A_LEVEL ** (levels - 8)
+    return max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - one))))
+
+
 class Forest:
     """Cuts by (label, dimension), tree and path. The direction at each depth of a tree is the same in all its nodes."""
 
     def __init__(self, limit: float) -> None:
         self.limit = limit
         self.cuts: dict[tuple[Any, int, int], tuple[float, float]] = {}
+        self.trees: dict[Any, int] = {}
         self.deep: dict[tuple[Any, int, int], tuple[np.ndarray, np.ndarray]] = {}  # of unsplit sampled nodes: a cut a level
 
     @staticmethod
@@ -95,7 +107,8 @@ class Forest:
         """Split until ``count`` vectors of which ``sample`` are some would lie in leaves of about ``LEAF``."""
         half = BAND * np.sqrt(2 * (1 - self.limit) / kind[1])
         scale = count / len(sample)
-        for tree in range(TREES):
+        self.trees[kind] = trees_for(count)
+        for tree in range(self.trees[kind]):
             at = sample @ self.directions(tree, kind[1]).T
             todo = [(1, 0, np.arange(len(sample)))]
             while todo:
@@ -115,7 +128,7 @@ class Forest:
     def leaves(self, kind: tuple[str, int], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that each row reaches; a leaf is ``tree << 48 | path``."""
         rows, leaves = [], []
-        for tree in range(TREES):
+        for tree in range(self.trees.get(kind, 1)):
             if (kind, tree, 1) not in self.cuts and (kind, tree, 1) not in self.deep:
                 if not tree:  # the label is one leaf: one tree is enough
                     return np.arange(len(x)), np.full(len(x), 1)

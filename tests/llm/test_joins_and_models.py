@@ -241,6 +241,34 @@ def test_forest_splits_and_finds_near_pairs(spark, monkeypatch, max_sample):
     assert len(sizes) > 60 and sum(sizes) < 6000 * embedding_dedup.TREES * 2.2 and np.median(sizes) < 400
 
 
+@pytest.mark.parametrize("clusters", [0, 200])
+@pytest.mark.parametrize("count", [100_000, 2_000_000, 100_000_000, 1_000_000_000])
+def test_recall_of_a_forest_grown_for_many_vectors(count, clusters):
+    """Of 1,500 pairs at a cosine of 0.93 to 0.95, 0.9 at least share a leaf of the trees for so many vectors of a label, fitted on 2,000; and leaves a vector stay few."""
+    rng = np.random.default_rng(count + clusters)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(max(clusters, 1), 64)))
+
+    def drawn(n):
+        spread = rng.normal(size=(n, 64)) / 8
+        return unit(centres[rng.integers(0, clusters, n)] + 0.7 * spread) if clusters else unit(spread)
+
+    x = drawn(1500)
+    cos = rng.uniform(0.93, 0.95, 1500)[:, None]
+    side = rng.normal(size=x.shape)
+    y = cos * x + np.sqrt(1 - cos**2) * unit(side - (side * x).sum(1, keepdims=True) * x)
+    forest = embedding_dedup.Forest(0.93)
+    forest.grow(("a", 64), drawn(2000), count)
+    (row_x, leaf_x), (row_y, leaf_y) = (forest.leaves(("a", 64), z) for z in (x, y))
+    held = [set() for _ in range(1500)]
+    for r, leaf in zip(row_x.tolist(), leaf_x.tolist()):
+        held[r].add(leaf)
+    met = {r for r, leaf in zip(row_y.tolist(), leaf_y.tolist()) if leaf in held[r]}
+    print(f"recall {len(met) / 1500:.3f}, trees {forest.trees['a', 64]}, leaves a vector {len(row_x) / 1500:.1f}")
+    assert len(met) >= 0.9 * 1500
+    assert len(row_x) / 1500 < 10 * forest.trees["a", 64]
+
+
 def test_embeddings_of_odd_tables(spark):
     schema = "vec_id long, embedding array<float>, label int, component_id string, node string"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
