@@ -5,7 +5,9 @@ links to tags. Smoothed with a Gaussian along the page, the ratios are parted by
 runs of the upper one are the content regions. The article is the article or main element that holds nearly all of
 their text (with other articles of the page at least half as long as the longest), or else the smallest container that holds all regions; its lines are returned without those of boilerplate
 elements, and without its blocks of links if it isn't an article element. An element is not boilerplate by a word of
-its class, id or role if it wraps the page's article or main element, or far more of the text than what is left without it.
+its class, id or role (or as a form) if it wraps the page's article or main element, or far more of the text than what is left without it. A
+name of several words, as "related-work", is only a doubt, which the ratio settles: what lies in regions of half the threshold or more stays. And within the article runs of lines of
+links alone go if the smoothed ratio falls under the threshold in them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from corvane.llm.common import read_table
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = set("article main section div body td html".split())
-NOT_CONTENT = set("aside button canvas datalist dialog footer form head iframe math menu nav noscript object optgroup option script select style svg template textarea title".split())
+NOT_CONTENT = set("aside button canvas datalist dialog footer head iframe math menu nav noscript object optgroup option script select style svg template textarea title".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 LIMITS_CLOSING = set("ol ul dl table article section div body html main td th".split())
 ENDS_PARAGRAPH = BLOCKS - {"body", "html"}
@@ -33,6 +35,9 @@ ENDS_PARAGRAPH = BLOCKS - {"body", "html"}
 BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentary commentlist consent contentinfo complementary cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notification notifications outbrain overlay pager pagination paywall popup popups promo promoted promotion recommendations recommended related replies respond search share sharing sidebar sidenav signin signup skip skyscraper social sponsor sponsored subscribe subscription taboola teaser teasers toolbar topbar widget widgets".split()
 )
+# Of these the ones that name reader comments, whose prose no ratio tells from an article's; and words of layout, which say nothing beside another word.
+COMMENTS = set("comment comments commentary commentlist discussion disqus feedback replies respond".split())
+LAYOUT = set("area article articles bar block blocks bottom box button buttons column container content data div field fixed global group header inner item items js left link links list main module outer page panel post posts primary right row secondary section site slot stories story text title top unit wrap wrapper".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TAG_START = re.compile(r"<[A-Za-z/!?]")
 SIGMA = 1.5
@@ -50,6 +55,7 @@ class Lines(HTMLParser):
         self.open: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
         self.parents: list[tuple[int, str]] = [(-1, "root")]  # containers: parent and name
         self.marked: list[int] = [-1]  # elements marked by a word: parent; the first stands for none
+        self.doubtful: list[int] = []  # containers marked by a word among others that aren't boilerplate's or layout's
         self.articles: list[tuple[int, int]] = []  # unmarked main and outermost article elements: container and marked element around it
         self.lines: list[tuple[str, int, int, int, bool, int]] = []
         self.parts: list[str] = []
@@ -98,15 +104,19 @@ class Lines(HTMLParser):
         skip, container, mark = self.stack[-1][1:] if self.stack else (False, 0, 0)
         starts = False
         word = self.has_word(attrs)
+        doubtful = not word and not skip and tag not in ("html", "body", "article", "main") and self.has_word(attrs, among_others=True)
         if not skip:
             skip = starts = tag in NOT_CONTENT or tag == "header" and not self.open.get("article") and not self.open.get("main") or tag not in ("html", "body", "article", "main") and self.hidden(attrs)
-        if tag in CONTAINERS:
+        if tag in CONTAINERS or doubtful:
             self.parents.append((container, tag))
             container = len(self.parents) - 1
+        if doubtful:
+            self.doubtful.append(container)
+            starts = True
         if tag in ("article", "main"):
             if not word and not skip and not self.open.get("article"):
                 self.articles.append((container, mark))
-        elif word and not skip and tag not in ("html", "body"):
+        elif (word or tag == "form") and not skip and tag not in ("html", "body"):  # a form that holds the page's text is a wrapper, as of a word
             self.marked.append(mark)
             mark, starts = len(self.marked) - 1, True
         self.links += tag == "a"
@@ -120,8 +130,15 @@ class Lines(HTMLParser):
         return any(key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and re.search(r"display\s*:\s*none", value) for key, value in attrs)
 
     @staticmethod
-    def has_word(attrs: list[tuple[str, str | None]]) -> bool:
-        return any(key in ("class", "id", "role") and value and any(w.lower() in BOILERPLATE for w in _WORD.findall(value)) for key, value in attrs)
+    def has_word(attrs: list[tuple[str, str | None]], among_others: bool = False) -> bool:
+        """Whether a name in class, id or role has a word of boilerplate: one of comments, or beside layout words only (or ``among_others``)."""
+        for key, value in attrs:
+            if key in ("class", "id", "role") and value:
+                for name in value.split():
+                    words = {w.lower() for w in _WORD.findall(name)}
+                    if words & BOILERPLATE and (among_others or words & COMMENTS or words <= BOILERPLATE | LAYOUT):
+                        return True
+        return False
 
     def boilerplate(self) -> list[bool]:
         """Of each line, whether it is boilerplate: in such an element, or in one marked by a word that isn't a wrapper."""
@@ -224,7 +241,8 @@ def main_text(html: str | None) -> str:
     if not free.any():
         return ""
     ratio = smoothed(free / np.array([x[1] for x in lines]))
-    content = (ratio >= threshold(ratio)) & (free > 0)
+    cut = threshold(ratio)
+    content = (ratio >= cut) & (free > 0)
     if not content.any():
         content = free > 0
     # An article or main element that holds nearly all of the regions' text is taken whole; else the smallest container of all regions.
@@ -263,7 +281,27 @@ def main_text(html: str | None) -> str:
     for c in range(len(page.parents)):
         if page.parents[c][0] in inside and c not in blocks:
             inside.add(c)
-    kept = np.array([x[3] in inside and not out for x, out in zip(lines, skip)])
+    # What is marked by a word among others is kept if most of its text lies in regions of half the threshold or more, and not in links.
+    place = np.array([x[3] for x in lines])
+    in_links = np.array([x[2] for x in lines], float)
+    total, good, linked = (np.bincount(place, weights=w, minlength=len(page.parents)) for w in (free, free * (ratio >= cut / 2), in_links))
+    for c in range(len(page.parents) - 1, 0, -1):
+        total[page.parents[c][0]] += total[c]
+        good[page.parents[c][0]] += good[c]
+        linked[page.parents[c][0]] += linked[c]
+    out_of = np.zeros(len(page.parents), bool)
+    out_of[np.array(page.doubtful, int)] = True
+    out_of &= (2 * good < total) | (total == 0) | (linked > total)
+    for c in range(1, len(page.parents)):
+        out_of[c] |= out_of[page.parents[c][0]]
+    doubted = out_of[place]
+    # Within the article, runs of lines of links alone are told by their ratio: they go as a whole if it falls under the threshold in them. One such line is a heading or a source.
+    linked_only = np.array([2 * x[2] > len(x[0]) for x in lines])
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], linked_only, [0]])))
+    menu = np.zeros(len(lines), bool)
+    for a, b in zip(edge[::2], edge[1::2]):
+        menu[a:b] = b - a > 1 and ratio[a:b].min() < cut
+    kept = np.array([x[3] in inside and not out for x, out in zip(lines, skip)]) & ~menu & ~doubted
     return "\n".join(x[0] for x, k in zip(lines, kept) if k)
 
 

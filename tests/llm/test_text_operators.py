@@ -182,6 +182,38 @@ def test_html_long_comments_go():
     assert html_text.main_text(page) == f"Title\n{LONG} 1.\n{LONG} 2."
 
 
+def test_html_of_a_page_in_a_form():
+    body = "".join(f"<p>{LONG} {i}.</p>" for i in range(5))
+    want = "\n".join(f"{LONG} {i}." for i in range(5))
+    search = "<form class=find><label>Find things</label><input name=q></form>"
+    assert html_text.main_text(f'<body><form id="aspnetForm"><div>{body}</div></form></body>') == want
+    assert html_text.main_text(f"<body><form><article>{body}</article></form></body>") == want
+    assert html_text.main_text(f"<body>{search}<article>{body}{search}</article></body>") == want
+
+
+def test_html_words_among_others_are_settled_by_the_ratio():
+    body = "".join(f"<p>{LONG} {i}.</p>" for i in range(4))
+    related = f'<section class="related-work"><h2>Related work</h2><p>{LONG} 8.</p><p>{LONG} 9.</p></section>'
+    price = f'<p class="share-price">{LONG} at the close.</p>'
+    links = '<section class="related-reads"><h2>Read on</h2><ul>' + "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(6)) + "</ul></section>"
+    kept = [f"{LONG} {i}." for i in range(4)]
+    assert html_text.main_text(f"<body><article>{body}{related}</article></body>").split("\n") == [*kept, "Related work", f"{LONG} 8.", f"{LONG} 9."]
+    assert html_text.main_text(f"<body><article>{body}{price}{body}</article></body>").split("\n") == [*kept, f"{LONG} at the close.", *kept]
+    assert html_text.main_text(f"<body><article>{body}{links}</article></body>").split("\n") == kept
+    assert html_text.main_text(f'<body><article>{body}<div class="user-comments"><p>{LONG} says a reader.</p></div></article></body>').split("\n") == kept
+
+
+def test_html_lists_of_links_go_by_their_ratio(monkeypatch):
+    body = "".join(f"<p>{LONG} {i}.</p>" for i in range(4))
+    stories = "<ul>" + "".join(f"<li><a href=/{i}>Next story {i}</a></li>" for i in range(3)) + "</ul>"
+    heading = f"<h2><a href=#x>A heading that is a link</a></h2><p>{LONG} below it.</p>"
+    page = f"<body><article>{body}{heading}{stories}{body}</article></body>"
+    kept = [f"{LONG} {i}." for i in range(4)]
+    assert html_text.main_text(page).split("\n") == [*kept, "A heading that is a link", f"{LONG} below it.", *kept]
+    monkeypatch.setattr(html_text, "smoothed", lambda ratio: np.ones(len(ratio)))  # a flat ratio tells nothing
+    assert "Next story 1" in html_text.main_text(page)
+
+
 def test_html_without_article_elements():
     long = [f"{LONG} {i}." for i in range(8)]
     first = "<div><h1>Title</h1><p>By A. Writer</p>" + "".join(f"<p>{t}</p>" for t in long) + "<p><a href=x>A source of it</a></p><p>The end.</p></div>"
