@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.operators.matching import claimed_spans
+from corvane.operators.matching import claimed_spans, first_rung, near_words
 from corvane.sources.shared import saved
 
 
@@ -104,3 +104,25 @@ def containment_groups(df: DataFrame, by: str, key: str, text: str) -> DataFrame
     tied = groups_of_edges(edges, [by])
     named = nodes.join(tied.withColumnRenamed("node", "_first"), [by, "_first"], "left").select(by, "_t", F.coalesce("group", "_first").alias("group"))
     return rows.join(named, [by, "_t"], "left").select(by, key, F.coalesce("group", key).alias("group"))
+
+
+def match_ladder(candidates: DataFrame, key: str, catalog: DataFrame, floor: float = 0.4, least: int = 6) -> DataFrame:
+    """``key, rung, id, name``: the catalog entry (``id, name``) that each candidate (``key, name``) is, by the first rung that tells.
+
+    1 equal words in order, 2 the largest overlap of words of ``floor`` or more, 3 an entry of ``least`` letters held by the candidate, the longest and first, 4 a
+    few edits apart (see ``near_words``). Of equals the smallest id. Each rung is an equi-join.
+    """
+    normal = F.array_join(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0)), " ")
+    asked, known = (saved(df.select(k, normal.alias("name")).where("name <> ''").distinct()) for df, k in ((candidates, key), (catalog, "id")))
+    entry = known.groupBy("name").agg(F.min("id").alias("id"))
+    one = lambda met, rank: met.groupBy(key).agg(F.min_by(F.struct("id", "entry"), rank).alias("_b")).select(key, "_b.id", F.col("_b.entry").alias("name"))
+    equal = asked.join(entry, "name").select(key, "id", "name")
+    sides = [name_classes(df, k, "name") for df, k in ((asked, key), (known, "id"))]
+    met = fuzzy_classes(*sides, floor).join(sides[0].select(F.col("class_id").alias("left_class"), F.col("id").alias(key)), "left_class")
+    met = met.join(sides[1].select(F.col("class_id").alias("right_class"), "id"), "right_class").join(known.withColumnRenamed("name", "entry"), "id")
+    shared = one(met, F.struct(-F.col("score"), "id"))
+    spans = claimed_spans(asked, key, "name", entry.where(F.length("name") >= least).select(F.lit(1).alias("tier"), F.col("name").alias("phrase")))
+    held = one(spans.join(entry.withColumnRenamed("name", "phrase"), "phrase").withColumn("entry", F.col("phrase")), F.struct(-F.length("phrase"), "start"))
+    close = near_words(asked, known, "name").join(entry.withColumnRenamed("name", "right"), "right").withColumn("entry", F.col("right"))
+    near = one(asked.join(close, asked["name"] == close["left"]).select(key, "distance", "id", "entry"), F.struct("distance", "id"))
+    return first_rung([equal, shared, held, near], [key])

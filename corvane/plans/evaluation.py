@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import evaluation as E
+from corvane.operators import scoring as S
 from corvane.operators.corpus import ranked_percentile
 from corvane.operators.retrieval import bm25, top_k, verbatim
 from corvane.plans.base import CHUNKS_SQL, chunks, listed_chunks, query, table
@@ -115,3 +116,45 @@ def run_summary(spark, sf_dir: str) -> DataFrame:
     """Means and ratios of sums over all runs."""
     t = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("replied"), F.sum(F.length("text")).alias("chars"))
     return t.agg(F.count("*").alias("runs"), F.round(F.avg("turns"), 6).alias("mean_turns"), F.round(F.sum("replied") / F.sum("turns"), 6).alias("reply_rate"), F.round(F.avg(F.when(F.col("replied") > 0, F.col("chars") / F.col("turns"))), 6).alias("mean_chars"))
+
+
+#: A user's events as the tool calls of a transcript: what they bought are the facts.
+_CALLS_SQL = """c AS (SELECT user_id AS transcript, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type WHEN 'view' THEN 'retrieve' WHEN 'error' THEN 'retrieve' WHEN 'click' THEN 'open' WHEN 'purchase' THEN 'cite' ELSE 'refuse' END AS tool,
+  CASE WHEN event_type <> 'signup' THEN (props->>'k')::BIGINT % 10 END AS target, event_type = 'error' AS failed FROM events),
+f AS (SELECT DISTINCT transcript, target FROM c WHERE tool = 'cite'),
+r AS (SELECT *, row_number() OVER w = 1 AS first, coalesce(max(failed::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS again, coalesce(max((tool = 'retrieve' AND NOT failed)::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS seen FROM c WINDOW w AS (PARTITION BY transcript, target ORDER BY n)),
+o AS (SELECT transcript, count(*) AS calls, count(*) FILTER (tool = 'retrieve') AS retrieves, count(*) FILTER (failed) AS errors, count(DISTINCT target) AS targets, count(*) FILTER (target IS NOT NULL AND first AND NOT failed) AS clean, count(*) FILTER (target IS NOT NULL AND again) AS retries,
+  count(*) FILTER (target IS NOT NULL AND again AND NOT failed) AS recovered, count(*) FILTER (tool = 'cite') AS cites, count(DISTINCT target) FILTER (tool = 'cite') AS emitted, count(DISTINCT target) FILTER (tool = 'cite' AND seen) AS covered, count(*) FILTER (tool = 'refuse') > 0 AS refused,
+  coalesce(max(n) FILTER (tool = 'cite') = max(n), false) AS answered FROM r GROUP BY transcript),
+m AS (SELECT f.transcript, f.target, (SELECT min(n) FROM c WHERE c.transcript = f.transcript AND c.target = f.target AND tool = 'retrieve' AND NOT failed) AS seen_at, EXISTS (SELECT 1 FROM r WHERE r.transcript = f.transcript AND r.target = f.target AND tool = 'cite' AND seen) AS cited FROM f),
+p AS (SELECT transcript, count(*) AS facts, count(seen_at) AS facts_seen, count(*) FILTER (cited) AS facts_cited, CASE WHEN count(seen_at) = count(*) THEN max(seen_at) END AS sufficient_at FROM m GROUP BY transcript),
+s AS (SELECT o.transcript, calls, retrieves, errors, targets, retries, recovered, cites, emitted, covered, refused, answered, coalesce(facts, 0) AS facts, coalesce(facts_seen, 0) AS facts_seen, coalesce(facts_cited, 0) AS facts_cited, sufficient_at,
+  CASE WHEN sufficient_at IS NOT NULL THEN (SELECT count(*) FROM c WHERE c.transcript = o.transcript AND tool = 'retrieve' AND n > sufficient_at) END AS surplus,
+  CASE WHEN targets > 0 THEN round(clean::DOUBLE / targets, 6) END AS first_try_rate, CASE WHEN retries > 0 THEN round(recovered::DOUBLE / retries, 6) END AS recovery_rate, CASE WHEN calls > 0 THEN round(errors::DOUBLE / calls, 6) END AS error_rate,
+  CASE WHEN facts > 0 THEN round(facts_seen::DOUBLE / facts, 6) END AS fact_recall, CASE WHEN emitted > 0 THEN round(covered::DOUBLE / emitted, 6) END AS cite_precision, CASE WHEN facts > 0 THEN round(facts_cited::DOUBLE / facts, 6) END AS cite_recall, CASE WHEN retrieves > 0 THEN round(coalesce(facts_seen, 0)::DOUBLE / retrieves, 6) END AS efficiency
+  FROM o LEFT JOIN p USING (transcript))"""
+
+
+def _agent_scores(spark, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    tool = F.when(kind.isin("view", "error"), S.RETRIEVE).when(kind == "click", "open").when(kind == "purchase", S.CITE).otherwise(S.REFUSE)
+    target = F.when(kind != "signup", F.get_json_object("props", "$.k").cast("long") % 10)
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    calls = saved(table(spark, sf_dir, "events").select(F.col("user_id").alias("transcript"), n.alias("n"), tool.alias("tool"), target.alias("target"), (kind == "error").alias("failed")))
+    return S.score_transcripts(calls, calls.where(F.col("tool") == S.CITE).select("transcript", "target"))
+
+
+@query(f"WITH {_CALLS_SQL} SELECT * FROM s")
+def agent_scores(spark, sf_dir: str) -> DataFrame:
+    """A transcript's calls, retries, first tries, facts seen, sufficiency and cites (a user's events stand for its calls)."""
+    return _agent_scores(spark, sf_dir)
+
+
+_MEASURES_SQL = ", ".join(["count(*) AS transcripts", *(f"round(avg({c}), 6) AS mean_{c}" for c in S.MEANS), "round(sum(covered) / sum(emitted), 6) AS pooled_cite_precision", "round(sum(facts_cited) / sum(facts), 6) AS pooled_cite_recall", "round(sum(facts_seen) / sum(facts), 6) AS pooled_fact_recall", "round(avg(refused::INT), 6) AS refusal_rate", "round(avg(answered::INT), 6) AS answer_rate", "round(avg((sufficient_at IS NOT NULL)::INT), 6) AS sufficient_rate", "round(count(*) FILTER (refused AND facts_seen = 0)::DOUBLE / count(*) FILTER (refused), 6) AS refusal_precision"])
+
+
+@query(f"WITH {_CALLS_SQL} SELECT CASE WHEN transcript % 2 = 0 THEN 'even' ELSE 'odd' END AS set, {_MEASURES_SQL} FROM s GROUP BY 1 UNION ALL SELECT 'all', {_MEASURES_SQL} FROM s")
+def agent_summary(spark, sf_dir: str) -> DataFrame:
+    """Means, ratios of sums and rates over a run's transcripts, over all and by set."""
+    scores = saved(_agent_scores(spark, sf_dir).withColumn("set", F.when(F.col("transcript") % 2 == 0, "even").otherwise("odd")))
+    return S.run_summary(scores, "set").unionByName(S.run_summary(scores).withColumn("set", F.lit("all")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.operators import entities as E
 from corvane.operators import matching as M
 from corvane.operators.retrieval import tokens
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
@@ -109,6 +110,26 @@ def fuzzy_title_pairs(spark, sf_dir: str) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
+_N = "array_to_string(regexp_extract_all(lower(%s), '[a-z0-9]+'), ' ')"
+
+
+@query(f"""WITH c AS (SELECT DISTINCT conv_id * 100 + turn AS id, {_N % "array_to_string(string_split(text, ' ')[1:7], ' ')"} AS name FROM conversations), k AS (SELECT DISTINCT id, {_N % "name"} AS name FROM (SELECT item_id AS id, array_to_string(string_split(text, ' ')[1:4], ' ') AS name FROM benchmark UNION ALL SELECT 1000 + item_id, array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark)),
+x AS (SELECT id AS key, name FROM c WHERE name <> ''), e AS (SELECT id, name FROM k WHERE name <> ''), u AS (SELECT name, min(id) AS id FROM e GROUP BY name),
+w AS (SELECT key, x.name AS cand, e.id, e.name, list_distinct(string_split(x.name, ' ')) AS p, list_distinct(string_split(e.name, ' ')) AS q FROM x, e),
+r AS (SELECT key, 1 AS rung, id, name, 0.0::DOUBLE AS o, 0 AS o2 FROM x JOIN u USING (name)
+  UNION ALL SELECT key, 2, id, name, -round(len(list_intersect(p, q))::DOUBLE / len(list_distinct(p || q)), 6), 0 FROM w WHERE round(len(list_intersect(p, q))::DOUBLE / len(list_distinct(p || q)), 6) >= 0.4
+  UNION ALL SELECT key, 3, u.id, u.name, -length(u.name), position(' ' || u.name || ' ' IN ' ' || x.name || ' ') FROM x, u WHERE length(u.name) >= 6 AND contains(' ' || x.name || ' ', ' ' || u.name || ' ')
+  UNION ALL SELECT key, 4, u.id, u.name, levenshtein(x.name, u.name), 0 FROM x, u WHERE levenshtein(x.name, u.name) <= CASE WHEN greatest(length(x.name), length(u.name)) >= 8 THEN 2 WHEN greatest(length(x.name), length(u.name)) >= 5 THEN 1 ELSE 0 END)
+SELECT key, arg_min(rung, (rung, o, o2, id)) AS rung, arg_min(id, (rung, o, o2, id)) AS id, arg_min(name, (rung, o, o2, id)) AS name FROM r GROUP BY key""")
+def match_ladder(spark, sf_dir: str) -> DataFrame:
+    """A turn's first seven words as a candidate for the bodies' names: equal, by shared words, holding one, or a few edits apart."""
+    first = lambda n: F.array_join(F.slice(F.split("text", " "), 1, n), " ")
+    items = table(spark, sf_dir, "benchmark")
+    catalog = items.select(F.col("item_id").alias("id"), first(4).alias("name")).unionByName(items.select((F.col("item_id") + 1000).alias("id"), first(2).alias("name")))
+    candidates = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("key"), first(7).alias("name"))
+    return E.match_ladder(candidates, "key", catalog).select("key", "rung", "id", "name")
+
+
 _TOKENS = "regexp_extract_all(lower(text), '[a-z][a-z0-9]+')"
 
 

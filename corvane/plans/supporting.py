@@ -18,11 +18,11 @@ def retry_groups(spark, sf_dir: str) -> DataFrame:
     return containment_groups(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
 
 
-@query("""WITH a AS (SELECT DISTINCT p_type AS alias FROM part WHERE p_size <= 5), b AS (SELECT DISTINCT p_type AS alias FROM part WHERE p_size >= 48) SELECT alias, 'added' AS change FROM b WHERE alias NOT IN (SELECT alias FROM a) UNION ALL SELECT alias, 'disabled' FROM a WHERE alias NOT IN (SELECT alias FROM b)""")
+@query("""WITH a AS (SELECT DISTINCT p_brand || ' ' || p_name AS alias FROM part WHERE p_size <= 25), b AS (SELECT DISTINCT p_brand || ' ' || p_name AS alias FROM part WHERE p_size > 20) SELECT alias, 'added' AS change FROM b WHERE alias NOT IN (SELECT alias FROM a) UNION ALL SELECT alias, 'disabled' FROM a WHERE alias NOT IN (SELECT alias FROM b)""")
 def alias_differences(spark, sf_dir: str) -> DataFrame:
-    """H5: what an overlay adds and disables."""
+    """H5: what an overlay adds and disables (names of a brand's large parts over those of its small ones)."""
     part = table(spark, sf_dir, "part")
-    a, b = (part.where(c).select(F.col("p_type").alias("alias")).distinct() for c in ("p_size <= 5", "p_size >= 48"))
+    a, b = (part.where(c).select(F.concat_ws(" ", "p_brand", "p_name").alias("alias")).distinct() for c in ("p_size <= 25", "p_size > 20"))
     return b.join(a, "alias", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "alias", "left_anti").withColumn("change", F.lit("disabled")))
 
 

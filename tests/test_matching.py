@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import entities as E
 from corvane.operators import matching as M
 
 
@@ -184,3 +185,10 @@ def test_longest_prefix(spark):
     catalog = spark.createDataFrame([("abc", 1), ("abcd", 2), ("ab", 3)], "slug string, id long")
     assert sorted(map(tuple, M.prefix_hits(slugs, catalog).collect())) == [("abcd", 2, "abcd")]
     assert sorted(map(tuple, M.prefix_hits(slugs, catalog.where(F.col("id") != 2), 2).collect())) == [("ab", 3, "ab"), ("abcd", 1, "abc"), ("abx", 3, "ab")]
+
+
+def test_every_rung_of_the_match_ladder_decides(spark):
+    catalog = spark.createDataFrame([(1, "Board of Barbers"), (2, "Corrections"), (3, "Emergency and Military Affairs"), (4, "Lottery"), (9, "board OF barbers!")], "id long, name string")
+    rows = [("equal", "BOARD of barbers"), ("shared", "barbers of the board"), ("held", "all that the corrections people of the state have said so far"), ("near", "Lotery"), ("none", "water"), ("null", None), ("empty", "--"), ("best", "military affairs and corrections")]
+    got = {r["k"]: (r["rung"], r["id"]) for r in E.match_ladder(spark.createDataFrame(rows, "k string, name string"), "k", catalog).collect()}
+    assert got == {"equal": (1, 1), "shared": (2, 1), "held": (3, 2), "near": (4, 4), "best": (2, 3)}
