@@ -62,6 +62,9 @@ def spoken(n, seed):
 def test_collocations_equal_a_plain_count(spark, monkeypatch, bits, slice_bytes, most):
     monkeypatch.setattr(phrases, "SLICE_BYTES", slice_bytes)
     monkeypatch.setattr(phrases, "MOST_WORDS", most)
+    if slice_bytes == 1 << 21:  # texts in many rows of numbers, counted a few at a time
+        monkeypatch.setattr(phrases, "PIECE_IDS", 7)
+        monkeypatch.setattr(phrases, "RUN_IDS", 20)
     rows = ODD_TEXTS + spoken(40, 3) + [("a b c", "en")] * 7
     df = spark.createDataFrame([(i, t, x, None, 0, "r", "d", 1) for i, (t, x) in enumerate(rows)], DOCS).repartition(3)
     for floor, percent in ((5, 100), (3, 60)):
