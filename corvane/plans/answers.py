@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import figures as G
 from corvane.plans.base import query, table
+from corvane.sources.shared import dealt
 
 _LINES_SQL = """o AS (SELECT l_orderkey AS k, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice, l_suppkey) AS p, list(l_suppkey ORDER BY l_linenumber, l_extendedprice, l_suppkey) AS s FROM lineitem GROUP BY l_orderkey),
 v AS (SELECT k, unnest(range(1, len(p) + 1))::INT AS i, unnest(p) AS v, unnest(s) AS doc_id FROM o)"""
@@ -34,7 +35,7 @@ def reconciled_orders(spark, sf_dir: str) -> DataFrame:
     p = [F.get("lines", F.lit(i))["p"] for i in range(3)]
     goals = [(F.round(p[0] / 1000, 1) * 1000, 50.0), (p[0] + p[1], 0.5), (p[0] + p[1] + p[2], 0.5), (F.abs(p[0] - p[1]), 0.5), ((p[1] - p[0]) / p[0] * 100, 0.5), (F.col("o_totalprice"), 500.0)]
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), g.alias("goal"), F.lit(t).alias("tolerance")) for n, (g, t) in enumerate(goals, 1)))).alias("_t")
-    targets = o.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice"), "k").select("k", each).select("k", "_t.*").where("goal IS NOT NULL")
+    targets = o.join(dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")), "k").select("k", each).select("k", "_t.*").where("goal IS NOT NULL")
     values = o.select("k", F.posexplode("lines").alias("i", "l")).select("k", (F.col("i") + 1).alias("i"), F.col("l.p").alias("v"))
     return G.reconcile(targets, values, ["k"], ["n"]).select("k", "n", "operation", F.array_join(F.transform("inputs", lambda x: x.cast("string")), ",").alias("inputs"))
 
@@ -65,7 +66,7 @@ SELECT z.k, z.n, z.text, z.verdict, z.basis, z.number::INT AS number, z.operatio
   z.ambiguity::INT AS ambiguity, z.k || '-' || z.i AS chunk_id, z.token AS source_text, z.sources, round(near_miss, 2) AS near_miss FROM z LEFT JOIN nm ON nm.k = z.k AND nm.n = z.n""")
 def annotated_answers(spark, sf_dir: str) -> DataFrame:
     """Every figure of an answer linked to its sources, derived from linked ones, or unverified; citations numbered."""
-    o = _orders(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice"), "k").where(F.size("lines") > 1)
+    o = _orders(spark, sf_dir).join(dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice")), "k").where(F.size("lines") > 1)
     p1, p2 = (F.get("lines", F.lit(i))["p"] for i in range(2))
     two, change = lambda c: F.format_number(c, 2), (p2 - p1) / p1 * 100
     signed = F.when(p2 < p1, F.concat(F.lit("$("), two(F.abs(change)), F.lit(")"))).otherwise(F.concat(F.lit("$"), two(F.abs(change))))

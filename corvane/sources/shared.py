@@ -36,6 +36,11 @@ def small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Marked for a join by exchange and sort: the files of a written table of keys are so small that Spark would gather millions of its rows in the driver to broadcast them."""
+    return df.hint("merge")
+
+
 _built: dict[tuple[str, str, tuple], DataFrame] = {}
 
 
