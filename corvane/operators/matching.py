@@ -1,13 +1,12 @@
 """Names in text and names against names: tiers of phrases that claim spans, edit ratios, bounded edit distance, ladders of rules.
 
-All pairs are found by equi-joins on keys that no wanted pair can miss (rare words, rare letter pairs, words less some
-letters) and verified after; nothing is compared with everything.
+Pairs are found by equi-joins on keys that no wanted pair can miss (rare words, words less some letters) and verified after. Ratios of edits have no rare keys:
+names meet in blocks, as products of matrices of their letter pairs, and what no product rules out is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +19,12 @@ FLOOR = 85
 WIDEST, NARROWEST = 6, 2
 CANDIDATES = 5
 COVERAGE = 0.5
+# Ratios: names of a right side that is sent to all tasks, names of a block, rows of a tile and of a profile, and slots that pairs of letters are counted in.
+CATALOG = 2_000
+RATIO_BLOCK = 16_384
+TILE = 1_024
+PROFILED = 8_192
+PAIR_SLOTS = 512
 
 # Words that say nothing of which body is meant.
 ORGANISATION_WORDS = ["board", "boards", "commission", "commissions", "department", "departments", "office", "offices", "council", "councils", "authority", "authorities", "agency", "agencies", "division", "divisions", "bureau", "bureaus", "committee", "committees"]
@@ -155,68 +160,125 @@ def token_set_ratio(a: list[str], b: list[str]) -> float:
 SCORERS = {"sort": token_sort_ratio, "set": token_set_ratio}
 
 
-def _letter_pairs(tokens: Column) -> Column:
-    """The pairs of letters of each word with a blank on either side, numbered where they come again: the same in any order of words."""
-    pairs = F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) + 1), lambda i: F.substr(F.concat(F.lit(" "), t, F.lit(" ")), i, F.lit(2)))))
-    ordered = F.array_sort(pairs)
-    first = F.transform(ordered, lambda x, i: F.concat(x, (i + 1 - F.array_position(ordered, x)).cast("string")))
-    return first
+def _profiles(names: list[str]):
+    """A row for each name (words joined by blanks): its pairs of letters, a blank on either side of each word, numbered where they come again, counted in ``PAIR_SLOTS`` slots; and its length.
 
-
-def ratio_pairs(left: DataFrame, right: DataFrame, kind: str, floor: int = FLOOR) -> DataFrame:
-    """``left, right, score``: the names (column ``name``) of both sides whose token sort or token set ratio is at least floor.
-
-    Two strings of n and m letters of a ratio r differ by at most (1 - r)(n + m) letters in or out, each of which costs at most two pairs of letters, so
-    they share at least (n + m) / 2 + 1 - 1.5 (1 - r)(n + m) pairs (floor: 70 or more): of each side's pairs, rarest first, only as many are joined on as make sure that one is shared.
-    For the token set ratio, names may also share words of most of their length: a side's rarest words, as far as they can't all be unshared, meet
-    the other side's words. Lengths and the number of shared pairs are verified before the ratio is.
+    The product of two rows is at least the number of pairs that both names have.
+    """
+    import numpy as np
+
+    size = np.array([len(n) for n in names], np.int64)
+    letters = np.frombuffer("".join(f" {n} " for n in names).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(names)), size + 2)
+    pair = (letters[:-1] << 21 | letters[1:])[owner[:-1] == owner[1:]]
+    row = np.repeat(np.arange(len(names)), size + 1)
+    order = np.lexsort((pair, row))
+    pair, row = pair[order], row[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    again = np.arange(len(pair)) - np.repeat(first, np.diff(np.append(first, len(pair))))
+    slot = ((pair * 64 + np.minimum(again, 63)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % PAIR_SLOTS
+    out = np.bincount(row * PAIR_SLOTS + slot, minlength=len(names) * PAIR_SLOTS).astype(np.float32).reshape(len(names), PAIR_SLOTS)
+    return out, size
+
+
+def _alike(left, right, kind: str, floor: int) -> Iterator[tuple[int, int]]:
+    """Places of two lists' profiles of which the ratio may reach the floor; no other pair does.
+
+    Strings of n and m letters of a ratio r differ by at most (1 - r)(n + m) letters in or out, each of which costs at most two pairs of letters, so they share at least
+    (n + m) / 2 + 1 - 1.5 (1 - r)(n + m) pairs (floor: 70 or more), and lengths are near. A token set ratio may also come from words in common, of r / (2 - r) of a side's letters: these share
+    all their pairs.
     """
+    import numpy as np
+
     share = floor / 100
-    tokens = words_of(F.col("name")) if kind == "sort" else F.array_distinct(words_of(F.col("name")))
-
-    def listed(side: DataFrame) -> DataFrame:
-        rows = side.select("name", tokens.alias("_t")).distinct().where(F.size("_t") > 0)
-        return saved(rows.withColumn("_p", _letter_pairs(F.col("_t"))).withColumn("_len", F.length(F.array_join("_t", " "))))
-
-    a, b = listed(left), listed(right)
-
-    def rarest(side: DataFrame, other: DataFrame, column: str) -> DataFrame:
-        """Each name's keys of a column, rarest first."""
-        spread = side.unionByName(other).select(F.explode(F.array_distinct(column)).alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
-        keys = side.select("name", "_len", F.explode(F.array_distinct(column)).alias("_k")).join(spread, "_k")
-        return keys.groupBy("name", "_len").agg(F.array_sort(F.collect_list(F.struct("_n", "_k"))).alias("_keys"))
-
-    # Of lengths n >= m with m >= n * share / (2 - share): shared pairs >= (n + m) / 2 + 1 - 1.5 (1 - share)(n + m), of n + 1.
-    part = 0.5 - 1.5 * (1 - share)
-    fewest = F.ceil(part * F.col("_len") * (1 + share / (2 - share)) + 1 - 1e-9)
-    pairs = [rarest(x, y, "_p").select(F.col("name").alias(n), F.col("_len").alias(f"_{n}"), F.explode(F.slice("_keys", F.lit(1), F.greatest(F.size("_keys") - fewest + 1, F.lit(1)).cast("int"))).alias("_k")).withColumn("_k", F.col("_k._k")) for x, y, n in ((a, b, "left"), (b, a, "right"))]
-    near = (2 * F.least("_left", "_right") >= (share - 1e-9) * (F.col("_left") + F.col("_right")))
-    met = pairs[0].join(pairs[1], "_k").where(near).select("left", "right").distinct()
-    whole = lambda side, n: side.select(F.col("name").alias(n), F.col("_t").alias(f"_t_{n}"), F.col("_p").alias(f"_p_{n}"), F.col("_len").alias(f"_{n}"))
-    texts = met.join(whole(a, "left"), "left").join(whole(b, "right"), "right")
-    total = F.col("_left") + F.col("_right")
-    texts = texts.where(F.size(F.array_intersect("_p_left", "_p_right")) >= F.ceil(part * total + 1 - 1e-9)).select("left", "right", "_t_left", "_t_right")
-    if kind == "set":
-        unshared = 2 * (1 - share) / share
-        unshared = unshared / (1 + unshared)
-
-        def leading(side: DataFrame, other: DataFrame, n: str) -> DataFrame:
-            k = rarest(side, other, "_t")
-            before = lambda i: F.aggregate(F.slice("_keys", F.lit(1), i), F.lit(0), lambda x, y: x + F.length(y["_k"]) + 1)
-            must = F.filter(F.transform("_keys", lambda y, i: F.struct(before(i).alias("_before"), y["_k"].alias("_k"))), lambda y: y["_before"] <= unshared * F.col("_len") + 1e-9)
-            return k.select(F.col("name").alias(n), F.explode(must).alias("_k")).withColumn("_k", F.col("_k._k"))
-
-        every = lambda side, n: side.select(F.col("name").alias(n), F.explode("_t").alias("_k"))
-        worded = leading(a, b, "left").join(every(b, "right"), "_k").unionByName(leading(b, a, "right").join(every(a, "left"), "_k")).select("left", "right").distinct()
-        texts = texts.unionByName(worded.join(whole(a, "left"), "left").join(whole(b, "right"), "right").select("left", "right", "_t_left", "_t_right")).dropDuplicates(["left", "right"])
+    for at in range(0, len(left[1]), TILE):
+        rows, n = left[0][at : at + TILE], left[1][at : at + TILE, None]
+        for begin in range(0, len(right[1]), TILE):
+            m = right[1][None, begin : begin + TILE]
+            total, least = n + m, np.minimum(n, m)
+            need = np.where(2 * least >= (share - 1e-9) * total, (0.5 - 1.5 * (1 - share)) * total + 1, np.inf)
+            if kind == "set":
+                need = np.minimum(need, share / (2 - share) * least + 1)
+            i, j = np.nonzero(rows @ right[0][begin : begin + TILE].T >= (need - 1e-3).astype(np.float32))
+            yield from zip((i + at).tolist(), (j + begin).tolist())
+
+
+def _normal_tokens(kind: str) -> Column:
+    tokens = words_of(F.col("name"))
+    return F.array_join(tokens if kind == "sort" else F.array_distinct(tokens), " ").alias("_t")
+
+
+def catalog_ratios(rows: DataFrame, names: DataFrame, kind: str, floor: int = FLOOR) -> DataFrame:
+    """The rows (column ``name`` and more) with each name (column ``name``) of a token sort or token set ratio of floor or more: ``right, score``. Names are sent to all tasks; no row is moved."""
+    known = [tuple(r) for r in names.select("name", _normal_tokens(kind)).distinct().where("_t <> ''").collect()]
+    words = [t.split(" ") for _, t in known]
     scorer = SCORERS[kind]
+    columns = [*rows.columns, "right", "score"]
+    asked = rows.select(*rows.columns, _normal_tokens(kind)).where("_t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = _profiles([t for _, t in known])
         for batch in batches:
-            scores = pa.array([scorer(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.float64())
-            yield pa.record_batch([batch.column(0), batch.column(1), scores], ["left", "right", "score"])
+            of_text: dict[str, list[tuple[int, float]]] = {}
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            every = list(dict.fromkeys(texts))
+            for begin in range(0, len(every), PROFILED):
+                own = every[begin : begin + PROFILED]
+                for i, j in _alike(_profiles(own), right, kind, floor):
+                    score = scorer(own[i].split(" "), words[j])
+                    if score >= floor - 1e-9:
+                        of_text.setdefault(own[i], []).append((j, score))
+            hits = [(row, j, score) for row, t in enumerate(texts) for j, score in of_text.get(t, ())]
+            kept = batch.take(pa.array([row for row, _, _ in hits], pa.int64()))
+            yield pa.record_batch([*kept.columns[:-1], pa.array([known[j][0] for _, j, _ in hits], pa.string()), pa.array([score for _, _, score in hits], pa.float64())], columns)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return asked.mapInArrow(run, f"{kinds}, right string, score double")
+
+
+def ratio_pairs(left: DataFrame, right: DataFrame, kind: str, floor: int = FLOOR, ordered: bool = False) -> DataFrame:
+    """``left, right, score``: the names (column ``name``) of both sides whose token sort or token set ratio is at least floor; ``ordered``: only those with left < right.
+
+    A small right side is sent to all tasks. Else both sides are dealt to blocks, and each block meets each other in one task, which holds no more than the two and a tile of their product: by pairs of letters
+    in common (see ``_alike``), and the ratio of what is left. (Of ordered pairs of one set, blocks meet once.)
+    """
+    same = left is right and ordered
+    a = saved(left.select("name", _normal_tokens(kind)).distinct().where("_t <> ''"))
+    b = (a if same else saved(right.select("name", _normal_tokens(kind)).distinct().where("_t <> ''"))).select(F.col("name").alias("name"), F.col("_t").alias("_t"))
+    n, m = a.count(), b.count()
+    if m <= CATALOG and not same:
+        out = catalog_ratios(a.select("name"), b.select("name"), kind, floor).withColumnRenamed("name", "left")
+        return out.where("left < right") if ordered else out
+    size = min(max(max(n, m) // 16, 256), RATIO_BLOCK)
+    blocks = [max(-(-k // size), 1) for k in (n, m)]
+    numbered = lambda side, k, own: side.withColumn(own, F.pmod(F.xxhash64("_t"), F.lit(k)).cast("int"))
+    meets = lambda df, own, other, low, high: df.select("name", "_t", own, F.explode(F.sequence(low, high)).alias(other))
+    zero = F.lit(0)
+    lefts = meets(numbered(a, blocks[0], "_i"), "_i", "_j", F.col("_i") if same else zero, F.lit(blocks[1] - 1))
+    rights = meets(numbered(b, blocks[1], "_j"), "_j", "_i", zero, F.col("_j") if same else F.lit(blocks[0] - 1))
+    scorer = SCORERS[kind]
 
-    return texts.mapInArrow(run, "left string, right string, score double").where(F.col("score") >= floor - 1e-9)
+    def run(key, one: pa.Table, two: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = [], [], []
+        once = same and key[0].as_py() == key[1].as_py()
+        if one.num_rows and two.num_rows:
+            (x, s), (y, t) = ((z.column("name").to_pylist(), z.column("_t").to_pylist()) for z in (one, two))
+            s_words, t_words = ([n.split(" ") for n in z] for z in (s, t))
+            for i, j in _alike(_profiles(s), _profiles(t), kind, floor):
+                if (once or (ordered and not same)) and x[i] >= y[j]:
+                    continue
+                score = scorer(s_words[i], t_words[j])
+                if score >= floor - 1e-9:
+                    swap = same and x[i] > y[j]
+                    out[0].append(y[j] if swap else x[i])
+                    out[1].append(x[i] if swap else y[j])
+                    out[2].append(score)
+        return pa.table({"left": pa.array(out[0], pa.string()), "right": pa.array(out[1], pa.string()), "score": pa.array(out[2], pa.float64())})
+
+    columns = ["name", "_t", "_i", "_j"]
+    return lefts.select(*columns).groupBy("_i", "_j").cogroup(rights.select(*columns).groupBy("_i", "_j")).applyInArrow(run, "left string, right string, score double")
 
 
 def unique_winners(pairs: DataFrame) -> DataFrame:
@@ -235,13 +297,16 @@ def fuzzy_windows(rows: DataFrame, key: str, text: str, names: DataFrame, floor:
     listed = rows.select(key, F.filter(words_of(F.col(text)), lambda w: F.length(w) > 1).alias("_w"))
     sizes = F.filter(F.sequence(F.lit(NARROWEST), F.lit(WIDEST)), lambda s: s <= F.size("_w"))
     each = listed.select(key, "_w", F.explode(sizes).alias("size")).select(key, "size", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("size") + 1), lambda i: F.array_join(F.slice("_w", i, F.col("size")), " "))).alias("start", "window"))
-    each = saved(each.where((F.length("window") >= 4) & usable(F.col("window"))))
-    pairs = ratio_pairs(each.select(F.col("window").alias("name")), names, "set", floor)
-    best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("left").orderBy(F.desc("score"), "right"))).where(F.col("_n") <= CANDIDATES)
-    held = F.size(F.split("left", " ")) >= COVERAGE * F.size(F.split("right", " "))
-    first = best.where(held).groupBy("left").agg(F.min_by(F.struct("right", "score"), "_n").alias("_b"))
-    hits = each.join(first, each["window"] == first["left"]).groupBy(key).agg(F.min_by(F.struct("window", "_b"), F.struct(-F.col("size"), "start")).alias("_h"))
-    return hits.select(key, "_h.window", F.col("_h._b.right").alias("name"), F.col("_h._b.score").alias("score")).join(names, "name").select(key, "window", "name", "id", "score")
+    each = each.where((F.length("window") >= 4) & usable(F.col("window"))).withColumn("name", F.col("window"))
+    if names.count() <= CATALOG:  # windows are met where they are made
+        met = catalog_ratios(each, names, "set", floor).drop("name")
+    else:
+        each = saved(each)
+        met = each.join(ratio_pairs(each.select("name"), names, "set", floor).withColumnRenamed("left", "name"), "name").drop("name")
+    best = met.withColumn("_n", F.row_number().over(Window.partitionBy(key, "size", "start").orderBy(F.desc("score"), "right"))).where(F.col("_n") <= CANDIDATES)
+    held = F.size(F.split("window", " ")) >= COVERAGE * F.size(F.split("right", " "))
+    hits = best.where(held).groupBy(key).agg(F.min_by(F.struct("window", "right", "score"), F.struct(-F.col("size"), "start", "_n")).alias("_h"))
+    return hits.select(key, "_h.window", F.col("_h.right").alias("name"), F.col("_h.score").alias("score")).join(names, "name").select(key, "window", "name", "id", "score")
 
 
 # bounded edit distance

@@ -106,7 +106,7 @@ SELECT 'sort' AS kind, "left", "right", round(sorted, 4) AS score FROM v WHERE s
 def fuzzy_title_pairs(spark, sf_dir: str) -> DataFrame:
     """All pairs of titles whose token sort or token set ratio is 85 or more."""
     names = _titles(spark, sf_dir).select("name").distinct()
-    pairs = [M.ratio_pairs(names, names, kind).where(F.col("left") < F.col("right")).select(F.lit(kind).alias("kind"), "left", "right", F.round("score", 4).alias("score")) for kind in ("sort", "set")]
+    pairs = [M.ratio_pairs(names, names, kind, ordered=True).select(F.lit(kind).alias("kind"), "left", "right", F.round("score", 4).alias("score")) for kind in ("sort", "set")]
     return pairs[0].unionByName(pairs[1])
 
 

@@ -104,6 +104,29 @@ def test_ratio_pairs_lose_none(spark, kind, floor):
     assert got == want and len(want) > 200
 
 
+@pytest.mark.parametrize("kind", ["sort", "set"])
+@pytest.mark.parametrize("ordered", [False, True])
+def test_ratio_pairs_of_blocks_lose_none(spark, monkeypatch, kind, ordered):
+    monkeypatch.setattr(M, "CATALOG", 0)
+    monkeypatch.setattr(M, "RATIO_BLOCK", 40)
+    monkeypatch.setattr(M, "TILE", 16)
+    names = spark.createDataFrame([(n,) for n in some_names(3, 130)], "name string")
+    df = M.ratio_pairs(names, names, kind, ordered=ordered)
+    assert "SortMergeJoin" not in df._jdf.queryExecution().toString()  # pairs that share a key aren't listed, only those of the floor leave a task
+    got = [(r["left"], r["right"], round(r["score"], 6)) for r in df.collect()]
+    own = {x for x in some_names(3, 130) if x}
+    scores = [(a, b, round(M.SCORERS[kind](words(a), words(b)), 6)) for a in own for b in own if a < b or not ordered]
+    assert sorted(got) == sorted(x for x in scores if x[2] >= 85 - 1e-9) and len(got) > 100
+
+
+def test_windows_are_not_written(spark, monkeypatch):
+    written, save = [], M.saved
+    monkeypatch.setattr(M, "saved", lambda df: written.append(df.count()) or save(df))
+    texts = spark.createDataFrame([(0, "how did emergancy and military afairs spend " * 40)], "k long, t string")
+    got = M.fuzzy_windows(texts, "k", "t", spark.createDataFrame([("Emergency and Military Affairs", 1)], "name string, id long")).collect()
+    assert [r["id"] for r in got] == [1] and max(written) == 1
+
+
 def test_known_ratios():
     assert M.token_set_ratio(["arizona"], "osteopathic examiners arizona".split()) == 100
     assert M.token_sort_ratio("board of barbers".split(), "barbers board of".split()) == 100
