@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.sources.shared import saved, small
+from corvane.sources.shared import dealt, saved, small
 
 WORD = "[\\p{L}\\p{N}]+"
 FLOOR = 85
@@ -375,7 +375,7 @@ def stamped(rows: DataFrame, key: str, slugs: DataFrame, names: DataFrame, floor
     by_slug = saved(first_rung([exact, prefix], [key]))
 
     normal = lambda c: F.array_join(words_of(c), " ")
-    left = rows.join(by_slug.select(key), key, "left_anti").select(key, F.posexplode("lines").alias("_at", "_line"))
+    left = rows.join(dealt(by_slug.select(key)), key, "left_anti").select(key, F.posexplode("lines").alias("_at", "_line"))
     left = saved(left.select(key, "_at", "_line", normal(F.col("_line")).alias("name")).where("name <> ''"))
     known = saved(names.select(normal(F.col("name")).alias("name"), "id").where("name <> ''").distinct())
     first = F.min(F.struct("_at", "id", "name")).alias("_b")
@@ -384,7 +384,7 @@ def stamped(rows: DataFrame, key: str, slugs: DataFrame, names: DataFrame, floor
     turned = F.when(comma != "", F.concat_ws(" ", comma, F.substring_index("_line", ",", 1))).otherwise(F.regexp_replace("_line", f"(?i){LEADING_BODY}", "$2, $1 of"))
     inverted = left.select(key, "_at", normal(turned).alias("name")).join(known, "name").groupBy(key).agg(first)
     alike = unique_winners(ratio_pairs(left.select("name"), known.select("name"), "sort", floor).join(known.withColumnRenamed("name", "right"), "right"))
-    near = left.join(alike.select(F.col("left").alias("name"), "id"), "name").groupBy(key).agg(first)
+    near = left.join(dealt(alike.select(F.col("left").alias("name"), "id")), "name").groupBy(key).agg(first)
     told = [b.select(key, "_b.id", F.col("_b.name").alias("evidence")) for b in (as_is, inverted, near)]
     by_line = first_rung(told, [key]).withColumn("rung", F.col("rung") + 2)
     columns = [key, "rung", "id", "evidence"]

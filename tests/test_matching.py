@@ -198,6 +198,17 @@ def test_every_rung_of_the_ladder_decides(spark):
     assert got == {"exact": (1, 1), "prefix": (2, 1), "longest": (2, 2), "name": (3, 12), "turned": (4, 10), "comma": (4, 12), "fuzzy": (5, 10), "later": (5, 11)}
 
 
+def test_the_ladder_gathers_no_rows_of_pages(spark, monkeypatch):
+    plans, save = [], M.saved
+    monkeypatch.setattr(M, "saved", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(df))
+    slugs, names = spark.createDataFrame([("axs", 1)], "slug string, id long"), spark.createDataFrame([("Health Services", 12)], "name string, id long")
+    rows = spark.createDataFrame([(i, "axs" if i % 2 else None, ["Helth Services", f"line {i}"]) for i in range(50)], "k long, slug string, lines array<string>")
+    df = M.stamped(rows, "k", slugs, names)
+    lefts = [line for p in plans for line in p.splitlines() if "LeftAnti" in line]
+    assert lefts and not any("Broadcast" in line for line in lefts)
+    assert {(r["rung"], r["id"]) for r in df.collect()} == {(1, 1), (5, 12)}
+
+
 def test_unique_winners(spark):
     pairs = spark.createDataFrame([("a", "x", 1, 90.0), ("a", "y", 2, 90.0), ("b", "x", 1, 91.0), ("b", "y", 2, 90.0), ("c", "x", 1, 90.0), ("c", "z", 1, 90.0)], "left string, right string, id long, score double")
     assert {(r["left"], r["id"]) for r in M.unique_winners(pairs).collect()} == {("b", 1), ("c", 1)}
