@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from corvane.operators import pages as P
 from corvane.plans.base import query, table
 
+LAST = 2**31 - 1
+
 _LINES_SQL = """l AS (SELECT l_orderkey AS k, year(l_shipdate) AS y, l_partkey AS p, l_suppkey AS s, l_extendedprice AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem)"""
 
 
 def _lines(spark, sf_dir: str) -> DataFrame:
-    """``k, lines``: an order's lines by day of shipment."""
+    """``k, lines, years``: an order's lines by day of shipment, and the years of these."""
     line = F.struct("l_shipdate", "l_linenumber", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_extendedprice").alias("v"), F.year("l_shipdate").alias("y"))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines")).withColumn("years", F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["y"]))))
 
 
 def _markup(lines: DataFrame) -> DataFrame:
     """A table with a column a year: what a line has no amount for is one empty cell that spans the columns before or after."""
-    years = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["y"])))
+    years = F.col("years")
     head = F.concat(F.lit("<table><tr><th>Part</th>"), F.array_join(F.transform(years, lambda y: F.format_string("<th>FY %d actual</th>", y)), ""), F.lit("</tr>"))
     gap = lambda n: F.when(n > 0, F.format_string('<td colspan="%d"></td>', n)).otherwise("")
 
@@ -47,12 +49,14 @@ def built_chunks(spark, sf_dir: str) -> DataFrame:
     """Blocks of pages to chunks: tables first, then the text of each section."""
     o = _lines(spark, sf_dir)
     block = lambda kind, level, text: F.struct(F.lit(kind).alias("kind"), F.lit(level).cast("int").alias("level"), text.alias("text"))
-    years = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["y"])))
+    years = F.col("years")
     per_year = F.flatten(F.transform(years, lambda y: F.concat(F.array(block("heading", 2, F.format_string("FY %d", y))), F.transform(F.filter("lines", lambda x: x["y"] == y), lambda x: block("paragraph", None, F.format_string("Part %d of supplier %d.", x["p"], x["s"]))))))
-    listed = F.concat(F.array(block("heading", 1, F.format_string("Order %d", "k"))), per_year, F.array(block("table", None, F.lit("Amounts"))))
-    blocks = o.select(F.col("k").cast("string").alias("doc"), F.posexplode(listed).alias("at", "b")).select("doc", F.lit(1).alias("page"), "at", "b.*")
-    cells = P.table_cells(_markup(o), ["k"], "html").select(F.col("k").cast("string").alias("doc"), "cells", F.lit("table").alias("kind"))
-    chunks = P.build_chunks(blocks.join(cells, ["doc", "kind"], "left"))
+    listed = F.concat(F.array(block("heading", 1, F.format_string("Order %d", "k"))), per_year)
+    blocks = o.select(F.col("k").cast("string").alias("doc"), F.posexplode(listed).alias("at", "b")).select("doc", F.lit(1).alias("page"), "at", "b.*", F.lit(None).cast(P.CELLS).alias("cells"))
+    # The table comes last, after the order's heading, years and lines.
+    table_ = P.table_cells(_markup(o).withColumn("at", F.lit(LAST)), ["k", "at"], "html")
+    table_ = table_.select(F.col("k").cast("string").alias("doc"), F.lit(1).alias("page"), "at", F.lit("table").alias("kind"), F.lit(None).cast("int").alias("level"), F.lit("Amounts").alias("text"), "cells")
+    chunks = P.build_chunks(blocks.unionByName(table_))
     return chunks.select("chunk_id", F.col("n").cast("long").alias("n"), "is_table", F.array_join("section", " > ").alias("section"), "text")
 
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -67,6 +68,27 @@ def test_files_to_chunks_and_amounts(spark, tmp_path):
     blocks.unpersist()
 
 
+def test_sections_of_deep_headings_in_one_written_table(spark):
+    from corvane.sources.shared import shared_folder
+
+    rng = random.Random(5)
+    levels = [rng.choice([1, 2, 3, 4, 6, 7, None]) for _ in range(40)]
+    rows, heads, want = [], [], {}
+    for i, level in enumerate(levels):
+        rows += [("d", 1, 2 * i, "heading", level, f"h{i}", None), ("d", 1, 2 * i + 1, "paragraph", None, f"p{i}", None)]
+        heads.append((level, f"h{i}"))
+        path, now = [heads[-1][1]], level
+        for k, title in reversed(heads[:-1]):
+            if now is not None and k is not None and k < now and k <= 6:
+                path.insert(0, title)
+                now = k
+        want[f"p{i}"] = path
+    tables = Path(shared_folder(spark)[5:] if shared_folder(spark).startswith("file:") else shared_folder(spark)) / "tables"
+    before = len(list(tables.glob("*")))
+    got = {r["text"]: list(r["section"]) for r in P.build_chunks(spark.createDataFrame(rows, P.BLOCKS)).collect()}
+    assert got == want and len(list(tables.glob("*"))) == before + 1  # no table for each round of paths
+
+
 def test_no_pages(spark):
     assert P.build_chunks(spark.createDataFrame([], P.BLOCKS)).count() == 0
 
