@@ -19,13 +19,16 @@ import json
 import numpy as np
 import regex
 
-from corvane.llm.common import span_hashes
+from corvane.llm import common
+from corvane.llm.common import mix64
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_CHUNKS = 400_000
 CACHE_BYTES = 16 << 20
 LONG_WORD = 64  # bytes; longer words are merged one by one, with a heap
+SIDE_BY_SIDE = 8  # bytes that lengths of words merged together are rounded up to
+LANED = 64  # bytes of the longest chunk that is hashed eight bytes at a time, all chunks at once
 NEVER = np.int64(1) << 40
 
 
@@ -233,28 +236,46 @@ class PairModel:
         return out, n
 
     def merge_all(self, words: list[bytes], failing: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Exact merging of the failing words, those of one length side by side: one merge of each word a step."""
+        """Exact merging of the failing words, those of about one length side by side: one merge of each word a step."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
         by_size: dict[int, list[int]] = {}
         for i in failing.tolist():
-            by_size.setdefault(len(words[i]), []).append(i)
+            by_size.setdefault(-(-len(words[i]) // SIDE_BY_SIDE) * SIDE_BY_SIDE, []).append(i)
         start = np.array(self.byte_id, np.int64)
-        for size, members in by_size.items():
-            if size > LONG_WORD:
+        for width, members in by_size.items():
+            if width > LONG_WORD:
                 out += [(np.array([i]), np.array([self.exact(words[i])])) for i in members]
                 continue
             at = np.array(members)
-            ids = start[np.frombuffer(b"".join([words[i] for i in members]), np.uint8).reshape(-1, size)]
+            left = np.fromiter((len(words[i]) for i in members), np.int64, len(members))
+            ids = start[np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in members]), np.uint8).reshape(-1, width)]
+            ids[np.arange(width) >= left[:, None]] = -1  # behind the word; such a pair is no key
+            # The merge of each pair is looked up once; a merge changes but the pairs on either side of it.
+            # Columns of pairs without a merge stand before the first and after the last place.
+            rank, new = (np.pad(x, ((0, 0), (1, 1)), constant_values=c) for x, c in zip(self.merges.find((ids[:, :-1] << 32) | ids[:, 1:]), (NEVER, 0)))
             while len(at):
-                rank, new = self.merges.find((ids[:, :-1] << 32) | ids[:, 1:]) if ids.shape[1] > 1 else (np.full((len(at), 1), NEVER),) * 2
                 best = rank.argmin(1)
                 rows = np.arange(len(at))
                 live = rank[rows, best] < NEVER
-                out.append((at[~live], ids[~live]))
-                at, best, new, ids = at[live], best[live], new[rows, best][live], ids[live]
-                ids[np.arange(len(at)), best] = new
-                keep = np.arange(ids.shape[1] - 1)
-                ids = np.take_along_axis(ids, keep + (keep > best[:, None]), 1)
+                if not live.all():
+                    out += [(at[own], ids[own, :n]) for n in np.unique(left[~live]).tolist() if len(own := np.flatnonzero(~live & (left == n)))]
+                    at, best, left, ids, rank, new = at[live], best[live], left[live], ids[live], rank[live], new[live]
+                    rows = rows[: len(at)]
+                    if not len(at):
+                        break
+                ids[rows, best - 1] = new[rows, best]
+                left -= 1
+                # Without the place of the second token, and without the pair of the two.
+                moved = np.arange(ids.shape[1]) >= best[:, None]
+                flat = np.arange(ids.shape[1] - 1) + moved[:, :-1]
+                ids = ids.ravel()[flat + (rows * ids.shape[1])[:, None]]
+                flat = np.arange(rank.shape[1] - 1) + moved
+                flat += (rows * rank.shape[1])[:, None]
+                rank, new = rank.ravel()[flat], new.ravel()[flat]
+                # The pair before the merged token is pair best - 1 now, the one after it pair best.
+                for place, there in ((best - 1, best > 1), (best, best < ids.shape[1])):
+                    r, p = rows[there], place[there]
+                    rank[r, p], new[r, p] = self.merges.find((ids[r, p - 1] << 32) | ids[r, p])
         return out
 
     def encode_chunks(self, chunks: list[bytes], inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,21 +284,26 @@ class PairModel:
         ``inner`` marks chunks that begin with a lone space and end with a visible character: joined, they
         are cut as each alone is, so the pattern runs once over all of them.
         """
-        texts = [c.decode() for c in chunks]
         number: dict[str, int] = {}
         word_of: list[int] = []
         count = np.zeros(len(chunks), np.int64)
         special = np.zeros(len(chunks), bool)
-        if self.special_cut is not None:
-            special[[i for i, t in enumerate(texts) if self.special_cut.search(t)]] = True
+        raw = b"".join(chunks)
+        if self.special_cut is not None and self.special_cut.search(raw.decode()):
+            special[[i for i, c in enumerate(chunks) if self.special_cut.search(c.decode())]] = True
         joined = np.flatnonzero(inner & ~special)
-        found = self.words.findall("".join([texts[i] for i in joined]))
+        if len(joined) < len(chunks):
+            raw = b"".join([chunks[i] for i in joined])
+        found = self.words.findall(raw.decode())
         if len(joined):
-            ends = np.cumsum(np.fromiter((len(texts[i]) for i in joined), np.int64, len(joined)))
+            # Where chunks end, in characters: bytes that don't go on with one.
+            sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))[joined]
+            ends = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[np.cumsum(sizes) - 1]
             count[joined] = np.diff(np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends, "right"), prepend=0)
         lone = np.flatnonzero(~inner | special)
         for i in lone:
-            pieces = self.special_cut.split(texts[i]) if special[i] else (texts[i],)
+            own_text = chunks[i].decode()
+            pieces = self.special_cut.split(own_text) if special[i] else (own_text,)
             own = [w for p in pieces for w in ((p,) if p in self.specials else self.words.findall(p))]
             found += own
             count[i] = len(own)
@@ -306,6 +332,8 @@ class PairModel:
         return raw.decode("utf-8", "replace").encode()
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 # Bytes by what a cut may follow or precede.
 _GRAPHIC = np.zeros(256, bool)
 _GRAPHIC[0x21:0x7F] = True
@@ -338,6 +366,24 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return starts, inner
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every chunk: eight bytes after the other are mixed in, for all chunks at once; only those over ``LANED`` bytes are hashed one by one."""
+    size = ends - starts
+    out = mix64(size.astype(np.uint64))
+    lanes = np.lib.stride_tricks.as_strided(np.concatenate([data, np.zeros(8, np.uint8)]), (len(data) + 1, 8), (1, 1))
+    on = np.flatnonzero(size <= LANED)
+    for at in range(0, LANED, 8):
+        on = on[size[on] > at]
+        if not len(on):
+            break
+        word = lanes[starts[on] + at].view("<u8").ravel()
+        word &= _FIRST_BYTES[np.minimum(size[on] - at, 8)]
+        out[on] = mix64(out[on] * _ODD + word)
+    long = np.flatnonzero(size > LANED)
+    out[long] = common.span_hashes(data, starts[long], ends[long])
+    return out
+
+
 class ChunkEncoder:
     """Ids of whole texts, batch by batch, with the ids of known chunks in sorted arrays."""
 

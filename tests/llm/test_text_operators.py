@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corvane.llm import bpe, html_text, language_id, packing, pseudonyms, quality_classifier, quality_rules, tokenizing
+from corvane.llm import bpe, common, html_text, language_id, packing, pseudonyms, quality_classifier, quality_rules, tokenizing
 from corvane.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +64,27 @@ def test_chunks_of_one_hash_are_told_apart(monkeypatch):
     check(enc)
 
 
+def test_a_merge_looks_up_only_the_pairs_beside_it(monkeypatch):
+    """op7: exact merging looks each pair up once and two pairs a merge, words of about one length side by side; spans over eight bytes are hashed all at once."""
+    model = bpe.PairModel(PATH)
+    rng = random.Random(8)
+    words = [("".join(rng.choices("aeioutrnsé½三 ", k=rng.randint(1, 60)))).encode()[:80] for _ in range(400)] + [bytes([b]) for b in range(256)] + [b"ab" * 32, b"ab" * 33]
+    asked, find = [], model.merges.find
+    monkeypatch.setattr(model.merges, "find", lambda keys: asked.append(keys.size) or find(keys))
+    got = {int(i): ids.tolist() for at, rows in model.merge_all(words, np.arange(len(words))) for i, ids in zip(at, rows)}
+    assert got == {i: model.exact(w) for i, w in enumerate(words)}
+    assert sum(asked) < 4 * sum(map(len, words)) and len(asked) < 600
+
+    spans = sorted({bytes(rng.choices(b"ab\0", k=rng.randint(1, 70))) for _ in range(3000)})
+    data, ends = np.frombuffer(b"".join(spans), np.uint8), np.cumsum([len(x) for x in spans])
+    starts = ends - [len(x) for x in spans]
+    digests = []
+    monkeypatch.setattr(common, "blake2b", lambda *a, **k: digests.append(1) or hashlib.blake2b(*a, **k))
+    hashes = bpe.span_hashes(data, starts, ends)
+    assert len(set(hashes.tolist())) == len(spans) and len(digests) == sum(len(x) > bpe.LANED for x in spans)
+    assert np.array_equal(bpe.span_hashes(data[starts[9] :], starts[9:] - starts[9], ends[9:] - starts[9]), hashes[9:])
+
+
 def test_incompatible_pairs_are_found():
     model = bpe.PairModel(PATH)
     tok = Tokenizer.from_file(PATH)
