@@ -19,6 +19,7 @@ FLOOR = 85
 WIDEST, NARROWEST = 6, 2
 CANDIDATES = 5
 COVERAGE = 0.5
+PIECED = 16  # letters of a word up to which it is listed less some letters
 # Ratios: names of a right side that is sent to all tasks, names of a block, rows of a tile and of a profile, and slots that pairs of letters are counted in.
 CATALOG = 2_000
 RATIO_BLOCK = 16_384
@@ -320,17 +321,30 @@ def near_words(left: DataFrame, right: DataFrame, word: str = "word") -> DataFra
     """``left, right, distance``: words that are equal, or with 5 letters or more (of the longer) one edit apart, or with 8 or more two.
 
     Words that few edits part become equal by leaving out as many letters on either side: each word is listed under itself less up to two letters, lists
-    meet by an equi-join, and the distance is verified.
+    meet by an equi-join, and the distance is verified. Such lists grow with the square of a word's letters, so where the right one has more than ``PIECED`` it is cut in
+    three: two edits leave one of the pieces whole, and the left one holds it at most two letters away from its place.
     """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # short as the words are, there is much to do for each
+    words = lambda side: side.select(F.col(word).alias("w")).where(F.col("w").isNotNull()).repartition(tasks, "w").distinct()
+    w, letters = F.col("w"), F.length("w")
 
     def variants(side: DataFrame, name: str) -> DataFrame:
-        w = F.col("w")
-        once = F.when(F.length(w) >= 4, _less_one(w)).otherwise(F.array().cast("array<string>"))
-        twice = F.when(F.length(w) >= 6, F.flatten(F.transform(once, _less_one))).otherwise(F.array().cast("array<string>"))
-        rows = side.select(F.col(word).alias("w")).where(F.col("w").isNotNull()).distinct()
-        return rows.select(F.col("w").alias(name), F.explode(F.array_distinct(F.concat(F.array(w), once, twice))).alias("_v"))
-
-    met = variants(left, "left").join(variants(right, "right"), "_v").select("left", "right").distinct()
+        once = F.when(letters >= 4, _less_one(w)).otherwise(F.array().cast("array<string>"))
+        twice = F.when(letters >= 6, F.flatten(F.transform(once, _less_one))).otherwise(F.array().cast("array<string>"))
+        return side.select(w.alias(name), F.explode(F.array_distinct(F.concat(F.array(w), once, twice))).alias("_v"))
+
+    def pieces(side: DataFrame, name: str, away: int) -> DataFrame:
+        near = F.explode(F.sequence(F.lit(-away), F.lit(away)))
+        cut = lambda i: F.floor(i * F.col("_n") / 3).cast("int")
+        sized = side.select("w", near.alias("_away")).select("w", (letters + F.col("_away")).alias("_n")).where(F.col("_n") > PIECED)
+        each = sized.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_i")).select("*", near.alias("_away"))
+        start, size = cut(F.col("_i")) + F.col("_away"), cut(F.col("_i") + 1) - cut(F.col("_i"))
+        return each.where((start >= 0) & (start + size <= letters)).select(w.alias(name), "_n", "_i", F.substr(w, start + 1, size).alias("_v"))
+
+    a, b = words(left), words(right)
+    short = variants(a.where(letters <= PIECED + 2), "left").join(variants(b.where(letters <= PIECED), "right"), "_v")
+    long = pieces(a.where(letters > PIECED - 2), "left", 2).join(pieces(b.where(letters > PIECED), "right", 0), ["_n", "_i", "_v"])
+    met = short.select("left", "right").unionByName(long.select("left", "right")).distinct()
     longest = F.greatest(F.length("left"), F.length("right"))
     most = F.when(longest >= 8, 2).when(longest >= 5, 1).otherwise(0)
     return met.withColumn("distance", F.levenshtein("left", "right")).where(F.col("distance") <= most)
