@@ -19,6 +19,7 @@ FLOOR = 85
 WIDEST, NARROWEST = 6, 2
 CANDIDATES = 5
 COVERAGE = 0.5
+SPAN_LETTERS = 1 << 22  # of the texts whose claims one task settles
 PIECED = 16  # letters of a word up to which it is listed less some letters
 # Ratios: names of a right side that is sent to all tasks, names of a block, rows of a tile and of a profile, and slots that pairs of letters are counted in.
 CATALOG = 2_000
@@ -42,6 +43,7 @@ def claimed_spans(rows: DataFrame, key: str, text: str, phrases: DataFrame, word
 
     Lower tiers go first, in a tier longer phrases (by letters, or else by words), then earlier places; what a phrase has claimed is hidden from all after it. A position carries
     as many words as the longest phrase has, not its text. Phrases meet the texts through their first word.
+    A task gets the hits of ``SPAN_LETTERS`` letters of texts, so what it sorts doesn't grow with the tables.
     """
     catalog = saved(phrases.select("tier", "phrase", words(F.col("phrase")).alias("_n")).where(F.size("_n") > 0).distinct().withColumn("_first", F.get("_n", F.lit(0))))
     longest = catalog.agg(F.max(F.size("_n"))).first()[0] or 1
@@ -65,7 +67,9 @@ def claimed_spans(rows: DataFrame, key: str, text: str, phrases: DataFrame, word
 
     kind = rows.schema[key].dataType.simpleString()
     order = ["key", "tier", F.desc("_long"), "start", "phrase"]
-    spans = hits.repartition("key").sortWithinPartitions(*order).mapInArrow(run, f"key {kind}, tier int, phrase string, start int, end int, _long int")
+    letters = rows.agg(F.sum(F.length(text))).first()[0] or 0
+    tasks = max(-(-int(letters) // SPAN_LETTERS), rows.sparkSession.sparkContext.defaultParallelism)
+    spans = hits.repartition(tasks, "key").sortWithinPartitions(*order).mapInArrow(run, f"key {kind}, tier int, phrase string, start int, end int, _long int")
     return spans.select(F.col("key").alias(key), "tier", "phrase", "start", "end")
 
 
