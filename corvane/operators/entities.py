@@ -54,8 +54,8 @@ def near_word(a: Column, b: Column) -> Column:
     return (a == b) | ((longest >= 8) & (F.levenshtein(a, b) <= 2)) | ((longest >= 5) & (F.levenshtein(a, b) <= 1))
 
 
-def tolerance_join(targets: DataFrame, sources: DataFrame, by: str, target: str, value: str, width: str, source_key: str) -> DataFrame:
-    """Targets with the first source of the same ``by`` whose value is within ``greatest(width, 0.5)``, by ``source_key``.
+def tolerance_join(targets: DataFrame, sources: DataFrame, by: str, target: str, value: str, width: str, source_key: str, each: list[str] | None = None) -> DataFrame:
+    """Targets with the first source of the same ``by`` whose value is within ``greatest(width, 0.5)``, by ``source_key`` and value; ``each``: what one is kept for (all columns of the targets).
 
     Values are dealt to buckets of the largest width, and a target looks into its own and the two beside it: an equi-join.
     """
@@ -63,7 +63,7 @@ def tolerance_join(targets: DataFrame, sources: DataFrame, by: str, target: str,
     t = targets.crossJoin(size).withColumn("_bucket", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.floor(F.col(target) / F.col("_size")) + i)))
     s = sources.crossJoin(size).select(by, value, source_key, F.floor(F.col(value) / F.col("_size")).alias("_bucket"))
     hit = t.join(s, [by, "_bucket"]).where(F.abs(F.col(value) - F.col(target)) <= F.greatest(F.col(width), F.lit(0.5)))
-    w = Window.partitionBy(*targets.columns).orderBy(source_key)
+    w = Window.partitionBy(*(each or targets.columns)).orderBy(source_key, value)
     return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*targets.columns, source_key, value)
 
 

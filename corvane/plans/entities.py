@@ -69,8 +69,9 @@ h AS (SELECT t.*, s.l_linenumber, s.v, row_number() OVER (PARTITION BY t.o_order
 def tolerance_join(spark, sf_dir: str) -> DataFrame:
     """Written totals against line amounts within half the last place."""
     t = table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 10, 0).alias("target"), F.lit(5.0).alias("width"))
-    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.round(F.col("l_extendedprice") / 10, 2).alias("v"))
-    return E.tolerance_join(t, s, "o_orderkey", "target", "v", "width", "l_linenumber")
+    cents = F.round(F.col("l_extendedprice") / 10 * 100, 0) / 100  # as the SQL rounds: by the product, not by the written decimals
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", cents.alias("v"))
+    return E.tolerance_join(t, s, "o_orderkey", "target", "v", "width", "l_linenumber", each=["o_orderkey"])
 
 
 @query("""WITH d AS (SELECT o_orderkey, l_linenumber, abs(l_extendedprice - o_totalprice) / o_totalprice AS dist FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_totalprice > 0)
