@@ -59,12 +59,10 @@ def built_chunks(spark, sf_dir: str) -> DataFrame:
     return chunks.select("chunk_id", F.col("n").cast("long").alias("n"), "is_table", F.array_join("section", " > ").alias("section"), "text")
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, p_brand AS page, (p_partkey * 37 % 900)::DOUBLE AS x, (p_partkey * 53 % 900)::DOUBLE AS y, p_size::DOUBLE AS w, length(p_name)::DOUBLE AS h FROM part),
-c AS (SELECT page, x, y, w, h, min(id) AS id, count(*) AS n FROM r GROUP BY ALL)
-SELECT 'pair' AS kind, a.page, a.id AS a, b.id AS b FROM c a JOIN c b ON a.page = b.page AND (a.id < b.id OR (a.id = b.id AND a.n > 1)) WHERE a.x - 8 < b.x + b.w AND a.x + a.w + 8 > b.x AND a.y - 8 < b.y + b.h AND a.y + a.h + 8 > b.y
-UNION ALL SELECT 'member', r.page, c.id, r.id FROM r JOIN c USING (page, x, y, w, h)""")
+@query("""WITH r AS (SELECT p_partkey AS id, p_brand AS page, (p_partkey * 37 % 900)::DOUBLE AS x, (p_partkey * 53 % 900)::DOUBLE AS y, p_size::DOUBLE AS w, length(p_name)::DOUBLE AS h FROM part)
+SELECT a.page, a.id AS a, b.id AS b FROM r a JOIN r b ON a.page = b.page AND a.id < b.id WHERE a.x - 8 < b.x + b.w AND a.x + a.w + 8 > b.x AND a.y - 8 < b.y + b.h AND a.y + a.h + 8 > b.y""")
 def touching_boxes(spark, sf_dir: str) -> DataFrame:
-    """Rectangles of a page (parts of a brand, laid out by key) that overlap within a slack, through a grid: pairs of classes of equal rectangles, and the classes' members."""
+    """Rectangles of a page (parts of a brand, laid out by key) that overlap within a slack, through a grid: all pairs of rows, met by classes of equal rectangles."""
     x, y = (F.pmod(F.col("p_partkey") * n, F.lit(900)).cast("double") for n in (37, 53))
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("page"), F.col("p_partkey").alias("id"), F.array(x, y, x + F.col("p_size"), y + F.length("p_name")).alias("box"))
-    return P.touching_classes(rows, ["page"])
+    return P.touching_rows(rows, ["page"])
