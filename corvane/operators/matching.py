@@ -27,6 +27,11 @@ RATIO_BLOCK = 16_384
 TILE = 1_024
 PROFILED = 8_192
 PAIR_SLOTS = 512
+# Ratios of many pairs at once: letters, words and different letters of a name that is compared in words of bits, and pairs.
+BITS = 64
+FEW_WORDS = 8
+LETTERS = 255
+AT_ONCE = 1 << 15
 
 # Words that say nothing of which body is meant.
 ORGANISATION_WORDS = ["board", "boards", "commission", "commissions", "department", "departments", "office", "offices", "council", "councils", "authority", "authorities", "agency", "agencies", "division", "divisions", "bureau", "bureaus", "committee", "committees"]
@@ -188,26 +193,166 @@ def _profiles(names: list[str]):
     return out, size
 
 
-def _alike(left, right, kind: str, floor: int) -> Iterator[tuple[int, int]]:
-    """Places of two lists' profiles of which the ratio may reach the floor; no other pair does.
+def _alike(left, right, kind: str, floor: int) -> Iterator[tuple]:
+    """Places (two arrays at a time) of two lists' profiles of which the ratio may reach the floor; no other pair does.
 
     Strings of n and m letters of a ratio r differ by at most (1 - r)(n + m) letters in or out, each of which costs at most two pairs of letters, so they share at least
     (n + m) / 2 + 1 - 1.5 (1 - r)(n + m) pairs (floor: 70 or more), and lengths are near. A token set ratio may also come from words in common, of r / (2 - r) of a side's letters: these share
-    all their pairs.
+    all their pairs. Rows go by length, so that one number bounds nearly all of a tile.
     """
     import numpy as np
 
     share = floor / 100
-    for at in range(0, len(left[1]), TILE):
-        rows, n = left[0][at : at + TILE], left[1][at : at + TILE, None]
-        for begin in range(0, len(right[1]), TILE):
-            m = right[1][None, begin : begin + TILE]
-            total, least = n + m, np.minimum(n, m)
-            need = np.where(2 * least >= (share - 1e-9) * total, (0.5 - 1.5 * (1 - share)) * total + 1, np.inf)
-            if kind == "set":
-                need = np.minimum(need, share / (2 - share) * least + 1)
-            i, j = np.nonzero(rows @ right[0][begin : begin + TILE].T >= (need - 1e-3).astype(np.float32))
-            yield from zip((i + at).tolist(), (j + begin).tolist())
+
+    def needed(n, m):
+        total, least = n + m, np.minimum(n, m)
+        need = np.where(2 * least >= (share - 1e-9) * total, (0.5 - 1.5 * (1 - share)) * total + 1, np.inf)
+        return np.minimum(need, share / (2 - share) * least + 1) if kind == "set" else need
+
+    by_left, by_right = (np.argsort(side[1], kind="stable") for side in (left, right))
+    columns, sizes = right[0][by_right], right[1][by_right]
+    for at in range(0, len(by_left), TILE):
+        own = by_left[at : at + TILE]
+        rows, n = left[0][own], left[1][own]
+        for begin in range(0, len(by_right), TILE):
+            m = sizes[begin : begin + TILE]
+            least = needed(np.unique(n)[:, None], np.unique(m)).min()
+            if least == np.inf:
+                continue
+            shared = (rows @ columns[begin : begin + TILE].T).ravel()
+            near = np.flatnonzero(shared >= np.float32(least - 1e-3))
+            i, j = near // len(m), near % len(m)
+            near = shared[near] >= needed(n[i], m[j]) - 1e-3
+            yield own[i[near]], by_right[begin + j[near]]
+
+
+def _ratios(left: list[str], right: list[str], kind: str, floor: int):
+    """A function of places in two lists of names (words joined by blanks; two arrays) that gives the ratios of these pairs, as ``SCORERS`` do; what is under the floor may be told lower.
+
+    Common subsequences of many pairs are found at once, each in a word of ``BITS`` bits. Words that both names have are left out of it: the strings of a token set ratio
+    begin with them. Names of more letters or more than ``FEW_WORDS`` words, or with letters beyond the ``LETTERS`` commonest, go one by one.
+    """
+    import numpy as np
+
+    tokens = [[n.split(" ") for n in side] for side in (left, right)]
+    listed = [[sorted(w if kind == "sort" else set(w)) for w in side] for side in tokens]
+    joined = [[" ".join(w) for w in side] for side in listed]
+    size = [np.array([len(n) for n in side], np.int64) for side in joined]
+    flat = [np.frombuffer("".join(side).encode("utf-32-le", "surrogatepass"), np.uint32) for side in joined]
+    known, often = np.unique(np.concatenate(flat), return_counts=True)
+    code_of = np.full(len(known), -1, np.int64)
+    common = np.argsort(-often, kind="stable")[:LETTERS]
+    code_of[common] = np.arange(1, len(common) + 1)
+    n_codes = len(common) + 1
+    odd, grid = [], []
+    for n, letters in zip(size, flat):
+        owner = np.repeat(np.arange(len(n)), n)
+        code, place = code_of[np.searchsorted(known, letters)], np.arange(len(letters)) - np.repeat(np.cumsum(n) - n, n)
+        other = n > BITS
+        other[owner[code < 0]] = True
+        usual = ~other[owner]
+        odd.append(other)
+        grid.append((owner[usual], place[usual], code[usual]))
+    row, place, code = grid[0]
+    table = np.zeros(len(left) * n_codes, np.uint64)  # for each name and letter the places that have it
+    np.add.at(table, row * n_codes + code, np.uint64(1) << place.astype(np.uint64))
+    row, place, code = grid[1]
+    spelt = np.zeros((len(right), BITS), np.uint8)
+    spelt[row, place] = code
+    if kind == "set":
+        number: dict[str, int] = {}
+        names, spans, gaps, lengths = [], [], [], []
+        most = min(max((len(w) for side in listed for w in side), default=1), FEW_WORDS)
+        for k, side in enumerate(listed):
+            name = np.full((len(side), most), -1 - k, np.int32)
+            span, gap = (np.zeros((len(side), most), np.uint64) for _ in range(2))
+            length = np.zeros((len(side), most), np.int32)
+            for i, words in enumerate(side):
+                if len(words) > FEW_WORDS:
+                    odd[k][i] = True
+                elif not odd[k][i]:
+                    at = 0
+                    for w, word in enumerate(words):
+                        name[i, w], length[i, w] = number.setdefault(word, len(number)), len(word)
+                        span[i, w], gap[i, w] = ((1 << len(word)) - 1) << at, 1 << at - 1 if at else 0
+                        at += len(word) + 1
+            names.append(name), spans.append(span), gaps.append(gap), lengths.append(length)
+
+    def subsequence(i, j, kept_i=None, kept_j=None):
+        spelling, offset = np.ascontiguousarray(spelt[j].T), i * n_codes
+        rows = np.full(len(i), ~np.uint64(0))
+        for p in range(int(size[1][j].max(initial=0))):
+            mask = table[offset + spelling[p]]
+            if kept_i is not None:
+                mask &= kept_i
+                mask *= kept_j >> np.uint64(p) & np.uint64(1)
+            mask &= rows
+            rows = (rows + mask) | (rows - mask)
+        n = size[0][i].astype(np.uint64)
+        rows |= np.where(n < BITS, ~np.uint64(0) << np.minimum(n, np.uint64(BITS - 1)), np.uint64(0))
+        return BITS - np.bitwise_count(rows).astype(np.int64)
+
+    def rest(k, i, shared):
+        """The places of the words that aren't shared, with the blanks between them; how many words and letters are shared, and how many words are left."""
+        real = lengths[k][i] > 0
+        left_out, own = real & shared, real & ~shared
+        kept = np.where(own, spans[k][i], np.uint64(0)) | np.where(own & (np.cumsum(own, 1) > 1), gaps[k][i], np.uint64(0))
+        n = left_out.sum(1)
+        return np.bitwise_or.reduce(kept, 1), n, np.maximum((lengths[k][i] * left_out).sum(1) + n - 1, 0), own.sum(1)
+
+    def usual_scores(i, j):
+        n, m = size[0][i], size[1][j]
+        if kind == "sort":
+            return 200.0 * subsequence(i, j) / (n + m)
+        x, y = names[0][i], names[1][j]
+        in_x, in_y = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+        for w in range(x.shape[1]):
+            same = y == x[:, w, None]
+            in_x[:, w] = same.any(1)
+            in_y |= same
+        kept_i, both, letters, left_i = rest(0, i, in_x)
+        kept_j, _, _, left_j = rest(1, j, in_y)
+        first = np.where(both > 0, letters + 1, 0)
+        best = np.zeros(len(i))
+        able = np.flatnonzero(200.0 * np.minimum(n, m) >= (floor - 1e-9) * (n + m))
+        best[able] = 200.0 * (subsequence(i[able], j[able], kept_i[able], kept_j[able]) + first[able]) / (n + m)[able]
+        held = 200.0 * letters / (letters + np.minimum(n, m))
+        return np.where(both == 0, best, np.where((left_i == 0) | (left_j == 0), 100.0, np.maximum(best, held)))
+
+    def scores(i, j):
+        out = np.zeros(len(i))
+        alone = odd[0][i] | odd[1][j]
+        rows = np.flatnonzero(~alone)
+        for at in range(0, len(rows), AT_ONCE):
+            own = rows[at : at + AT_ONCE]
+            out[own] = usual_scores(i[own], j[own])
+        for own in np.flatnonzero(alone):
+            out[own] = SCORERS[kind](tokens[0][i[own]], tokens[1][j[own]])
+        return out
+
+    return scores
+
+
+def _ratio_hits(left: list[str], right: list[str], kind: str, floor: int, profiles=None) -> Iterator[tuple[list, list, list]]:
+    """Places and scores (three lists at a time) of the pairs of two lists of names whose ratio is at least floor. ``profiles``: those of the right, if they are at hand."""
+    scores, waiting, n = _ratios(left, right, kind, floor), [], 0
+    for pair in _alike(_profiles(left), profiles or _profiles(right), kind, floor):
+        waiting.append(pair)
+        n += len(pair[0])
+        if n >= AT_ONCE:
+            yield from _reaching(scores, waiting, floor)
+            waiting, n = [], 0
+    if n:
+        yield from _reaching(scores, waiting, floor)
+
+
+def _reaching(scores, pairs: list, floor: int) -> Iterator[tuple[list, list, list]]:
+    import numpy as np
+
+    i, j = (np.concatenate(x) for x in zip(*pairs))
+    score = scores(i, j)
+    high = score >= floor - 1e-9
+    yield i[high].tolist(), j[high].tolist(), score[high].tolist()
 
 
 def _normal_tokens(kind: str) -> Column:
@@ -218,22 +363,20 @@ def _normal_tokens(kind: str) -> Column:
 def catalog_ratios(rows: DataFrame, names: DataFrame, kind: str, floor: int = FLOOR) -> DataFrame:
     """The rows (column ``name`` and more) with each name (column ``name``) of a token sort or token set ratio of floor or more: ``right, score``. Names are sent to all tasks; no row is moved."""
     known = [tuple(r) for r in names.select("name", _normal_tokens(kind)).distinct().where("_t <> ''").collect()]
-    words = [t.split(" ") for _, t in known]
-    scorer = SCORERS[kind]
+    texts_known = [t for _, t in known]
     columns = [*rows.columns, "right", "score"]
     asked = rows.select(*rows.columns, _normal_tokens(kind)).where("_t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = _profiles([t for _, t in known])
+        right = _profiles(texts_known)
         for batch in batches:
             of_text: dict[str, list[tuple[int, float]]] = {}
             texts = batch.column(batch.num_columns - 1).to_pylist()
             every = list(dict.fromkeys(texts))
             for begin in range(0, len(every), PROFILED):
                 own = every[begin : begin + PROFILED]
-                for i, j in _alike(_profiles(own), right, kind, floor):
-                    score = scorer(own[i].split(" "), words[j])
-                    if score >= floor - 1e-9:
+                for hits in _ratio_hits(own, texts_known, kind, floor, right):
+                    for i, j, score in zip(*hits):
                         of_text.setdefault(own[i], []).append((j, score))
             hits = [(row, j, score) for row, t in enumerate(texts) for j, score in of_text.get(t, ())]
             kept = batch.take(pa.array([row for row, _, _ in hits], pa.int64()))
@@ -263,19 +406,16 @@ def ratio_pairs(left: DataFrame, right: DataFrame, kind: str, floor: int = FLOOR
     zero = F.lit(0)
     lefts = meets(numbered(a, blocks[0], "_i"), "_i", "_j", F.col("_i") if same else zero, F.lit(blocks[1] - 1))
     rights = meets(numbered(b, blocks[1], "_j"), "_j", "_i", zero, F.col("_j") if same else F.lit(blocks[0] - 1))
-    scorer = SCORERS[kind]
 
     def run(key, one: pa.Table, two: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = [], [], []
         once = same and key[0].as_py() == key[1].as_py()
         if one.num_rows and two.num_rows:
             (x, s), (y, t) = ((z.column("name").to_pylist(), z.column("_t").to_pylist()) for z in (one, two))
-            s_words, t_words = ([n.split(" ") for n in z] for z in (s, t))
-            for i, j in _alike(_profiles(s), _profiles(t), kind, floor):
-                if (once or (ordered and not same)) and x[i] >= y[j]:
-                    continue
-                score = scorer(s_words[i], t_words[j])
-                if score >= floor - 1e-9:
+            for hits in _ratio_hits(s, t, kind, floor):
+                for i, j, score in zip(*hits):
+                    if (once or (ordered and not same)) and x[i] >= y[j]:
+                        continue
                     swap = same and x[i] > y[j]
                     out[0].append(y[j] if swap else x[i])
                     out[1].append(x[i] if swap else y[j])

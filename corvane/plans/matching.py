@@ -12,6 +12,7 @@ from corvane.operators import entities as E
 from corvane.operators import matching as M
 from corvane.operators.retrieval import tokens
 from corvane.plans.base import CHUNKS_SQL, chunks, query, table
+from corvane.sources.shared import saved
 
 AMBIGUOUS = ["the", "and", "of"]
 CURATED = ["that", "the thnt"]
@@ -80,7 +81,7 @@ def agency_fallback(spark, sf_dir: str) -> DataFrame:
 
 def _titles(spark, sf_dir: str) -> DataFrame:
     """A document's title: the first five words of its first line with words; titles of up to 100 letters."""
-    first = F.get(F.filter(F.split("text", "\n"), lambda x: F.size(M.words_of(x)) > 0), F.lit(0))
+    first = F.regexp_extract("text", r"(?md)^[^\n]*?[\p{L}\p{N}][^\n]*", 0)
     name = F.array_join(F.slice(M.words_of(first), 1, 5), " ")
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).where((F.length("name") > 0) & (F.length("name") <= 100))
 
@@ -105,7 +106,7 @@ v AS (SELECT *, CASE WHEN 200.0::DOUBLE * least(length(s), length(t)) >= 85 * (l
 SELECT 'sort' AS kind, "left", "right", round(sorted, 4) AS score FROM v WHERE sorted >= 85 - 1e-9 UNION ALL SELECT 'set', "left", "right", round(in_set, 4) FROM v WHERE in_set >= 85 - 1e-9""")
 def fuzzy_title_pairs(spark, sf_dir: str) -> DataFrame:
     """All pairs of titles whose token sort or token set ratio is 85 or more."""
-    names = _titles(spark, sf_dir).select("name").distinct()
+    names = saved(_titles(spark, sf_dir).select("name").distinct())
     pairs = [M.ratio_pairs(names, names, kind, ordered=True).select(F.lit(kind).alias("kind"), "left", "right", F.round("score", 4).alias("score")) for kind in ("sort", "set")]
     return pairs[0].unionByName(pairs[1])
 
