@@ -41,6 +41,9 @@ BROADCAST_ROWS = 1_000_000
 LEADER_SETS = 64  # of leaders, kept while their documents pass
 BLOCK_ROWS = 8192  # of a leader's documents compared in one task, and the bytes of their sketches or differences
 BLOCK_BYTES = 12 << 20
+FEW_ROWS = 256  # of a leader that is compared together with others, pairs compared at once, and bytes of their sketches
+PAIRS_AT_ONCE = 1 << 19
+SKETCH_BYTES = 8 << 20
 _STEP = mix64(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -238,13 +241,18 @@ def by_leader(rows: DataFrame, load: DataFrame) -> DataFrame:
     return spread.drop("blocks", "parties", "own", "party", "at")
 
 
-def leaders_of(table: pa.Table) -> Iterator[pa.Table]:
-    """The table's rows leader by leader, each document once."""
+def leader_rows(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The table's rows by leader, each document once, and where each leader's begin (and the last's end)."""
     a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
     order = np.lexsort((b, a))
     order = order[np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))]
     table, a = table.take(pa.array(order)), a[order]
-    edges = np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+    return table, np.append(np.flatnonzero(np.append(True, a[1:] != a[:-1])), len(a))
+
+
+def leaders_of(table: pa.Table) -> Iterator[pa.Table]:
+    """The table's rows leader by leader, each document once."""
+    table, edges = leader_rows(table)
     for x, y in zip(edges, edges[1:]):
         yield table.slice(x, y - x)
 
@@ -254,6 +262,76 @@ def folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, words), 0)
 
 
+def sketch_words(*columns: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the sketches of some columns, one after the other: all of them, where each sketch begins, and how many it has."""
+    flat, words = [], []
+    for column in columns:
+        column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        flat.append(np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].copy().view(np.uint64) if offsets[-1] > offsets[0] else np.zeros(0, np.uint64))
+        words.append(np.diff(offsets) // 8)
+    words = np.concatenate(words)
+    return np.concatenate(flat), np.cumsum(words) - words, words
+
+
+def near_by_sketch(i: np.ndarray, j: np.ndarray, size: np.ndarray, sketches: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Of pairs of places whether the sets may be similar enough, by their sizes and by their sketches (see ``sketch_words``), folded to the length of the shorter one."""
+    flat, start, words = sketches
+    s, t = size[i], size[j]
+    near = 100 * np.minimum(s, t) >= percent * np.maximum(s, t)
+    at = np.flatnonzero(near)
+    width = np.minimum(words[i[at]], words[j[at]])
+    for w in np.unique(width).tolist():
+        of_width, step = at[width == w], max(SKETCH_BYTES // (8 * w), 1)
+        for x in range(0, len(of_width), step):
+            own = of_width[x : x + step]
+            used, place = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+            n = words[used]
+            own_words = flat[np.repeat(start[used] - np.cumsum(n) + n, n) + np.arange(n.sum())].reshape(-1, w)
+            bits = np.bitwise_xor.reduceat(own_words, (np.cumsum(n) - n) // w, axis=0)
+            apart = np.bitwise_count(bits[place[: len(own)]] ^ bits[place[len(own) :]]).sum(1, dtype=np.int64)
+            near[own] = apart <= most_different(s[own] + t[own], percent)
+    return near
+
+
+def families_of_few(table: pa.Table, edges: np.ndarray, few: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """What ``families_by_sketch`` gives for the leaders ``few`` (see ``leader_rows``), taken together: such groups are so small that one by one each costs more than its comparisons."""
+    size, home, stray, visit = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "home", "stray", "visit"))
+    leader = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    own = np.isin(leader, few)
+    at_home, visitors = np.flatnonzero(home & own), np.flatnonzero(visit & own)
+    begins = np.searchsorted(at_home, edges)
+    many = np.diff(begins)[leader[visitors]]
+    sketches = sketch_words(table.column("sketch"))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    found = []
+    stops = np.cumsum(many)
+    first = 0
+    while first < len(visitors):
+        last = max(int(np.searchsorted(stops, (stops[first - 1] if first else 0) + PAIRS_AT_ONCE, "right")), first + 1)
+        n = many[first:last]
+        i = np.repeat(visitors[first:last], n)
+        j = at_home[np.repeat(begins[leader[visitors[first:last]]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        fresh = (i != j) & ~(visit[j] & home[i] & (j < i))
+        i, j = i[fresh], j[fresh]
+        near = near_by_sketch(i, j, size, sketches, percent)
+        i, j = i[near], j[near]
+        # Rows that aren't strays hang together by their leader: they are one, numbered below all rows.
+        for x, y, one in zip(i.tolist(), j.tolist(), np.where(stray[j], j, -1 - leader[j]).tolist()):
+            a, b = root(x), root(one)
+            if a != b:
+                parent[a] = b
+                found.append((x, y))
+        first = last
+    return found
+
+
 def tied(label: np.ndarray, i: int, close: np.ndarray) -> np.ndarray:
     """Of the rows close to row i one for each label; all of these labels become that of i."""
     found, at = np.unique(label[close], return_index=True)
@@ -289,13 +367,9 @@ def told_by_leader(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, t = (batch.column(c).to_numpy() for c in ("n", "n_a"))
-            apart = np.zeros(len(batch), np.int64)
-            for i, (x, y) in enumerate(zip(batch.column("sketch"), batch.column("sketch_a"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                width = min(len(x), len(y))
-                apart[i] = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()
-            near = (100 * np.minimum(s, t) >= percent * np.maximum(s, t)) & (apart <= most_different(s + t, percent))
+            size = np.concatenate([batch.column(c).to_numpy() for c in ("n", "n_a")])
+            place = np.arange(len(batch))
+            near = near_by_sketch(place, place + len(batch), size, sketch_words(batch.column("sketch"), batch.column("sketch_a")), percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(~near), pc.binary_length(batch.column("sketch")).cast(pa.int64())], names=["a", "b", "stray", "bytes"])
 
     told = rows.mapInArrow(released(run), "a long, b long, stray boolean, bytes long")
@@ -312,9 +386,15 @@ def near_edges(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
     def run(table: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64),) * 2]
-        for own in leaders_of(table):
-            name, found = own.column("b").to_numpy(), families_by_sketch(own, percent)
+        table, edges = leader_rows(table)
+        few = np.flatnonzero(np.diff(edges) <= FEW_ROWS)
+        groups = [(table, families_of_few(table, edges, few, percent))]
+        for k in np.flatnonzero(np.diff(edges) > FEW_ROWS):
+            own = table.slice(edges[k], edges[k + 1] - edges[k])
+            groups.append((own, families_by_sketch(own, percent)))
+        for own, found in groups:
             if found:
+                name = own.column("b").to_numpy()
                 i, j = np.array(found).T
                 out.append((name[i], name[j]))
         a, b = (np.concatenate(x) for x in zip(*out))
